@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import layout, lookalike, quota, terms
+from loomstone.llm import history, layout, lookalike, overlap, quota, terms
+from loomstone.llm.shingles import Shape
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +44,27 @@ wanted as (
   from asked a left join pools p on p.batch_id = a.batch_id and p.difficulty = a.difficulty)
 """
 
+# --- problems 2 and 3 ----------------------------------------------------------------------------------------------------
+QUESTIONS = Shape(3, "0.6")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    examples = table(spark, sf_dir, "cot_examples")
+    return history.seen_before(table(spark, sf_dir, "corpus"), "question", examples, "example_id", "batch_no", "question", QUESTIONS)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = overlap.cross_split_pairs(table(spark, sf_dir, "corpus"), "corpus_id", "question", "split", shape=QUESTIONS)
+    return pairs.select(F.col("id_a").alias("corpus_id_a"), F.col("id_b").alias("corpus_id_b"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = table(spark, sf_dir, "corpus")
+    pairs = overlap.cross_split_pairs(corpus, "corpus_id", "question", "split", shape=QUESTIONS)
+    tests = table(spark, sf_dir, "split_stats").agg(F.sum("test_n").alias("test_n"))
+    return overlap.overlap_report(pairs, corpus, "corpus_id", "split", "source", "test", tests)
+
+
 # --- problem 5 ---------------------------------------------------------------------------------------------------------
 
 
@@ -108,6 +130,9 @@ def queries() -> dict[str, Query]:
         "p1_found": p1_found,
         "p1_quotas": p1_quotas,
         "p1_draw": p1_draw,
+        "p2_found": p2_found,
+        "p3_found": p3_found,
+        "p3_report": p3_report,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
         "p6_found": p6_found,
