@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import history, layout, lookalike, overlap, quota, terms
+from loomstone.llm import defects, history, layout, leaks, lookalike, overlap, quota, terms
 from loomstone.llm.shingles import Shape
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +116,19 @@ marked as (
 """
 
 
+# --- problems 7 and 8 -------------------------------------------------------------------------------------------------------
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.defective_pairs(table(spark, sf_dir, "corpus"), "corpus_id", "question", "neuralese_chain", "answer")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
+
+
 # --- problem 10 --------------------------------------------------------------------------------------------------------
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -137,6 +150,9 @@ def queries() -> dict[str, Query]:
         "p5_groups": p5_groups,
         "p6_found": p6_found,
         "p6_terms": p6_terms,
+        "p7_found": p7_found,
+        "p8_found": p8_found,
+        "p8_items": p8_items,
         "p10_found": p10_found,
         "p10_groups": p10_groups,
     }
