@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import defects, history, layout, leaks, lookalike, overlap, quota, terms
+from loomstone.llm import defects, history, layout, leaks, lookalike, mixture, overlap, quota, terms, tokens
 from loomstone.llm.shingles import Shape
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,36 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(pairs, corpus, "corpus_id", "split", "source", "test", tests)
 
 
+# --- problems 4 and 9 -------------------------------------------------------------------------------------------------------
+def p4_row_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of both tables: kind tells them apart; a document's tokens are text_tokens, a corpus row's chain_tokens and cot_tokens."""
+    none = F.lit(None).cast("bigint")
+    slices = ["source", "lang", "subject"]
+    corpus = tokens.token_counts(table(spark, sf_dir, "corpus"), "corpus_id", {"chain_tokens": "neuralese_chain", "cot_tokens": "original_cot"}, slices)
+    docs = tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", {"text_tokens": "text"}, slices)
+    corpus = corpus.select(F.lit("corpus").alias("kind"), F.col("corpus_id").alias("id"), *slices, "chain_tokens", "cot_tokens", none.alias("text_tokens"))
+    docs = docs.select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), *slices, none.alias("chain_tokens"), none.alias("cot_tokens"), "text_tokens")
+    return corpus.unionByName(docs)
+
+
+def p4_slice_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_totals(p4_row_tokens(spark, sf_dir), ["kind", "source", "lang", "subject"], ["chain_tokens", "cot_tokens", "text_tokens"])
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = mixture.document_tokens(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+    return mixture.mixture(sizes, "doc_id", "source", "tokens", table(spark, sf_dir, "source_weights"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix, plan = _mixture(spark, sf_dir)
+    return mixture.reached(mix, plan, "doc_id")
+
+
 # --- problem 5 ---------------------------------------------------------------------------------------------------------
 
 
@@ -146,6 +176,8 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found,
         "p3_found": p3_found,
         "p3_report": p3_report,
+        "p4_row_tokens": p4_row_tokens,
+        "p4_slice_totals": p4_slice_totals,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
         "p6_found": p6_found,
@@ -153,6 +185,8 @@ def queries() -> dict[str, Query]:
         "p7_found": p7_found,
         "p8_found": p8_found,
         "p8_items": p8_items,
+        "p9_mix": p9_mix,
+        "p9_shares": p9_shares,
         "p10_found": p10_found,
         "p10_groups": p10_groups,
     }
