@@ -2,7 +2,7 @@
 
 Every ingest becomes an immutable segment: a sparse suffix array over the concatenated words of its texts. An entry is a
 suffix that begins at a prefix shingle (the rarest ones, see shingles), keyed by the hash of its first k words and the
-packed hashes of the next four, and routed by that key, so a search reads only the parts its own suffixes point to.
+packed hashes of the next two, and routed by that key, so a search reads only the parts its own suffixes point to.
 Within a part entries are sorted, batch suffixes are found by binary search, and the matched words are added up for each
 record. Records with a match are verified exactly. Segments of one level are merged, so their number grows with the
 logarithm of the batches.
@@ -25,8 +25,9 @@ from loomstone.llm.shingles import Order, Shape, near, prefixes, rare_first
 ENTRIES_A_PART = 250_000
 HEAVY_A_PART = 20_000
 PAIRS_AT_ONCE = 2_000_000
-SUFFIX_SCHEMA = "part int, gram bigint, ext bigint, tid bigint, size int, rank int"
-HIT_SCHEMA = "probe bigint, tid bigint, words bigint, longest int"
+NEXT_WORDS = 2
+SUFFIX_SCHEMA = "part int, gram bigint, ext int, tid bigint, size int, rank int"
+HIT_SCHEMA = "probe bigint, tid bigint, shared int, least int, words int, longest int"
 BEFORE_ALL = -(1 << 62)
 
 
@@ -54,14 +55,14 @@ def _suffixes(texts: DataFrame, shape: Shape, order: Order, route: Routing, prob
             p = prefixes(pdf["words"].tolist(), shape, order)
             e = p.encoded
             ext = np.zeros(len(p.at), np.uint64)
-            for j in range(4):
+            for j in range(NEXT_WORDS):
                 place = p.at + shape.k + j
                 inside = place < e.end[p.at] if len(p.at) else np.zeros(0, bool)
                 word = np.where(inside, e.word[np.minimum(place, len(e.word) - 1)] & np.uint64(0xFFFF) | np.uint64(1), np.uint64(0)) if len(p.at) else ext
                 ext = ext << np.uint64(16) | word
             tid = pdf["tid"].to_numpy()[p.owner]
             home = (p.gram % np.uint64(route.parts)).astype(np.int64)
-            out = pd.DataFrame({"part": home, "gram": p.gram.astype(np.int64), "ext": ext.astype(np.int64), "tid": tid, "size": p.size.astype(np.int32), "rank": p.rank.astype(np.int32)})
+            out = pd.DataFrame({"part": home, "gram": p.gram.astype(np.int64), "ext": ext.astype(np.uint32).astype(np.int32), "tid": tid, "size": p.size.astype(np.int32), "rank": p.rank.astype(np.int32)})
             if len(route.keys):
                 at = np.minimum(np.searchsorted(route.keys, p.gram), len(route.keys) - 1)
                 spread = np.where(route.keys[at] == p.gram, route.spread[at], 1)
@@ -90,13 +91,13 @@ def _search_part(shape: Shape):
 
     def search(array: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
         if not len(array) or not len(probes):
-            return pd.DataFrame({"probe": pd.Series(dtype="int64"), "tid": pd.Series(dtype="int64"), "words": pd.Series(dtype="int64"), "longest": pd.Series(dtype="int32")})
-        gram, ext = array["gram"].to_numpy(), array["ext"].to_numpy().astype(np.uint64)
+            return pd.DataFrame({"probe": pd.Series(dtype="int64"), "tid": pd.Series(dtype="int64")} | {c: pd.Series(dtype="int32") for c in ("shared", "least", "words", "longest")})
+        gram, ext = array["gram"].to_numpy(), array["ext"].to_numpy().astype(np.uint32)
         order = np.lexsort((ext, gram))
         gram, ext = gram[order], ext[order]
         tid, size, rank = (array[c].to_numpy()[order] for c in ("tid", "size", "rank"))
         p_gram, p_ext, p_tid, p_size, p_rank = (probes[c].to_numpy() for c in ("gram", "ext", "tid", "size", "rank"))
-        p_ext = p_ext.astype(np.uint64)
+        p_ext = p_ext.astype(np.uint32)
         left, right = np.searchsorted(gram, p_gram, "left"), np.searchsorted(gram, p_gram, "right")
         width = right - left
         ends = np.cumsum(width)
@@ -107,28 +108,32 @@ def _search_part(shape: Shape):
             probe = np.repeat(np.arange(at, to), w)
             entry = np.arange(len(probe)) - np.repeat(np.cumsum(w) - w, w) + left[probe]
             m, n, a, b = p_size[probe].astype(np.int64), size[entry].astype(np.int64), p_rank[probe].astype(np.int64), rank[entry].astype(np.int64)
-            reach = np.minimum(a, b) + 1 + np.minimum(m - a - 1, n - b - 1)
-            good = (p_tid[probe] != tid[entry]) & (np.minimum(m, n) * low >= np.maximum(m, n) * top) & (reach * (top + low) >= (m + n) * top)
-            probe, entry = probe[good], entry[good]
+            needed = -(-(m + n) * top // (top + low))
+            good = (p_tid[probe] != tid[entry]) & (np.minimum(m, n) * low >= np.maximum(m, n) * top) & (np.minimum(m - a, n - b) >= needed - shape.hits + 1)
+            probe, entry, needed = probe[good], entry[good], needed[good]
             differ = p_ext[probe] ^ ext[entry]
             longest = np.full(len(probe), k, np.int32)
             alike = np.ones(len(probe), bool)
-            for j in (48, 32, 16, 0):
-                alike &= ((differ >> np.uint64(j)) & np.uint64(0xFFFF) == 0) & ((ext[entry] >> np.uint64(j)) & np.uint64(0xFFFF) != 0)
+            for j in range(16 * (NEXT_WORDS - 1), -1, -16):
+                alike &= ((differ >> np.uint32(j)) & np.uint32(0xFFFF) == 0) & ((ext[entry] >> np.uint32(j)) & np.uint32(0xFFFF) != 0)
                 longest += alike
-            out.append(pd.DataFrame({"probe": p_tid[probe], "tid": tid[entry], "words": longest.astype(np.int64), "longest": longest}))
+            least = np.minimum(needed, shape.hits).astype(np.int32)
+            out.append(pd.DataFrame({"probe": p_tid[probe], "tid": tid[entry], "shared": np.int32(1), "least": least, "words": longest, "longest": longest}))
             at = to
         hits = pd.concat(out) if len(out) > 1 else out[0]
-        return hits.groupby(["probe", "tid"], as_index=False).agg({"words": "sum", "longest": "max"})[["probe", "tid", "words", "longest"]]
+        if len(hits) == 0:
+            return hits
+        return hits.groupby(["probe", "tid"], as_index=False).agg({"shared": "sum", "least": "min", "words": "sum", "longest": "max"})
 
     return search
 
 
 def search_segment(segment: DataFrame, texts: DataFrame, shape: Shape, order: Order, route: Routing) -> DataFrame:
-    """(probe, tid, words, longest): records of the segment that hold a suffix of a probe text, the words matched, and the longest match."""
+    """(probe, tid, words, longest): records of the segment that match enough suffixes of a probe text, the words matched, and the longest match."""
     probes = _suffixes(texts, shape, order, route, True)
     hits = segment.groupBy("part").cogroup(probes.groupBy("part")).applyInPandas(_search_part(shape), HIT_SCHEMA)
-    return hits.groupBy("probe", "tid").agg(F.sum("words").alias("words"), F.max("longest").alias("longest"))
+    sums = hits.groupBy("probe", "tid").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+    return sums.where("shared >= least").select("probe", "tid", "words", "longest")
 
 
 def seen_before(history: DataFrame, history_text: str, new: DataFrame, new_id: str, batch: str, new_text: str, shape: Shape | None = None) -> DataFrame:

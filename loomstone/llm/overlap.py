@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm import common
-from loomstone.llm.shingles import Shape, could_match, near, prefix_table, rare_first
+from loomstone.llm.shingles import Shape, could_match, enough, near, prefix_table, rare_first
 
 
 def cross_split_pairs(df: DataFrame, record_id: str, text: str, split: str, train: str = "train", evaluation: str = "test", shape: Shape | None = None) -> DataFrame:
@@ -42,7 +42,8 @@ def _near_texts(texts: DataFrame, shape: Shape) -> DataFrame:
     index = prefix_table(texts.where("in_eval"), "tid", "words", shape, order).select(F.col("tid").alias("t_eval"), F.col("size").alias("size_e"), F.col("rank").alias("rank_e"), "gram")
     probes = prefix_table(texts.where("in_train"), "tid", "words", shape, order).select(F.col("tid").alias("t_train"), F.col("size").alias("size_t"), F.col("rank").alias("rank_t"), "gram")
     joined = index.join(probes, "gram").where(F.col("t_eval") != F.col("t_train")).where(could_match(shape, F.col("size_e"), F.col("rank_e"), F.col("size_t"), F.col("rank_t")))
-    candidates = joined.select("t_eval", "t_train").distinct()
+    shared = joined.groupBy("t_eval", "t_train").agg(F.count("*").alias("shared"), F.first("size_e").alias("size_e"), F.first("size_t").alias("size_t"))
+    candidates = shared.where(enough(shape, F.col("shared"), F.col("size_e"), F.col("size_t"))).select("t_eval", "t_train")
     a = texts.where("in_eval").select(F.col("tid").alias("t_eval"), F.col("words").alias("words_e"))
     b = texts.where("in_train").select(F.col("tid").alias("t_train"), F.col("words").alias("words_t"))
     return candidates.join(a, "t_eval").join(b, "t_train").where(near(shape)("words_e", "words_t")).select("t_eval", "t_train")

@@ -26,10 +26,16 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 @dataclass(frozen=True)
 class Shape:
-    """k words a shingle; two texts are near when |common| / |either| is at least `least` (a decimal, taken exactly)."""
+    """k words a shingle; two texts are near when |common| / |either| is at least `least` (a decimal, taken exactly).
+
+    hits: how many shingles the prefixes of near texts must share. If texts of m and n shingles share c >= needed(m, n), the
+    first `hits` of them lie at ranks with at least needed - hits + 1 shingles from there on, in both; so longer prefixes
+    with more shared shingles lose no pair, and single chance matches are no candidates.
+    """
 
     k: int = 5
     least: str = "0.8"
+    hits: int = 3
 
     @property
     def ratio(self) -> Fraction:
@@ -38,7 +44,7 @@ class Shape:
     def prefix(self, m: np.ndarray) -> np.ndarray:
         """Of m distinct shingles in rare-first order, how many must be looked at."""
         r = self.ratio
-        return m - -(-m * r.numerator // r.denominator) + 1
+        return m - -(-m * r.numerator // r.denominator) + self.hits
 
     def needed(self, m: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Common shingles that texts of m and n shingles need."""
@@ -177,12 +183,18 @@ def prefix_table(texts: DataFrame, text_id: str, words: str, shape: Shape, order
 
 
 def could_match(shape: Shape, size_a: Column, rank_a: Column, size_b: Column, rank_b: Column) -> Column:
-    """Length and position filters on a shared shingle: whether enough others can still be shared."""
+    """Length and position filters on a shared shingle: whether it can be one of the first `hits` that near texts share."""
     r = shape.ratio
     top, low = F.lit(r.numerator), F.lit(r.denominator)
     lengths = (F.least(size_a, size_b) * low) >= (F.greatest(size_a, size_b) * top)
-    reach = F.least(rank_a, rank_b) + 1 + F.least(size_a - rank_a - 1, size_b - rank_b - 1)
-    return lengths & (reach * F.lit(r.numerator + r.denominator) >= (size_a + size_b) * top)
+    rest = F.least(size_a - rank_a, size_b - rank_b) + (shape.hits - 1)
+    return lengths & (rest * F.lit(r.numerator + r.denominator) >= (size_a + size_b) * top)
+
+
+def enough(shape: Shape, shared: Column, size_a: Column, size_b: Column) -> Column:
+    """Whether prefixes share enough shingles: `hits`, or all that are needed where that is less."""
+    r = shape.ratio
+    return (shared >= shape.hits) | (shared * F.lit(r.numerator + r.denominator) >= (size_a + size_b) * F.lit(r.numerator))
 
 
 def near(shape: Shape):
