@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loomstone.plans import registry
+from loomstone.plans import text_queries as _text  # noqa: F401
+from loomstone.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
