@@ -317,6 +317,13 @@ def repair(text: str) -> str:
     return fixed if len(spans) == 1 else f"[{fixed}]"
 
 
+def _each(values: pd.Series, work) -> list:
+    """work of every value, done once for each distinct value of the batch."""
+    codes, distinct = pd.factorize(values.fillna(""), use_na_sentinel=False)
+    done = [work(v) for v in distinct]
+    return [done[c] for c in codes]
+
+
 # --- columns -------------------------------------------------------------------------------------------------------------
 def signature_map(signatures: DataFrame, limit: int = 1_000_000) -> dict[str, Signature]:
     """Signatures by symbol, the row with the highest pos holding; a null arity counts as 0. Refuses more than `limit` symbols."""
@@ -332,28 +339,28 @@ def validator(signatures: dict[str, Signature], ontology: dict[str, list[str]] |
 
     @F.pandas_udf(VERDICT)
     def validate(chain: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([verdict(c, signatures, ontology) for c in chain], columns=["ok", "err_kind", "err"])
+        return pd.DataFrame(_each(chain, lambda c: verdict(c, signatures, ontology)), columns=["ok", "err_kind", "err"])
 
     return validate.asNondeterministic()
 
 
 @F.pandas_udf(T.StringType())
 def auto_repair(chain: pd.Series) -> pd.Series:
-    return pd.Series([None if c is None else repair(c) for c in chain], dtype=object)
+    return pd.Series(_each(chain, repair), dtype=object).where(chain.notna().to_numpy(), None)
 
 
 @F.pandas_udf(T.ArrayType(NODE))
 def parse_nodes(chain: pd.Series) -> pd.Series:
     """The node table of a chain; null where it can't be parsed."""
-    out = []
-    for c in chain:
+
+    def rows(c: str) -> list[dict] | None:
         try:
-            nodes = read_nodes(c or "")
+            nodes = read_nodes(c)
         except ChainError:
-            out.append(None)
-            continue
-        out.append([{"node_id": i, "parent_id": None if n.parent < 0 else n.parent, "depth": n.depth, "ord": n.ord, "kind": n.kind, "head": n.head, "lexeme": n.lexeme, "n_args": len(n.args)} for i, n in enumerate(nodes)])
-    return pd.Series(out, dtype=object)
+            return None
+        return [{"node_id": i, "parent_id": None if n.parent < 0 else n.parent, "depth": n.depth, "ord": n.ord, "kind": n.kind, "head": n.head, "lexeme": n.lexeme, "n_args": len(n.args)} for i, n in enumerate(nodes)]
+
+    return pd.Series(_each(chain, rows), dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

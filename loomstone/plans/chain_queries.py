@@ -33,7 +33,7 @@ def verdict_sql(which: int) -> str:
 
 
 def chains(spark, sf):
-    rows = table(spark, sf, "lineitem").select(((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 10).alias("k"), F.col("l_quantity").cast("int").alias("a"), F.col("l_linenumber").alias("b"))
+    rows = table(spark, sf, "lineitem", python=True).select(((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 10).alias("k"), F.col("l_quantity").cast("int").alias("a"), F.col("l_linenumber").alias("b"))
     rendered = None
     for k, (template, _, _) in enumerate(TEMPLATES):
         value = F.replace(F.replace(F.lit(template), F.lit("{a}"), F.col("a").cast("string")), F.lit("{b}"), F.col("b").cast("string"))
@@ -217,7 +217,7 @@ def verdict_thresholds(spark, sf):
 
 # --- chains of the corpus: verdicts (no SQL: the language isn't regular) ------------------------------------------------------
 def _judged(spark, sf):
-    return table(spark, sf, "corpus").withColumn("v", checker(spark, sf)("neuralese_chain"))
+    return table(spark, sf, "corpus", python=True).withColumn("v", checker(spark, sf)("neuralese_chain"))
 
 
 @query()
@@ -229,7 +229,7 @@ def corpus_validation(spark, sf):
 
 @query()
 def corpus_nodes(spark, sf):
-    nodes = table(spark, sf, "corpus").select(F.explode(lang.parse_nodes("neuralese_chain")).alias("n")).select("n.*")
+    nodes = table(spark, sf, "corpus", python=True).select(F.explode(lang.parse_nodes("neuralese_chain")).alias("n")).select("n.*")
     return nodes.groupBy("kind", "head").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"), F.max("n_args").alias("most_args"))
 
 

@@ -21,5 +21,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, python: bool = False) -> DataFrame:
+    """A table as it was written. python: for work in Python, a table in fewer pieces than there are cores is spread over
+    them, as reading is then quicker than what follows; larger tables come in more pieces and stay as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if python and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
