@@ -1,38 +1,13 @@
-"""What the operators of this package share: scratch tables, words, size-checked broadcasts."""
+"""What the operators of this package share: words, and keys of texts."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD_GAP = r"[^\p{L}\p{N}]+"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None:
-        named = "file://" + tempfile.mkdtemp(prefix="loomstone-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir() or named
-    return named.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts the lineage.
+from loomstone.scratch import materialise  # noqa: F401  used by every operator here
 
-    The files outlive lost executors; they are removed when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+WORD_GAP = r"[^\p{L}\p{N}]+"
 
 
 def word_text(text: Column) -> Column:
@@ -43,11 +18,3 @@ def word_text(text: Column) -> Column:
 def text_key(words: Column) -> tuple[Column, Column, Column]:
     """96 bits of hash and the length: joins copies of a text without moving the text again."""
     return F.xxhash64(words), F.hash(words), F.length(words)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def path_exists(path: str) -> bool:
-    return os.path.exists(path)

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm import common
-from loomstone.llm.quota import random_key, smallest_keys
+from loomstone.llm.tokens import token_counts
+from loomstone.operators.sampling import random_key, smallest_keys
 
 STEPS = 60
 MAX_SOURCES = 100_000
@@ -133,6 +134,4 @@ def reached(mix: DataFrame, plan: DataFrame, doc_id: str, tolerance: float = 0.0
 
 def document_tokens(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
     """(doc_id, source, tokens) with sizes by the tokenizer, written once: the mixture reads it several times."""
-    from loomstone.llm.tokens import token_counts
-
     return common.materialise(token_counts(docs, doc_id, {"tokens": text}, [source]), "tokens")

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import defects, history, layout, leaks, lookalike, mixture, overlap, quota, terms, tokens
 from loomstone.llm.shingles import Shape
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from loomstone.plans.registry import Query, table
 
 # --- problem 1 ---------------------------------------------------------------------------------------------------------
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +64,8 @@ def p4_row_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of both tables: kind tells them apart; a document's tokens are text_tokens, a corpus row's chain_tokens and cot_tokens."""
     none = F.lit(None).cast("bigint")
     slices = ["source", "lang", "subject"]
-    corpus = tokens.token_counts(table(spark, sf_dir, "corpus"), "corpus_id", {"chain_tokens": "neuralese_chain", "cot_tokens": "original_cot"}, slices)
-    docs = tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", {"text_tokens": "text"}, slices)
+    corpus = tokens.token_counts(table(spark, sf_dir, "corpus", python=True), "corpus_id", {"chain_tokens": "neuralese_chain", "cot_tokens": "original_cot"}, slices)
+    docs = tokens.token_counts(table(spark, sf_dir, "documents", python=True), "doc_id", {"text_tokens": "text"}, slices)
     corpus = corpus.select(F.lit("corpus").alias("kind"), F.col("corpus_id").alias("id"), *slices, "chain_tokens", "cot_tokens", none.alias("text_tokens"))
     docs = docs.select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), *slices, none.alias("chain_tokens"), none.alias("cot_tokens"), "text_tokens")
     return corpus.unionByName(docs)
@@ -82,7 +76,7 @@ def p4_slice_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sizes = mixture.document_tokens(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+    sizes = mixture.document_tokens(table(spark, sf_dir, "documents", python=True), "doc_id", "source", "text")
     return mixture.mixture(sizes, "doc_id", "source", "tokens", table(spark, sf_dir, "source_weights"))
 
 
@@ -99,7 +93,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = table(spark, sf_dir, "corpus").select(F.col("corpus_id").alias("id"), "question", "neuralese_chain")
+    corpus = table(spark, sf_dir, "corpus", python=True).select(F.col("corpus_id").alias("id"), "question", "neuralese_chain")
     return corpus.union(layout.read_lines(table(spark, sf_dir, "corpus_lines"), "line_id", "raw_line", ["question", "neuralese_chain"]))
 
 
@@ -148,11 +142,11 @@ marked as (
 
 # --- problems 7 and 8 -------------------------------------------------------------------------------------------------------
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defects.defective_pairs(table(spark, sf_dir, "corpus"), "corpus_id", "question", "neuralese_chain", "answer")
+    return defects.defective_pairs(table(spark, sf_dir, "corpus", python=True), "corpus_id", "question", "neuralese_chain", "answer")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    return leaks.leaked_items(table(spark, sf_dir, "documents", python=True), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
 
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,11 +155,67 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- problem 10 --------------------------------------------------------------------------------------------------------
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookalike.lookalike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lookalike.lookalike_pairs(table(spark, sf_dir, "documents", python=True), "doc_id", "text")
 
 
 def p10_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookalike.lookalike_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lookalike.lookalike_groups(table(spark, sf_dir, "documents", python=True), "doc_id", "text")
+
+
+GRAMS = "list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"
+WORDS = r"regexp_extract_all(lower(question), '[\p{L}\p{N}]+')"
+
+P3_PAIRS = f"""
+with q as (select distinct corpus_id, split, {WORDS} as w from corpus where question is not null and split in ('train', 'test')),
+s as (select corpus_id, split, w, {GRAMS} as grams from q),
+g as (select corpus_id, split, len(grams) as n, unnest(grams) as gram from s),
+near as (select a.corpus_id as e, b.corpus_id as t from g a join g b on a.gram = b.gram and a.split = 'test' and b.split = 'train'
+         group by a.corpus_id, b.corpus_id, a.n, b.n having count(*) * 10 >= 6 * (a.n + b.n - count(*))),
+same as (select a.corpus_id as e, b.corpus_id as t from s a join s b on a.w = b.w and a.split = 'test' and b.split = 'train'),
+pairs as (select distinct least(e, t) as corpus_id_a, greatest(e, t) as corpus_id_b from (select * from near union all select * from same) where e <> t)
+"""
+
+P2_FOUND = f"""
+with q as (
+  select 'c' || corpus_id as id, null as example_id, -1 as batch, {WORDS} as w from corpus where question is not null
+  union all
+  select 'e' || example_id, example_id, coalesce(batch_no, 2147483647), {WORDS} from cot_examples where question is not null),
+s as (select distinct *, {GRAMS} as grams from q),
+g as (select id, example_id, batch, len(grams) as n, unnest(grams) as gram from s),
+near as (select a.example_id from g a join g b on a.gram = b.gram and a.id <> b.id
+         where a.example_id is not null and (b.batch < a.batch or (b.batch = a.batch and b.example_id < a.example_id))
+         group by a.example_id, b.id, a.n, b.n having count(*) * 10 >= 6 * (a.n + b.n - count(*))),
+same as (select a.example_id from s a join s b on a.w = b.w and a.id <> b.id
+         where a.example_id is not null and (b.batch < a.batch or (b.batch = a.batch and b.example_id < a.example_id)))
+select distinct example_id from (select * from near union all select * from same)
+"""
+
+
+def form_sql(column: str) -> str:
+    """The one form of problem 10 in SQL. Representatives don't matter for equality; here they are the Latin letters."""
+    pairs = {p[0]: p[1] for p in lookalike.LOOKALIKE_LETTERS.split()} | dict.fromkeys(lookalike.HYPHENS, "-") | {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
+    for cp in range(0x370, 0x530):  # composed letters of the other alphabets, on a base that has a Latin twin
+        parts = unicodedata.normalize("NFD", chr(cp))
+        if len(parts) > 1 and parts[0] in pairs and len(twin := unicodedata.normalize("NFC", pairs[parts[0]] + parts[1:])) == 1:
+            pairs[chr(cp)] = twin
+    old, new = "".join(pairs).replace("'", "''"), "".join(pairs.values()).replace("'", "''")
+    clean = f"regexp_replace(regexp_replace({column}, '[\\p{{Cf}}\\x{{34F}}\\x{{FE00}}-\\x{{FE0F}}]', '', 'g'), '\\p{{Zs}}', ' ', 'g')"
+    return f"nfc_normalize(translate(nfc_normalize({clean}), '{old}', '{new}'))"
+
+
+P8_FOUND = rf"""
+with d as (select distinct doc_id, regexp_extract_all(lower({form_sql("text")}), '[\p{{L}}\p{{N}}]+') as w from documents where text is not null),
+i as (select distinct item_id, regexp_extract_all(lower({form_sql("text")}), '[\p{{L}}\p{{N}}]+') as w from eval_items where text is not null),
+dr as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as run from d),
+ir as (select distinct item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as run from i),
+found as (select distinct doc_id, item_id from dr join ir using (run))
+"""
+
+P10_FOUND = f"""
+with f as (select distinct doc_id, text, {form_sql("text")} as form from documents where text is not null),
+pairs as (select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from f a join f b on a.form = b.form and a.text <> b.text and a.doc_id < b.doc_id)
+select doc_id_a, doc_id_b from pairs
+"""
 
 
 def queries() -> dict[str, Query]:
@@ -203,8 +253,17 @@ def oracle_sql() -> dict[str, str]:
                             order by cast('0x' || substr(md5('42|' || w.run_id || '|' || c.corpus_id), 1, 15) as bigint), c.corpus_id) as turn
   from corpus c join wanted w on w.batch_id = c.batch_id and w.difficulty = c.difficulty)
 select run_id, corpus_id, difficulty from keyed where turn <= asked""",
+        "p2_found": P2_FOUND,
+        "p3_found": P3_PAIRS + "select corpus_id_a, corpus_id_b from pairs",
+        "p3_report": P3_PAIRS
+        + """, ends as (select corpus_id_a as id from pairs union all select corpus_id_b from pairs), links as (select id, count(*) as n from ends group by id)
+select c.split, c.source, count(*) as records, sum(l.n)::bigint as pairs, case when c.split = 'test' then count(*) / (select sum(test_n) from split_stats) end as share_of_test
+from links l join corpus c on c.corpus_id = l.id group by c.split, c.source""",
         "p5_found": P5_MEMBERS + "select first_id, id as copy_id from members where id <> first_id",
         "p5_groups": P5_MEMBERS + "select distinct first_id, n as copies from members",
+        "p8_found": P8_FOUND + "select doc_id, item_id from found",
+        "p8_items": P8_FOUND + "select item_id, count(*) as documents, min(doc_id) as first_doc from found group by item_id",
+        "p10_found": P10_FOUND,
         "p6_found": P6_TERMS + "select term, mark from marked where mark is not null",
         "p6_terms": P6_TERMS + "select term, occurrences, records, mark from marked",
     }

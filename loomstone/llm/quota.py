@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROWS_A_BUCKET = 50_000
-
-
-def random_key(seed: int, *parts: Column) -> Column:
-    """A number in [0, 2^60) that depends on the seed and the parts only: the same on every cluster, and in SQL."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+from loomstone.operators.sampling import random_key, smallest_keys
 
 
 def allocate_quotas(pools: DataFrame, group: list[str], category: str, pool: str, want: str, floor: str | None = None, total: str | None = None, refill: bool = False) -> DataFrame:
@@ -61,29 +55,6 @@ def _refill(base: DataFrame, group: list[str], category: str) -> DataFrame:
     return base.withColumn("quota", (F.col("quota") + F.col("more") + F.when((F.col("turn2") <= F.col("still")) & (F.col("more") < F.col("room")), 1).otherwise(0)).cast("bigint"))
 
 
-def smallest_keys(rows: DataFrame, group: list[str], row_id: str, key: Column, quotas: DataFrame, quota: str, weight: str | None = None) -> DataFrame:
-    """Of every group the rows with the smallest random keys: as many as its quota, or, with weight, while the weight before them is below it.
-
-    The keys of a group are cut into buckets of some 50,000 rows, counted before the shuffle; whole buckets below the
-    quota are taken as they are, and only the bucket in which it ends is sorted. So a group that holds a third of all rows
-    is never in one task. quotas has a row for each group. Null groups match null groups; ties in the key go by row_id.
-    """
-    amount = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    rows = rows.withColumn("_k", key).withColumn("_w", F.coalesce(amount, F.lit(0)))
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"))
-    same = lambda a, b: [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in group]
-    plan = quotas.select(*group, F.col(quota).cast("bigint").alias("_q")).alias("p").join(sizes.alias("s"), same("p", "s")).select("p.*", F.ceil(F.col("_n") / ROWS_A_BUCKET).cast("bigint").alias("_b"))
-    placed = rows.alias("r").join(plan.alias("p"), same("r", "p")).select("r.*", "_q", "_b").withColumn("_bucket", F.floor(F.col("_k").cast("double") / float(1 << 60) * F.col("_b")).cast("bigint"))
-    counted = placed.groupBy(*group, "_bucket", "_q").agg(F.sum("_w").alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    edges = counted.withColumn("_before", before).where("_before < _q").withColumn("_whole", F.col("_before") + F.col("_sum") <= F.col("_q")).drop("_q", "_sum")
-    open_rows = placed.alias("r").join(edges.alias("e"), [*same("r", "e"), F.col("r._bucket") == F.col("e._bucket")]).select("r.*", "_before", "_whole")
-    inside = open_rows.where("_whole").drop("_before", "_whole")
-    within = F.coalesce(F.sum("_w").over(W.partitionBy(*group, "_bucket").orderBy("_k", row_id).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    edge = open_rows.where("not _whole").withColumn("_at", F.col("_before") + within).where("_at < _q").drop("_at", "_before", "_whole")
-    return inside.unionByName(edge).drop("_q", "_b", "_bucket", "_w")
-
-
 def split_requests(runs: DataFrame, corpus: DataFrame) -> DataFrame:
     """(run_id, batch_id, difficulty, pool, want): what each run of split_stats asks of each difficulty, and the rows of its batch.
 
