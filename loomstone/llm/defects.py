@@ -233,7 +233,7 @@ def defective_pairs(df: DataFrame, pair_id: str, question: str, chain: str, answ
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [defect_of(q, c, a) for q, c, a in zip(pdf["q"], pdf["c"], pdf["a"], strict=True)]
-            out = pd.DataFrame({"id": pdf["id"], "defect": found})
+            out = pd.DataFrame({"id": pdf["id"], "defect": pd.Series(found, dtype=object)})
             yield out[out["defect"].notna()]
 
     text = lambda c: F.col(c).cast("string")

@@ -197,7 +197,8 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 s = chr(codes[i - 1]) + chr(codes[i])
                 pairs[s] = pairs.get(s, 0) + 1
     found = np.flatnonzero(wanted & (total > 0))
-    yield pd.DataFrame({"piece": [chr(c) for c in found] + list(pairs), "n": [int(total[c]) for c in found] + list(pairs.values())})
+    pieces = [chr(c) for c in found] + list(pairs)
+    yield pd.DataFrame({"piece": pd.Series(pieces, dtype=object), "n": pd.Series([int(total[c]) for c in found] + list(pairs.values()), dtype="int64")})
 
 
 def usage(df: DataFrame, text: str) -> dict[str, int]:
@@ -222,7 +223,7 @@ def canonical_forms(df: DataFrame, doc_id: str, text: str, out: str = "form", us
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rewriter = Rewriter(used)
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "form": [None if t is None else rewriter(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["id"], "form": pd.Series([None if t is None else rewriter(t) for t in pdf["text"]], dtype=object)})
 
     plain = df.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
@@ -239,7 +240,8 @@ def form_keys(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rewriter = Rewriter(used)
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "text_key": [digest(t) for t in pdf["text"]], "form_key": [digest(rewriter(t)) for t in pdf["text"]]})
+            text_keys, form_keys = [digest(t) for t in pdf["text"]], [digest(rewriter(t)) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "text_key": pd.Series(text_keys, dtype=object), "form_key": pd.Series(form_keys, dtype=object)})
 
     plain = df.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null")
     return plain.mapInPandas(keys, FORM_SCHEMA)
