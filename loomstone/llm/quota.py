@@ -48,7 +48,7 @@ def _refill(base: DataFrame, group: list[str], category: str) -> DataFrame:
     behind = F.coalesce(F.sum("w").over(along.rowsBetween(1, W.unboundedFollowing)), F.lit(0.0))
     base = base.withColumn("filled_at", done + behind * F.col("stop")).withColumn("before", F.coalesce(F.sum("room").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("slope", F.col("w") + behind)
     met = (F.col("filled_at") >= F.col("missing") - 1e-9) & (F.col("slope") > 0)
-    level = F.min(F.when(met, F.struct("filled_at", "stop", ((F.col("missing") - F.col("before")) / F.col("slope")).alias("level")))).over(every)["level"]
+    level = F.min(F.when(met, F.struct("filled_at", "before", ((F.col("missing") - F.col("before")) / F.col("slope")).alias("level")))).over(every)["level"]
     base = base.withColumn("grow", F.least(F.col("room").cast("double"), F.coalesce(level, F.lit(0.0)) * F.col("w")))
     base = base.withColumn("more", F.floor(F.col("grow") + 1e-9)).withColumn("rest", F.col("grow") - F.col("more"))
     turn = F.row_number().over(W.partitionBy(*group).orderBy(F.desc("rest"), category))
