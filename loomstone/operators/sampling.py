@@ -23,31 +23,31 @@ def smallest_keys(rows: DataFrame, group: list[str], row_id: str, key: Column, q
     is never in one task. quotas has a row for each group. Null groups match null groups; ties in the key go by row_id.
     """
     amount = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    rows = rows.withColumn("_k", key).withColumn("_w", F.coalesce(amount, F.lit(0)))
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"))
+    rows = rows.withColumn("__k", key).withColumn("__w", F.coalesce(amount, F.lit(0)))
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("__n"))
     same = lambda a, b: [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in group]
-    plan = quotas.select(*group, F.col(quota).cast("bigint").alias("_q")).alias("p").join(sizes.alias("s"), same("p", "s")).select("p.*", F.ceil(F.col("_n") / ROWS_A_BUCKET).cast("bigint").alias("_b"))
-    placed = rows.alias("r").join(plan.alias("p"), same("r", "p")).select("r.*", "_q", "_b").withColumn("_bucket", F.floor(F.col("_k").cast("double") / float(1 << 60) * F.col("_b")).cast("bigint"))
-    counted = placed.groupBy(*group, "_bucket", "_q").agg(F.sum("_w").alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    edges = counted.withColumn("_before", before).where("_before < _q").withColumn("_whole", F.col("_before") + F.col("_sum") <= F.col("_q")).drop("_q", "_sum")
-    open_rows = placed.alias("r").join(edges.alias("e"), [*same("r", "e"), F.col("r._bucket") == F.col("e._bucket")]).select("r.*", "_before", "_whole")
-    inside = open_rows.where("_whole").drop("_before", "_whole")
-    within = F.coalesce(F.sum("_w").over(W.partitionBy(*group, "_bucket").orderBy("_k", row_id).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    edge = open_rows.where("not _whole").withColumn("_at", F.col("_before") + within).where("_at < _q").drop("_at", "_before", "_whole")
-    return inside.unionByName(edge).drop("_k", "_q", "_b", "_bucket", "_w")
+    plan = quotas.select(*group, F.col(quota).cast("bigint").alias("__q")).alias("p").join(sizes.alias("s"), same("p", "s")).select("p.*", F.ceil(F.col("__n") / ROWS_A_BUCKET).cast("bigint").alias("__b"))
+    placed = rows.alias("r").join(plan.alias("p"), same("r", "p")).select("r.*", "__q", "__b").withColumn("__bucket", F.floor(F.col("__k").cast("double") / float(1 << 60) * F.col("__b")).cast("bigint"))
+    counted = placed.groupBy(*group, "__bucket", "__q").agg(F.sum("__w").alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(W.partitionBy(*group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    edges = counted.withColumn("__before", before).where("__before < __q").withColumn("__whole", F.col("__before") + F.col("__sum") <= F.col("__q")).drop("__q", "__sum")
+    open_rows = placed.alias("r").join(edges.alias("e"), [*same("r", "e"), F.col("r.__bucket") == F.col("e.__bucket")]).select("r.*", "__before", "__whole")
+    inside = open_rows.where("__whole").drop("__before", "__whole")
+    within = F.coalesce(F.sum("__w").over(W.partitionBy(*group, "__bucket").orderBy("__k", row_id).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    edge = open_rows.where("not __whole").withColumn("__at", F.col("__before") + within).where("__at < __q").drop("__at", "__before", "__whole")
+    return inside.unionByName(edge).drop("__k", "__q", "__b", "__bucket", "__w")
 
 
 def seeded_sample(df: DataFrame, row_id: str, n: int, seed: int = 42) -> DataFrame:
     """n rows by the smallest keys (a top-n on the key: each task keeps n rows)."""
-    return df.withColumn("_k", random_key(seed, F.col(row_id))).orderBy("_k", row_id).limit(n).drop("_k")
+    return df.withColumn("__k", random_key(seed, F.col(row_id))).orderBy("__k", row_id).limit(n).drop("__k")
 
 
 def split_by_share(df: DataFrame, row_id: str, share: float, seed: int = 42, first: str = "test", rest: str = "train") -> DataFrame:
     """Adds split: ceil(share * n) rows with the smallest keys are `first`."""
-    one = df.withColumn("_all", F.lit(1))
-    quotas = one.groupBy("_all").agg(F.ceil(F.round(F.count("*") * F.lit(share), 6)).cast("bigint").alias("q"))
-    picked = smallest_keys(one.select(row_id, "_all"), ["_all"], row_id, random_key(seed, F.col(row_id)), quotas, "q").select(row_id, F.lit(first).alias("split"))
+    one = df.withColumn("__all", F.lit(1))
+    quotas = one.groupBy("__all").agg(F.ceil(F.round(F.count("*") * F.lit(share), 6)).cast("bigint").alias("q"))
+    picked = smallest_keys(one.select(row_id, "__all"), ["__all"], row_id, random_key(seed, F.col(row_id)), quotas, "q").select(row_id, F.lit(first).alias("split"))
     return df.join(picked, row_id, "left").withColumn("split", F.coalesce("split", F.lit(rest)))
 
 
@@ -67,19 +67,20 @@ def running_before(df: DataFrame, order: str, amount: str | None = None, out: st
     added up first, so each task sorts one stretch. Nulls in the order come first.
     """
     size = F.coalesce(F.col(amount), F.lit(0)) if amount else F.lit(1)
-    ends = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.ceil(F.count("*") / ROWS_A_BUCKET).alias("_b"))
-    place = F.floor((F.col(order) - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1) * F.col("_b"))
-    cut = df.crossJoin(F.broadcast(ends)).withColumn("_at", F.coalesce(place.cast("bigint"), F.lit(-1).cast("bigint"))).drop("_lo", "_hi", "_b")
-    sums = cut.groupBy("_at").agg(F.sum(size).alias("_s"))
-    offsets = sums.select("_at", F.coalesce(F.sum("_s").over(W.orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    within = F.coalesce(F.sum(size).over(W.partitionBy("_at").orderBy(*[c for c in (order, tie) if c]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return cut.join(offsets, "_at").withColumn(out, F.col("_o") + within).drop("_at", "_o")
+    ends = df.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"), F.ceil(F.count("*") / ROWS_A_BUCKET).alias("__b"))
+    real = lambda c: F.col(c).cast("double")  # noqa: E731  differences of far apart longs overflow
+    place = F.floor((real(order) - real("__lo")) / (real("__hi") - real("__lo") + 1) * F.col("__b"))
+    cut = df.crossJoin(F.broadcast(ends)).withColumn("__at", F.coalesce(place.cast("bigint"), F.lit(-1).cast("bigint"))).drop("__lo", "__hi", "__b")
+    sums = cut.groupBy("__at").agg(F.sum(size).alias("__s"))
+    offsets = sums.select("__at", F.coalesce(F.sum("__s").over(W.orderBy("__at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    within = F.coalesce(F.sum(size).over(W.partitionBy("__at").orderBy(*[c for c in (order, tie) if c]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return cut.join(offsets, "__at").withColumn(out, F.col("__o") + within).drop("__at", "__o")
 
 
 def cap_at_group_end(df: DataFrame, group: str, amount: str, cap: int) -> DataFrame:
     """Rows of the groups, in group order, before whose first row less than `cap` was taken."""
-    sums = df.groupBy(group).agg(F.sum(F.coalesce(F.col(amount), F.lit(0))).alias("_t"))
-    kept = running_before(sums, group, "_t").where(F.col("before") < cap).select(group)
+    sums = df.groupBy(group).agg(F.sum(F.coalesce(F.col(amount), F.lit(0))).alias("__t"))
+    kept = running_before(sums, group, "__t").where(F.col("before") < cap).select(group)
     return df.join(kept, group, "left_semi")
 
 

@@ -350,3 +350,54 @@ def user_sessions(spark, sf):
 
 def sampled_events(spark, sf):
     return sampling.seeded_sample(table(spark, sf, "events"), "event_id", 100)
+
+
+# --- the SQL surface, models and matrices ----------------------------------------------------------------------------------------
+@query("select corpus_id, case when regexp_matches(answer, '^[0-9]+$') then '(' || 'ARITH_EQUALS #x ' || answer || ')' end as repaired, 3::bigint as nodes from corpus where regexp_matches(answer, '^[0-9]+$')")
+def sql_surface(spark, sf):
+    """Scalar and table functions called from SQL."""
+    from loomstone.functions.register import register
+
+    register(spark, table(spark, sf, "signatures"))
+    table(spark, sf, "corpus").where("answer rlike '^[0-9]+$'").select("corpus_id", F.concat(F.lit("ARITH_EQUALS #x "), "answer").alias("bare")).createOrReplaceTempView("loomstone_bare")
+    return spark.sql("""with fixed as (select corpus_id, auto_repair(bare) as repaired from loomstone_bare)
+      select f.corpus_id, f.repaired, count(*) as nodes from fixed f, lateral parse_nodes(f.repaired) n group by f.corpus_id, f.repaired""")
+
+
+@query()
+def model_labels(spark, sf):
+    """Clusters named by the stand-in model from the tokens (here ids) nearest to their centres."""
+    from loomstone.plans import mining
+
+    near = vectors.top_k_per_group(_scored(spark, sf).select("label", "vec_id", "similarity"), ["label"], "similarity", "vec_id", 20)
+    rows = near.select(F.col("label").alias("cluster_id"), "rank", F.concat(F.lit("tok"), F.col("vec_id").cast("string")).alias("token"))
+    return mining.label_clusters(rows, mining.rule_model).select("prim_id", "symbol", "prim_type", "confidence")
+
+
+@query()
+def model_types(spark, sf):
+    from loomstone.plans import mining
+
+    return mining.structure_types(table(spark, sf, "primitives"), mining.rule_model).select("symbol", F.array_join("type_path", "/").alias("path"), "reclassified")
+
+
+@query()
+def model_signatures(spark, sf):
+    from loomstone.plans import mining
+
+    have = reg.last_wins(table(spark, sf, "signatures"), ["symbol"], "pos").where("symbol not like 'LOGICAL%'")
+    return mining.write_signatures(table(spark, sf, "primitives"), have, mining.rule_model).select("symbol", "arity", "range_type")
+
+
+@query("select p.prim_id, p.symbol, e.label from (select distinct prim_id, symbol, try_cast(substr(prim_id, 2) as bigint) as i from primitives where prim_id like 'P%') p join embeddings e on e.vec_id = p.i")
+def centroid_rows(spark, sf):
+    """Registry rows with a usable centre: an id P<n> whose n is a row of the matrix."""
+    ids = table(spark, sf, "primitives").where("prim_id like 'P%'").select("prim_id", "symbol", F.expr("try_cast(substring(prim_id, 2, 9) as bigint)").alias("vec_id")).distinct()
+    return ids.join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id").select("prim_id", "symbol", "label")
+
+
+@query("select symbol, len(string_split(symbol, '_')) as pieces from primitives where symbol is not null and len(string_split(symbol, '_')) <> 1")
+def atomicity_check(spark, sf):
+    """Vocabulary entries that an encoding cuts into several pieces; here pieces end at underscores."""
+    rows = table(spark, sf, "primitives").where("symbol is not null").select("symbol", F.size(F.split("symbol", "_")).cast("bigint").alias("pieces"))
+    return rows.where("pieces <> 1")

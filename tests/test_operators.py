@@ -138,3 +138,42 @@ def test_build(spark):
     got = {r.example_id: r for r in build_corpus(examples, sigs, external.stand_in).collect()}
     assert got[1].reason is None and got[1].step_count == 4 and got[1].chain.startswith("[(ARITH_EQUALS 3 4)")
     assert got[2].reason == "NO_STEPS" and got[3].reason is None or got[3].reason.startswith("COMPRESSION")
+
+
+def test_models(spark):
+    from loomstone.plans import mining
+
+    near = spark.createDataFrame([(1, r, f"t{r % 12}") for r in range(1, 21)] + [(2, 1, "only")], "cluster_id int, rank int, token string")
+    got = {r.prim_id: r for r in mining.label_clusters(near, mining.rule_model).collect()}
+    assert set(got) == {"P0001"} and got["P0001"].example_tokens == [f"t{i}" for i in range(1, 11)] and got["P0001"].symbol == "T1_T2"
+    prims = spark.createDataFrame([("KNOWN_TRUE", "Logical", "x"), ("LOGICAL_NOT", "Logical", None), ("CAT", "Entity", None), (None, "Entity", None)], "symbol string, prim_type string, gloss string")
+    paths = {r.symbol: (r.type_path, r.reclassified) for r in mining.structure_types(prims, mining.rule_model).collect()}
+    assert paths["KNOWN_TRUE"] == (["Modal"], True) and paths["LOGICAL_NOT"] == (["Logical", "Quantifier"], False)
+    sigs = spark.createDataFrame([("OLD", 3, None, "R")], "symbol string, arity int, domain_types array<string>, range_type string")
+    out = {r.symbol: r.arity for r in mining.write_signatures(prims, sigs, mining.rule_model).collect()}
+    assert out == {"OLD": 3, "KNOWN_TRUE": 1, "LOGICAL_NOT": 2}
+
+
+def test_matrix(spark, tmp_path):
+    import numpy as np
+
+    from loomstone.sources import matrix
+
+    m = np.arange(60, dtype=np.float16).reshape(20, 3)
+    np.save(tmp_path / "m.npy", m)
+    rows = {r.vec_id: list(r.embedding) for r in matrix.read_matrix(spark, str(tmp_path / "m.npy"), 7).collect()}
+    assert rows == {i: [float(x) for x in m[i]] for i in range(20)}
+    texts = spark.createDataFrame([(1, "ab"), (2, None)], "i int, t string")
+    got = matrix.embed_rows(texts, "i", "t", lambda: lambda ts: [[len(t), 1.0] for t in ts], 2).collect()
+    assert [(r.i, list(r.embedding)) for r in got] == [(1, [2.0, 1.0])]
+
+
+def test_sql_functions(spark):
+    from loomstone.functions.register import register
+
+    sigs = spark.createDataFrame([(1, "F", 1, ["Entity"], "R")], "pos int, symbol string, arity int, domain_types array<string>, range_type string")
+    register(spark, sigs)
+    r = spark.sql("select validate('(F 1)').ok as a, validate_strict('(F 1)').err_kind as b, auto_repair('FX 1') as c, assemble_chain(array('x', 'y')) as d, extract_block('<answer> 4 </answer>', 'answer') as e, cosine(array(1f, 0f), array(1f, 0f)) as f").first()
+    assert (r.a, r.b, r.c, r.d, r.e) == (True, "TYPE_ERROR", "(FX 1)", "[x y]", "4") and abs(r.f - 1) < 1e-6
+    assert [x.expr for x in spark.sql("select expr from top_level_exprs('(A) B 1') order by pos").collect()] == ["(A)", "B 1"]
+    assert spark.sql("select count(*) as n from parse_nodes('(F [A B])')").first().n == 4
