@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.functions import answers, chain
+from loomstone.functions import chain
 
 
 class ParseNodes:
@@ -51,7 +51,3 @@ def register(spark: SparkSession, signatures: DataFrame, ontology: dict[str, lis
     spark.udtf.register("parse_nodes", F.udtf(ParseNodes, returnType=chain.NODE))
     spark.udtf.register("top_level_exprs", F.udtf(TopLevel, returnType="pos int, expr string"))
 
-
-def normalise_answers(df: DataFrame, answer: str, out: str = "normal") -> DataFrame:
-    """As a column, since it is made of built-in functions."""
-    return df.withColumn(out, answers.normalise(F.col(answer)))

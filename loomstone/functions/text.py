@@ -98,6 +98,3 @@ def orphaned_variables(chain: Column) -> Column:
 def underkill(question: Column, steps: Column) -> Column:
     return (F.regexp_count(question, F.lit("[.?!]")) >= 3) & (steps == 1)
 
-
-def fixed_error(text: Column, pattern: str) -> Column:
-    return F.regexp_extract(text, pattern, 1)

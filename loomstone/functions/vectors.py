@@ -46,61 +46,112 @@ def top_k_per_group(df: DataFrame, group: list[str], score: str, tie: str, k: in
 
 
 BLOCK = 2048
+PIVOT_SAMPLE = 4_096
+MOST_PIVOTS = 1_024
 
 
-def similar_pairs(df: DataFrame, vec_id: str, vector: str, threshold: float, bits: int = 16, seed: int = 42, exact: bool = True) -> DataFrame:
-    """(id_a, id_b, similarity), id_a < id_b: pairs of vectors with a cosine above the threshold (norms + 1e-8 each).
+def similar_pairs(df: DataFrame, vec_id: str, vector: str, threshold: float, seed: int = 42) -> DataFrame:
+    """(id_a, id_b, similarity), id_a < id_b: all pairs of vectors with a cosine (norms + 1e-8 each) above the threshold.
 
-    Vectors are cut into blocks of 2,048; every block meets every block once as one matrix product, so a task holds two
-    blocks and the work is spread over all pairs of blocks. With exact=False only blocks of one signed random
-    projection bucket (`bits` planes) meet, which is a candidate search that may lose pairs.
+    Exact, by cells around pivots: a vector lives with its nearest pivot and visits the later cells in which a vector within the
+    threshold's angle can live (by the triangle inequality on angles: no farther from the pivot than the cell's radius
+    plus the angle, nor than its own pivot's distance plus twice the angle). Cells are compared in blocks of 2,048
+    vectors, so no task holds more than two blocks. Pivots (one for each 2,000 vectors, 1,024 at most) are drawn from
+    a sample of 4,096; any choice is exact. Null ids and vectors are left out, and vectors of zeros have no pairs.
+    The threshold must not be negative. The lower it is, the more cells a vector visits, up to all of them.
     """
-    plain = df.select(F.col(vec_id).alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
-    if not exact:
-        return _bucketed_pairs(plain, threshold, bits, seed)
-    n = plain.count()
-    blocks = max(1, -(-n // BLOCK))
-    keyed = plain.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    ids = df.sparkSession.range(blocks).select(F.col("id").cast("int").alias("b"))
-    left = keyed.join(ids, F.col("b") >= F.col("block")).select(F.col("block").alias("x"), F.col("b").alias("y"), "id", "v", F.lit(0).alias("side"))
-    right = keyed.join(ids, F.col("b") < F.col("block")).select(F.col("b").alias("x"), F.col("block").alias("y"), "id", "v", F.lit(1).alias("side"))
-    return left.unionByName(right).groupBy("x", "y").applyInPandas(_pair_block(threshold), "id_a bigint, id_b bigint, similarity double")
+    if threshold < 0:
+        raise ValueError("the threshold must not be negative")
+    plain = df.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).where("id is not null and v is not null").dropDuplicates(["id"])
+    pivots = _pivots(plain, seed)
+    if pivots is None:
+        return df.sparkSession.createDataFrame([], "id_a bigint, id_b bigint, similarity double")
+    near = materialise(plain.mapInPandas(_place(pivots), "id bigint, v array<float>, cell int, gap double"), "cells")
+    radii = np.full(len(pivots), -1.0)
+    for r in near.groupBy("cell").agg(F.max("gap").alias("gap")).collect():  # a row for each pivot
+        radii[r.cell] = r.gap
+    members = near.mapInPandas(_visit(pivots, radii, float(np.arccos(min(1.0, threshold))) + 1e-6), "id bigint, v array<float>, cell int, home boolean")
+    sizes = near.groupBy("cell").agg(F.count("*").alias("homes"))
+    cut = members.join(sizes, "cell").withColumn("blocks", F.ceil(F.col("homes") / BLOCK).cast("int"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    # a home block meets the home blocks from itself on; a visitor block meets every home block
+    homes = cut.where("home").withColumn("x", block)
+    left = homes.select("cell", "x", F.explode(F.sequence(F.col("x"), F.col("blocks") - 1)).alias("y"), F.lit(0).alias("visit"), "id", "v", F.lit(0).alias("side"))
+    right = homes.select("cell", F.explode(F.sequence(F.lit(0), F.col("x"))).alias("o"), F.col("x").alias("y"), F.lit(0).alias("visit"), "id", "v", F.lit(1).alias("side")).where("o < y").withColumnRenamed("o", "x")
+    guests = cut.where("not home").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)))
+    counts = guests.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    guests = guests.join(counts, "cell").withColumn("y", F.pmod("part", F.col("parts")).cast("int"))
+    visiting = guests.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), "y", F.lit(1).alias("visit"), "id", "v", F.lit(1).alias("side"))
+    hosts = homes.join(counts, "cell").select("cell", "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("y"), F.lit(1).alias("visit"), "id", "v", F.lit(0).alias("side"))
+    every = left.unionByName(right).unionByName(visiting).unionByName(hosts)
+    return every.groupBy("cell", "x", "y", "visit").applyInPandas(_pair_block(threshold), "id_a bigint, id_b bigint, similarity double")
+
+
+def _matrix(v: pd.Series) -> np.ndarray:
+    return np.array(v.tolist(), np.float64).reshape(len(v), -1)
 
 
 def _unit(v: pd.Series) -> np.ndarray:
-    m = np.array(v.tolist(), np.float64).reshape(len(v), -1)
+    m = _matrix(v)
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8)
 
 
+def _pivots(plain: DataFrame, seed: int) -> np.ndarray | None:
+    n = plain.count()
+    rows = plain.orderBy(F.xxhash64("id", F.lit(seed))).limit(PIVOT_SAMPLE).select("v").toPandas()
+    rows = rows[[bool(np.any(v)) for v in rows["v"]]] if len(rows) else rows
+    if not len(rows):
+        return None
+    return _unit(rows["v"])[: max(1, min(MOST_PIVOTS, -(-n // 2_000)))]
+
+
+def _angles(v: pd.Series, pivots: np.ndarray) -> np.ndarray:
+    m = _matrix(v)
+    return np.arccos(np.clip(m / np.linalg.norm(m, axis=1, keepdims=True) @ pivots.T, -1.0, 1.0))
+
+
+def _place(pivots: np.ndarray):
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[[bool(np.any(v)) for v in pdf["v"]]]
+            if len(pdf):
+                gaps = _angles(pdf["v"], pivots)
+                cell = gaps.argmin(1)
+                yield pdf.assign(cell=cell.astype(np.int32), gap=gaps[np.arange(len(pdf)), cell])
+
+    return place
+
+
+def _visit(pivots: np.ndarray, radii: np.ndarray, angle: float):
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            gaps = _angles(pdf["v"], pivots)
+            own, cell = pdf["gap"].to_numpy()[:, None], pdf["cell"].to_numpy()[:, None]
+            there = (radii >= 0) & (gaps <= np.minimum(radii + angle, own + 2 * angle)) & (np.arange(len(pivots)) > cell)
+            row, to = np.nonzero(there)
+            guests = pdf.iloc[row][["id", "v"]].assign(cell=to.astype(np.int32), home=False)
+            yield pd.concat([pdf[["id", "v", "cell"]].assign(home=True), guests])
+
+    return visit
+
+
 def _pair_block(threshold: float):
     def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, x, y, visit = key
+        alone = not visit and x == y
         a = pdf[pdf["side"] == 0]
-        b = a if key[0] == key[1] else pdf[pdf["side"] == 1]
+        b = a if alone else pdf[pdf["side"] == 1]
         if not len(a) or not len(b):
             return pd.DataFrame({"id_a": pd.Series(dtype="int64"), "id_b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
         sim = _unit(a["v"]) @ _unit(b["v"]).T
         i, j = np.nonzero(sim > threshold)
-        x, y = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
-        keep = x < y if key[0] == key[1] else x != y
-        return pd.DataFrame({"id_a": np.minimum(x, y)[keep], "id_b": np.maximum(x, y)[keep], "similarity": sim[i, j][keep]})
+        p, q = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
+        keep = p < q if alone else np.ones(len(p), bool)
+        return pd.DataFrame({"id_a": np.minimum(p, q)[keep], "id_b": np.maximum(p, q)[keep], "similarity": sim[i, j][keep]})
 
     return pairs
 
 
-def _bucketed_pairs(plain: DataFrame, threshold: float, bits: int, seed: int) -> DataFrame:
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes = None
-        for pdf in batches:
-            m = np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), -1)
-            if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((m.shape[1], bits))
-            code = ((m @ planes) > 0) @ (1 << np.arange(bits))
-            yield pdf.assign(x=code.astype(np.int32), y=code.astype(np.int32), side=np.int32(0))
-
-    coded = plain.mapInPandas(sign, "id bigint, v array<float>, x int, y int, side int")
-    return coded.groupBy("x", "y").applyInPandas(_pair_block(threshold), "id_a bigint, id_b bigint, similarity double")
-
-
 def greedy_keep(vectors: DataFrame, vec_id: str, confidence: str, pairs: DataFrame) -> DataFrame:
     """Rows that greedy near-duplicate removal keeps, in the order of their ids.
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import vectors
 from loomstone.operators import registry as reg
-from loomstone.operators import sampling
 from loomstone.plans.registry import query, table
 from loomstone.scratch import scratch_path
 from loomstone.sources import jsonl
@@ -348,10 +347,6 @@ def user_sessions(spark, sf):
     return table(spark, sf, "events").where("ts is not null").select("user_id", new.alias("new")).groupBy("user_id").agg(F.sum("new").alias("sessions"), F.count("*").alias("n"))
 
 
-def sampled_events(spark, sf):
-    return sampling.seeded_sample(table(spark, sf, "events"), "event_id", 100)
-
-
 # --- the SQL surface, models and matrices ----------------------------------------------------------------------------------------
 @query("select corpus_id, case when regexp_matches(answer, '^[0-9]+$') then '(' || 'ARITH_EQUALS #x ' || answer || ')' end as repaired, 3::bigint as nodes from corpus where regexp_matches(answer, '^[0-9]+$')")
 def sql_surface(spark, sf):

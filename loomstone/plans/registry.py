@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomstone.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def table(spark: SparkSession, sf_dir: str, name: str, python: bool = False) -> DataFrame:
     """A table as it was written. python: for work in Python, a table in fewer pieces than there are cores is spread over
     them, as reading is then quicker than what follows; larger tables come in more pieces and stay as they are."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if python and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +24,20 @@ def session(name: str = "loomstone", cpus: str | int | None = None, partitions:
         .config("spark.sql.warehouse.dir", "/tmp/loomstone-warehouse")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors of a cluster, once a context; with local masters there is nothing to send.
+
+    The archive is served by the driver, as any file given to addPyFile, from the folder that PySpark removes at its end.
+    """
+    sc = spark.sparkContext
+    if sc.master.split("[")[0] == "local" or getattr(sc, "_loomstone_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(sc._temp_dir, "loomstone.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(archive)
+    sc._loomstone_sent = True

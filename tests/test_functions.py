@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomstone.functions import answers, text, vectors
@@ -103,15 +104,23 @@ def test_vectors(spark):
     assert math.isclose(one.s, 1.0, abs_tol=1e-6) and one.n is None
 
 
-def test_similar_pairs_across_blocks(spark, monkeypatch):
+@pytest.mark.parametrize(("pivots", "threshold"), [(1, 0.95), (9, 0.95), (9, 0.5), (40, 0.99), (5, 0.0)])
+def test_similar_pairs_in_cells(spark, monkeypatch, pivots, threshold):
+    """Many small blocks and few or many pivots give the pairs of brute force."""
     monkeypatch.setattr(vectors, "BLOCK", 10)
+    real = vectors._pivots
+    monkeypatch.setattr(vectors, "_pivots", lambda plain, seed: vectors._unit(plain.orderBy("id").limit(200).toPandas()["v"].iloc[1:])[:pivots] if plain.count() else real(plain, seed))
     rng = random.Random(2)
-    rows = [(i, [rng.choice([0.0, 1.0]) for _ in range(4)]) for i in range(45)]
+    rows = [(0, [0.0] * 4), *[(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(1, 120)], (500, None), (None, [1.0] * 4)]
+    rows += [(1000 + i, [x + 0.01 for x in v]) for i, v in rows[1:30]]
     df = spark.createDataFrame(rows, "i bigint, v array<float>")
-    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / ((math.sqrt(sum(a)) + 1e-8) * (math.sqrt(sum(b)) + 1e-8))
-    want = {(i, j) for i, a in rows for j, b in rows if i < j and cos(a, b) > 0.95}
-    assert {(r.id_a, r.id_b) for r in vectors.similar_pairs(df, "i", "v", 0.95).collect()} == want
-    assert vectors.similar_pairs(df.limit(0), "i", "v", 0.95).count() == 0
+    norm = lambda a: math.sqrt(sum(x * x for x in a)) + 1e-8
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (norm(a) * norm(b))
+    good = [(i, v) for i, v in rows if i and v and any(v)]
+    want = {(i, j) for i, a in good for j, b in good if i < j and cos(a, b) > threshold}
+    got = [(r.id_a, r.id_b) for r in vectors.similar_pairs(df, "i", "v", threshold).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert vectors.similar_pairs(df.limit(0), "i", "v", threshold).count() == 0
 
 
 def test_components(spark):
