@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomstone.llm import common
 
@@ -125,17 +124,17 @@ def choose(classes: tuple[tuple[str, ...], ...], used: dict[str, int]) -> dict[s
 
 
 class Rewriter:
-    """Rewrites text in two greedy leftmost-longest passes: single characters, then base + accent sequences."""
+    """Rewrites text in two greedy leftmost-longest passes: single characters, then base + accent sequences.
+
+    After the first pass only representatives of the base classes are left, so the second needs no sequence that holds
+    anything else.
+    """
 
     def __init__(self, used: dict[str, int] | None = None) -> None:
-        self.first = self._automaton(choose(base_classes(), used or {}))
-        # after the first pass only representatives of the base classes are left
-        kept = {x: choose(base_classes(), used or {}).get(x, x) for c in base_classes() for x in c}
-        reduced = {}
-        for s, best in choose(accent_classes(), used or {}).items():
-            reduced[s] = best
-        # a best form may hold a letter that the first pass rewrites; chains end at the rewritten best form
-        self.second = self._automaton({s: best for s, best in reduced.items() if all(kept.get(ch, ch) == ch for ch in s)})
+        singles = choose(base_classes(), used or {})
+        sequences = choose(accent_classes(), used or {})
+        self.first = self._automaton(singles)
+        self.second = self._automaton({s: best for s, best in sequences.items() if not any(ch in singles for ch in s)})
 
     @staticmethod
     def _automaton(rules: dict[str, str]) -> ahocorasick.Automaton | None:
@@ -273,5 +272,3 @@ def lookalike_pairs(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     both = pairs.join(one, ["form_key", "key_a"]).join(two, ["form_key", "key_b"]).where("id_a <> id_b")
     return both.select(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b")).distinct()
 
-
-FORMS_TYPE = T.StructType([T.StructField("id", T.LongType()), T.StructField("form", T.StringType())])
