@@ -84,7 +84,7 @@ def build_segment(texts: DataFrame, shape: Shape, order: Order, route: Routing)
     return _suffixes(texts, shape, order, route, False)
 
 
-def _search_part(shape: Shape):
+def _search_part(shape: Shape, within: bool):
     r = shape.ratio
     top, low = r.numerator, r.denominator
     k = shape.k
@@ -109,7 +109,7 @@ def _search_part(shape: Shape):
             entry = np.arange(len(probe)) - np.repeat(np.cumsum(w) - w, w) + left[probe]
             m, n, a, b = p_size[probe].astype(np.int64), size[entry].astype(np.int64), p_rank[probe].astype(np.int64), rank[entry].astype(np.int64)
             needed = -(-(m + n) * top // (top + low))
-            good = (p_tid[probe] != tid[entry]) & (np.minimum(m, n) * low >= np.maximum(m, n) * top) & (np.minimum(m - a, n - b) >= needed - shape.hits + 1)
+            good = ((p_tid[probe] != tid[entry]) | (not within)) & (np.minimum(m, n) * low >= np.maximum(m, n) * top) & (np.minimum(m - a, n - b) >= needed - shape.hits + 1)
             probe, entry, needed = probe[good], entry[good], needed[good]
             differ = p_ext[probe] ^ ext[entry]
             longest = np.full(len(probe), k, np.int32)
@@ -128,10 +128,11 @@ def _search_part(shape: Shape):
     return search
 
 
-def search_segment(segment: DataFrame, texts: DataFrame, shape: Shape, order: Order, route: Routing) -> DataFrame:
-    """(probe, tid, words, longest): records of the segment that match enough suffixes of a probe text, the words matched, and the longest match."""
+def search_segment(segment: DataFrame, texts: DataFrame, shape: Shape, order: Order, route: Routing, within: bool = False) -> DataFrame:
+    """(probe, tid, words, longest): records of the segment that match enough suffixes of a probe text, the words matched, and the
+    longest match. within: the probes are texts of the segment, and none finds itself."""
     probes = _suffixes(texts, shape, order, route, True)
-    hits = segment.groupBy("part").cogroup(probes.groupBy("part")).applyInPandas(_search_part(shape), HIT_SCHEMA)
+    hits = segment.groupBy("part").cogroup(probes.groupBy("part")).applyInPandas(_search_part(shape, within), HIT_SCHEMA)
     sums = hits.groupBy("probe", "tid").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
     return sums.where("shared >= least").select("probe", "tid", "words", "longest")
 
@@ -164,7 +165,7 @@ def seen_before(history: DataFrame, history_text: str, new: DataFrame, new_id: s
     probes = texts.where(f"is_new = 1 and batch <> {BEFORE_ALL}")
     order = rare_first(texts, "words", shape.k)
     route = routing(order, texts.count())
-    hits = search_segment(build_segment(texts, shape, order, route), probes, shape, order, route)
+    hits = search_segment(build_segment(texts, shape, order, route), probes, shape, order, route, within=True)
     asked = probes.select(F.col("tid").alias("probe"), F.col("words").alias("words_p"), F.col("batch").alias("batch_p"), F.col("first_id").alias("id_p"))
     held = texts.select("tid", F.col("words").alias("words_h"), F.col("batch").alias("batch_h"), F.col("first_id").alias("id_h"))
     pairs = hits.select("probe", "tid").join(asked, "probe").join(held, "tid").where("batch_h < batch_p or (batch_h = batch_p and id_h < id_p)")
@@ -221,8 +222,7 @@ class SegmentStore:
             held = self.spark.read.parquet(f"{name}/texts")
             named = texts.withColumnRenamed("tid", "probe").withColumnRenamed("words", "words_p")
             same = named.join(held, F.col("words_p") == F.col("words")).select("probe", "tid")
-            shifted = texts.select((-F.col("tid") - 1).alias("tid"), "words")  # so that a probe is no record, whatever its id
-            hits = search_segment(self.spark.read.parquet(f"{name}/suffixes"), shifted, self.shape, self.order, self._route()).select((-F.col("probe") - 1).alias("probe"), "tid")
+            hits = search_segment(self.spark.read.parquet(f"{name}/suffixes"), texts, self.shape, self.order, self._route())
             close = hits.join(named, "probe").join(held, "tid").where(near(self.shape)("words_p", "words")).select("probe", "tid")
             found = same.union(close)
             out = found if out is None else out.union(found)
