@@ -222,7 +222,7 @@ class SegmentStore:
             held = self.spark.read.parquet(f"{name}/texts")
             named = texts.withColumnRenamed("tid", "probe").withColumnRenamed("words", "words_p")
             same = named.join(held, F.col("words_p") == F.col("words")).select("probe", "tid")
-            hits = search_segment(self.spark.read.parquet(f"{name}/suffixes"), texts, self.shape, self.order, self._route())
+            hits = search_segment(self.spark.read.parquet(f"{name}/suffixes"), texts, self.shape, self.order, self._route()).select("probe", "tid")
             close = hits.join(named, "probe").join(held, "tid").where(near(self.shape)("words_p", "words")).select("probe", "tid")
             found = same.union(close)
             out = found if out is None else out.union(found)
