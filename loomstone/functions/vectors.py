@@ -34,6 +34,22 @@ def mean_vectors(df: DataFrame, group: list[str], vector: str, out: str = "mean"
     return means.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_m"))), lambda p: p["_m"]).alias(out))
 
 
+MOST_CENTRES = 10_000
+
+
+def nearest(df: DataFrame, vector: str, centres: DataFrame, label: str, centre: str) -> DataFrame:
+    """df with nearest (the label, a number, of the centre with the highest cosine; ties: the smallest) and similarity.
+
+    The centres go to every executor; more than 10,000 are refused.
+    """
+    if centres.limit(MOST_CENTRES + 1).count() > MOST_CENTRES:
+        raise ValueError(f"more than {MOST_CENTRES} centres")
+    every = centres.agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col(centre).alias("c"))).alias("__cs"))
+    scored = F.transform("__cs", lambda c: F.struct(cosine(F.col(vector), c["c"]).alias("s"), (-c["l"]).alias("l")))
+    best = df.crossJoin(F.broadcast(every)).withColumn("__b", F.array_max(scored))
+    return best.withColumn("nearest", -F.col("__b.l")).withColumn("similarity", F.col("__b.s")).drop("__cs", "__b")
+
+
 def top_k_per_group(df: DataFrame, group: list[str], score: str, tie: str, k: int) -> DataFrame:
     """The k rows of each group with the highest score, ties by `tie`: pre-selected in each input partition, so a hot
     group sends k rows of each partition to the final sort."""

@@ -72,6 +72,12 @@ def band_join(tokens: DataFrame, group: str, position: str, reach: int = 5) -> D
     return a.join(b, [group, "_b"]).where(F.abs(F.col("other") - F.col(position)) <= reach).select(group, position, "other")
 
 
+def lines_from_marker(lines: DataFrame, position: str, line: str, marker: str) -> DataFrame:
+    """Lines from the first that holds the marker on; none where none does."""
+    start = lines.where(F.col(line).contains(marker)).agg(F.min(position).alias("__start"))
+    return lines.crossJoin(F.broadcast(start)).where(F.col(position) >= F.col("__start")).drop("__start")
+
+
 def round_trip_outcome(parse_error: Column, response: Column, gold: Column, compat: bool = False) -> Column:
     """PARSE_INVALID, EVAL_FAIL (no response), ANSWER_MISMATCH or SURVIVOR; the response counts by its first number."""
     predicted = predicted_answer(response)

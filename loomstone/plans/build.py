@@ -2,15 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions import chain as lang
 from loomstone.functions import text
 from loomstone.operators import corpus as build
-from loomstone.sources.external import Model, ask_rows
+from loomstone.sources.external import Model
+
+
+FENCE_OPEN, FENCE_CLOSE = re.compile(r"^```[a-z]*\n?"), re.compile(r"\n?```$")
+NAMED = re.compile(r"#([A-Z][A-Z0-9_]*)")
+
+
+def tidy(raw: str) -> str:
+    """What a model wrote, as a chain: without a code fence, #NAMES in lower case, brackets repaired."""
+    bare = FENCE_CLOSE.sub("", FENCE_OPEN.sub("", raw.strip())).strip()
+    return lang.repair(NAMED.sub(lambda m: "#" + m.group(1).lower(), bare))
+
+
+def translate_steps(steps: DataFrame, step: str, signatures: dict[str, lang.Signature], make_model: Callable[[], Model], tries: int = 3) -> DataFrame:
+    """Adds chain, attempts and err_kind: each step is asked for until its chain is valid, `tries` times at most, the error of the last answer
+    following the prompt. A model that fails counts as an answer that can't be parsed; a null step isn't asked for."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make_model()
+        for pdf in batches:
+            out = []
+            for s in pdf[step]:
+                chain, kind, turn = None, lang.PARSE_ERROR, 0
+                prompt = s
+                while s is not None and kind is not None and turn < tries:
+                    turn += 1
+                    try:
+                        chain = tidy(model(prompt))
+                        _, kind, error = lang.verdict(chain, signatures)
+                    except Exception as e:  # noqa: BLE001  a failing service is asked again
+                        kind, error = lang.PARSE_ERROR, str(e)
+                    prompt = f"{s}\nThe last answer was wrong: {error}"
+                out.append((chain, turn, kind))
+            done = pd.DataFrame(out, columns=["chain", "attempts", "err_kind"], index=pdf.index).astype({"chain": object, "err_kind": object})
+            yield pd.concat([pdf, done], axis=1)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in steps.schema)
+    return steps.mapInPandas(work, f"{fields}, chain string, attempts int, err_kind string")
 
 
 def build_corpus(examples: DataFrame, signatures: DataFrame, make_model: Callable[[], Model], tries: int = 3) -> DataFrame:
@@ -21,10 +60,9 @@ def build_corpus(examples: DataFrame, signatures: DataFrame, make_model: Callabl
     """
     rows = examples.where("example_id is not null").dropDuplicates(["example_id"]).select("example_id", "question", "cot", "answer", "source")
     steps = rows.select("example_id", F.posexplode(text.sentence_steps(F.coalesce("cot", F.lit("")))).alias("pos", "step"))
-    said = ask_rows(steps, "step", "raw", make_model, tries)
-    clean = said.withColumn("chain", lang.auto_repair(lang.lower_variables(text.strip_fences(F.col("raw")))))
-    check = lang.validator(lang.signature_map(signatures))
-    judged = clean.withColumn("v", check("chain")).select("example_id", F.struct("pos", "chain", F.col("v.err_kind").alias("bad")).alias("s"))
+    known = lang.signature_map(signatures)
+    check = lang.validator(known)
+    judged = translate_steps(steps, "step", known, make_model, tries).select("example_id", F.struct("pos", "chain", F.col("err_kind").alias("bad")).alias("s"))
     folded = judged.groupBy("example_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
     chains = folded.select("example_id", F.transform("s", lambda x: x["chain"]).alias("steps"), F.get(F.filter(F.transform("s", lambda x: x["bad"]), lambda b: b.isNotNull()), F.lit(0)).alias("step_bad"))
     whole = rows.join(chains, "example_id", "left").withColumn("chain", lang.assemble(F.coalesce("steps", F.array().cast("array<string>"))))

@@ -133,6 +133,10 @@ def error_heads(spark, sf):
     return failed.groupBy(text.error_head(F.col("err")).alias("head")).agg(F.count("*").alias("n"))
 
 
+# Fixed value: the round-trip survival, in percent, from which hidden errors are taken off.
+SURVIVAL = 88.6
+
+
 # --- chains of the corpus: patterns ------------------------------------------------------------------------------------------
 KNOWN = "(select distinct symbol from (select symbol from signatures union all select symbol from primitives) where symbol is not null)"
 
@@ -227,6 +231,17 @@ def corpus_validation(spark, sf):
     return kinds.crossJoin(F.broadcast(total)).select("verdict", "n", F.round(100 * F.col("n") / F.col("t"), 1).alias("percent"))
 
 
+@query()
+def corpus_strict_audit(spark, sf):
+    """Chains valid by arity, by types too, and the heads (fifteen at most) whose arguments fail only the types."""
+    paths = lang.ontology_map(table(spark, sf, "primitives"))
+    sigs = lang.signature_map(table(spark, sf, "signatures"))
+    rows = table(spark, sf, "corpus", python=True).select(lang.validator(sigs)("neuralese_chain").alias("l"), lang.validator(sigs, paths)("neuralese_chain").alias("s"))
+    heads = rows.where("l.ok and not s.ok").groupBy(text.error_head(F.col("s.err")).alias("head")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "head").limit(15)
+    sums = rows.agg(F.count(F.when(F.col("l.ok"), 1)).alias("loose"), F.count(F.when(F.col("s.ok"), 1)).alias("strict"))
+    return sums.select(F.explode(F.array(F.struct(F.lit("(loose)").alias("head"), F.col("loose").alias("n")), F.struct(F.lit("(strict)").alias("head"), F.col("strict").alias("n")))).alias("x")).select("x.*").union(heads)
+
+
 @query()
 def corpus_nodes(spark, sf):
     nodes = table(spark, sf, "corpus", python=True).select(F.explode(lang.parse_nodes("neuralese_chain")).alias("n")).select("n.*")
@@ -240,13 +255,13 @@ def _unknown_counts(spark, sf):
 
 @query()
 def spotcheck_flags(spark, sf):
-    """Flags of the automatic check over the whole corpus, each with its share of rows and of the rows that survive."""
+    """Flags of the automatic check over the whole corpus, each with its share of rows and what is left of the round-trip survival without such rows."""
     ratio = text.token_count(F.col("neuralese_chain")) / F.greatest(text.token_count(F.col("original_cot")), F.lit(1))
     rows = _judged(spark, sf).select("corpus_id", "question", "answer", F.col("neuralese_chain").alias("chain"), "step_count", ratio.alias("ratio"), F.col("v.ok").alias("ok"))
     rows = rows.join(_unknown_counts(spark, sf), "corpus_id", "left").na.fill({"unknown": 0})
     flags = build.spot_flags(F.col("ok"), F.col("unknown"), F.col("ratio"), F.col("step_count"), F.col("question"), F.col("answer"), F.col("chain"))
     n = rows.agg(F.count("*").alias("t"))
-    return rows.select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n)).select("flag", "n", F.round(100 * F.col("n") / F.col("t"), 1).alias("percent"), F.round(88.6 * F.col("n") / F.col("t"), 1).alias("of_survivors"))
+    return rows.select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n)).select("flag", "n", F.round(100 * F.col("n") / F.col("t"), 1).alias("percent"), F.round(SURVIVAL - SURVIVAL * F.col("n") / F.col("t"), 1).alias("survival_without"))
 
 
 @query()
@@ -262,9 +277,9 @@ def auto_flags(spark, sf):
 
 @query()
 def highlight_unknown(spark, sf):
-    names = known_symbols(spark, sf).agg(F.collect_set("symbol").alias("known"))  # one row, as long as the registry
-    unknown = _unknown_counts(spark, sf).select("corpus_id")
-    return _corpus(spark, sf).join(unknown, "corpus_id", "left_semi").crossJoin(F.broadcast(names)).select("corpus_id", lang.highlight("chain", "known").alias("marked"))
+    used = _corpus(spark, sf).select("corpus_id", F.explode(F.array_distinct(text.symbols(F.col("chain"), 3))).alias("symbol"))
+    unknown = used.join(known_symbols(spark, sf), "symbol", "left_anti").groupBy("corpus_id").agg(F.collect_set("symbol").alias("unknown"))
+    return _corpus(spark, sf).join(unknown, "corpus_id").select("corpus_id", lang.highlight("chain", "unknown").alias("marked"))
 
 
 @query("""select corpus_id, regexp_replace(regexp_replace('```lisp' || chr(10) || neuralese_chain || chr(10) || '```', '^```[a-z]*\n?', ''), '\n?```$', '') as chain from corpus where neuralese_chain is not null and not regexp_matches(neuralese_chain, '^[\\s]|[\\s]$|[^ -~λ\n]|#[A-Z]')""")
@@ -367,6 +382,14 @@ def round_compare(spark, sf):
     return first.join(later, "symbol", "full_outer").na.fill(0)
 
 
+@query("""with l as (select discard_id as pos, 'line ' || case when discard_id % 500 = 120 then 'PHASE 4 starts' else 'text' end as line from discards)
+  select distinct pos from l where pos >= (select min(pos) from l where contains(line, 'PHASE 4'))""")
+def log_from_marker(spark, sf):
+    line = F.concat(F.lit("line "), F.when(F.col("discard_id") % 500 == 120, "PHASE 4 starts").otherwise("text"))
+    lines = table(spark, sf, "discards").select(F.col("discard_id").alias("pos"), line.alias("line"))
+    return build.lines_from_marker(lines, "pos", "line", "PHASE 4").select("pos").distinct()
+
+
 @query(f"""with {CHAINS}, p as (select row_number() over (order by k, a, b, chain) - 1 as pos, k from chains) select k, count(*) as n from p where pos >= 183 group by k""")
 def post_index_slice(spark, sf):
     """Rows from position 183 on; the position is given by an order over all columns."""

@@ -39,10 +39,8 @@ def cluster_topk(spark, sf):
 @query(f"""with {CENTRES}, s as (select e.vec_id, c.label, {COS.format('embedding', 'centre')} as similarity from embeddings e cross join c),
   r as (select *, row_number() over (partition by vec_id order by similarity desc, label) as rank from s) select vec_id, label as nearest, round(similarity, 6) as similarity from r where rank = 1""")
 def nearest_centroid(spark, sf):
-    every = centres(spark, sf).agg(F.collect_list(F.struct("label", "centre")).alias("cs"))  # one row: as many centres as labels
-    scored = F.transform("cs", lambda c: F.struct(vectors.cosine(F.col("embedding"), c["centre"]).alias("s"), (-c["label"]).alias("l")))
-    best = table(spark, sf, "embeddings").crossJoin(F.broadcast(every)).select("vec_id", F.array_max(scored).alias("b"))
-    return best.select("vec_id", (-F.col("b.l")).alias("nearest"), F.round("b.s", 6).alias("similarity"))
+    best = vectors.nearest(table(spark, sf, "embeddings"), "embedding", centres(spark, sf), "label", "centre")
+    return best.select("vec_id", "nearest", F.round("similarity", 6).alias("similarity"))
 
 
 @query("with s as (select r.label, count(e.vec_id) as n from range(12) r(label) left join embeddings e on e.label = r.label group by r.label) select min(n) as smallest, max(n) as largest, round(avg(n), 4) as mean_size, count(*) filter (n = 0) as empty from s")
@@ -384,6 +382,13 @@ def model_signatures(spark, sf):
     return mining.write_signatures(table(spark, sf, "primitives"), have, mining.rule_model).select("symbol", "arity", "range_type")
 
 
+@query("select least(count(*), 200) || ' symbols shown' as said from primitives where symbol is not null")
+def model_gaps(spark, sf):
+    from loomstone.plans import mining
+
+    return mining.grammar_gaps(table(spark, sf, "primitives"), mining.rule_model)
+
+
 @query("select p.prim_id, p.symbol, e.label from (select distinct prim_id, symbol, try_cast(substr(prim_id, 2) as bigint) as i from primitives where prim_id like 'P%') p join embeddings e on e.vec_id = p.i")
 def centroid_rows(spark, sf):
     """Registry rows with a usable centre: an id P<n> whose n is a row of the matrix."""

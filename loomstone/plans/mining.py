@@ -57,6 +57,13 @@ def write_signatures(primitives: DataFrame, signatures: DataFrame, make_model: C
     return registry.fill_signatures(have.unionByName(new), primitives)
 
 
+def grammar_gaps(primitives: DataFrame, make_model: Callable[[], Model], most: int = 200) -> DataFrame:
+    """(said): the model's text on what the language lacks for the first `most` symbols, by id. One prompt, by nature."""
+    first = primitives.where("symbol is not null").orderBy(F.asc_nulls_last("prim_id"), "symbol").limit(most)
+    lines = first.select(F.struct("prim_id", F.concat_ws(": ", "symbol", "gloss").alias("line")).alias("x")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n").alias("t"))
+    return ask_rows(lines.select(F.concat(F.lit("What can't be said with these symbols?\n"), "t").alias("prompt")), "prompt", "said", make_model).select("said")
+
+
 def rule_model() -> Model:
     """Answers the three prompts by rule, for tests and dry runs."""
 
@@ -66,6 +73,8 @@ def rule_model() -> Model:
             return json.dumps({"symbol": " ".join(map(str, tokens[:2])), "type": "Entity", "gloss": "from tokens", "confidence": 0.5 + 0.05 * len(tokens)})
         if prompt.startswith("Sort"):
             return json.dumps([{"symbol": s, "subtype": None, "reclassify_to": "Modal" if s.startswith("KNOWN") else None} for s in json.loads(prompt[prompt.index("[") :])])
+        if prompt.startswith("What"):
+            return f"{prompt.count(chr(10))} symbols shown"
         return json.dumps([{"symbol": r["symbol"], "arity": 1, "domain": ["Entity"], "range": "Relation"} for r in json.loads(prompt[prompt.index("[") :]) if "NOT" not in r["symbol"]])
 
     return answer

@@ -126,6 +126,47 @@ def test_streams(spark, tmp_path):
     assert sorted(r.k for r in ingest.ingest_new_keys(spark, src, df.schema, out2, cp2, "k").collect()) == [1, 2, 3]
 
 
+def test_progress(spark, tmp_path):
+    import time
+
+    from loomstone.streaming.progress import watch
+
+    seen = watch(spark)
+    df = spark.range(7)
+    df.write.parquet(str(tmp_path / "s"))
+    ingest.ingest_once(spark, str(tmp_path / "s"), df.schema, str(tmp_path / "t"), str(tmp_path / "c"))
+    for _ in range(50):
+        if sum(seen.rows.values()) == 7:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(seen)
+    (key,) = [k for k, n in seen.rows.items() if n == 7]
+    assert seen.rate(key) > 0 and seen.eta(key, 70) > 0 and seen.eta("none", 1) is None
+
+
+def test_marker(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "MARK"), (3, "b"), (4, "MARK")], "p int, l string")
+    assert sorted(r.p for r in build.lines_from_marker(df, "p", "l", "MARK").collect()) == [2, 3, 4]
+    assert build.lines_from_marker(df, "p", "l", "NONE").count() == 0
+
+
+def test_translation_retries(spark):
+    from loomstone.functions.chain import Signature
+    from loomstone.plans.build import translate_steps
+
+    def make():
+        def model(prompt):
+            if "fail" in prompt:
+                raise OSError("down")
+            return "```\nADD 1 #X\n```" if "wrong" in prompt and "never" not in prompt else "(ADD 1)"
+
+        return model
+
+    df = spark.createDataFrame([(1, "step"), (2, "never"), (3, "fail"), (4, None)], "i int, s string")
+    got = {r.i: (r.chain, r.attempts, r.err_kind) for r in translate_steps(df, "s", {"ADD": Signature(2)}, make).collect()}
+    assert got == {1: ("(ADD 1 #x)", 2, None), 2: ("(ADD 1)", 3, "ARITY_MISMATCH"), 3: (None, 3, "PARSE_ERROR"), 4: (None, 0, "PARSE_ERROR")}
+
+
 def test_external():
     said = iter(["not json", '{"items": [1, 2]}'])
     assert external.ask_json(lambda p: next(said), "p") == [1, 2]
