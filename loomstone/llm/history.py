@@ -40,10 +40,11 @@ class Routing:
     spread: np.ndarray
 
 
-def routing(order: Order, texts: int, parts: int | None = None) -> Routing:
+def routing(order: Order, shape: Shape, parts: int | None = None) -> Routing:
+    """As many parts as give each some 250,000 suffixes; prefixes hold 1 - least of all shingles, and a few more of each text."""
     counts = np.exp2(order.gram_logs)
     heavy = counts > HEAVY_A_PART
-    parts = parts or max(8, -(-texts * 20 // ENTRIES_A_PART))
+    parts = parts or max(8, int(order.total * (1.1 - float(shape.ratio)) / ENTRIES_A_PART) + 1)
     return Routing(parts, order.grams[heavy], np.minimum(np.ceil(counts[heavy] / HEAVY_A_PART), parts).astype(np.int64))
 
 
@@ -164,7 +165,7 @@ def seen_before(history: DataFrame, history_text: str, new: DataFrame, new_id: s
     # near: only the first row of a text that the history has not can still be new
     probes = texts.where(f"is_new = 1 and batch <> {BEFORE_ALL}")
     order = rare_first(texts, "words", shape.k)
-    route = routing(order, texts.count())
+    route = routing(order, shape)
     hits = search_segment(build_segment(texts, shape, order, route), probes, shape, order, route, within=True)
     asked = probes.select(F.col("tid").alias("probe"), F.col("words").alias("words_p"), F.col("batch").alias("batch_p"), F.col("first_id").alias("id_p"))
     held = texts.select("tid", F.col("words").alias("words_h"), F.col("batch").alias("batch_h"), F.col("first_id").alias("id_h"))
@@ -190,7 +191,7 @@ class SegmentStore:
         return df.select(F.col(record_id).cast("bigint").alias("tid"), common.word_text(F.col(text).cast("string")).alias("words")).where("tid is not null and words is not null").dropDuplicates(["tid"])
 
     def _route(self) -> Routing:
-        return routing(self.order, 0, self.parts)
+        return routing(self.order, self.shape, self.parts)
 
     def add(self, df: DataFrame, record_id: str, text: str) -> None:
         texts = self._texts(df, record_id, text)

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomstone.scratch import materialise
+
 WORDS_KEPT = 20_000
 SHINGLES_KEPT = 50_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -55,13 +57,14 @@ class Shape:
 
 @dataclass(frozen=True)
 class Order:
-    """Sorted hashes of frequent words and shingles, and how frequent they are (log2)."""
+    """Sorted hashes of frequent words and shingles, and how frequent they are (log2). total: shingles of all texts, with repeats."""
 
     words: np.ndarray
     word_logs: np.ndarray
     word_rest: float
     grams: np.ndarray
     gram_logs: np.ndarray
+    total: int
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -116,18 +119,19 @@ def _count_batches(k: int):
 def rare_first(texts: DataFrame, words: str, k: int) -> Order:
     """The order for a collection of word texts. What comes to the driver is at most 20,000 words and 50,000 shingles:
     no more can make up that share of all."""
-    counts = texts.select(F.col(words).alias("words")).mapInPandas(_count_batches(k), "kind int, h bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    counts = materialise(texts.select(F.col(words).alias("words")).mapInPandas(_count_batches(k), "kind int, h bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("n")), "counts")
     total = counts.where("kind >= 2").groupBy().agg(F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("w"), F.sum(F.when(F.col("kind") == 3, F.col("n"))).alias("g"))
     least = F.when(F.col("kind") == 0, F.col("w") / WORDS_KEPT).otherwise(F.col("g") / SHINGLES_KEPT)
-    kept = counts.where("kind < 2").crossJoin(F.broadcast(total)).where(F.col("n") >= least).select("kind", "h", "n", "w").toPandas()
+    kept = counts.where("kind < 2").crossJoin(F.broadcast(total)).where(F.col("n") >= least).select("kind", "h", "n").unionByName(counts.where("kind >= 2")).toPandas()
     sides = []
     for kind in (0, 1):
         one = kept[kept["kind"] == kind]
         h = one["h"].to_numpy(np.int64).astype(np.uint64)
         o = np.argsort(h)
         sides.append((h[o], np.log2(one["n"].to_numpy(np.float64)[o] + 1.0)))
-    floor = float(np.log2(max(1.0, float(kept["w"].iloc[0]) / WORDS_KEPT / 4))) if len(kept) else 0.0
-    return Order(sides[0][0], sides[0][1], floor, sides[1][0], sides[1][1])
+    words, grams = (int(kept.loc[kept["kind"] == kind, "n"].sum()) for kind in (2, 3))
+    floor = float(np.log2(max(1.0, words / WORDS_KEPT / 4)))
+    return Order(sides[0][0], sides[0][1], floor, sides[1][0], sides[1][1], grams)
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, rest: float) -> np.ndarray:
