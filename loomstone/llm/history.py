@@ -27,7 +27,8 @@ HEAVY_A_PART = 20_000
 PAIRS_AT_ONCE = 2_000_000
 NEXT_WORDS = 2
 SUFFIX_SCHEMA = "part int, gram bigint, ext int, tid bigint, size int, rank int"
-HIT_SCHEMA = "probe bigint, tid bigint, shared int, least int, words int, longest int"
+HIT_SCHEMA = "probe bigint, tid bigint, shared int, least int, words int, longest int, cut int"
+FIRST_MATCHES = 1_000
 BEFORE_ALL = -(1 << 62)
 
 
@@ -85,24 +86,29 @@ def build_segment(texts: DataFrame, shape: Shape, order: Order, route: Routing)
     return _suffixes(texts, shape, order, route, False)
 
 
-def _search_part(shape: Shape, within: bool):
+def _search_part(shape: Shape, within: bool, most: int | None):
     r = shape.ratio
     top, low = r.numerator, r.denominator
     k = shape.k
 
     def search(array: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
         if not len(array) or not len(probes):
-            return pd.DataFrame({"probe": pd.Series(dtype="int64"), "tid": pd.Series(dtype="int64")} | {c: pd.Series(dtype="int32") for c in ("shared", "least", "words", "longest")})
+            return pd.DataFrame({"probe": pd.Series(dtype="int64"), "tid": pd.Series(dtype="int64")} | {c: pd.Series(dtype="int32") for c in ("shared", "least", "words", "longest", "cut")})
         gram, ext = array["gram"].to_numpy(), array["ext"].to_numpy().astype(np.uint32)
         order = np.lexsort((ext, gram))
+        if most is not None and len(gram) > most and (np.sort(gram)[most:] == np.sort(gram)[:-most]).any():
+            order = np.lexsort((array["tid"].to_numpy(), gram))  # so that the first matches of a text's suffixes are the same records
         gram, ext = gram[order], ext[order]
         tid, size, rank = (array[c].to_numpy()[order] for c in ("tid", "size", "rank"))
         p_gram, p_ext, p_tid, p_size, p_rank = (probes[c].to_numpy() for c in ("gram", "ext", "tid", "size", "rank"))
         p_ext = p_ext.astype(np.uint32)
         left, right = np.searchsorted(gram, p_gram, "left"), np.searchsorted(gram, p_gram, "right")
         width = right - left
-        ends = np.cumsum(width)
         out, at = [], 0
+        if most is not None and (cut := np.unique(p_tid[width > most])).size:
+            width = np.minimum(width, most)
+            out.append(pd.DataFrame({"probe": cut, "tid": cut} | {c: np.full(len(cut), n, np.int32) for c, n in (("shared", 0), ("least", 1), ("words", 0), ("longest", 0), ("cut", 1))}))
+        ends = np.cumsum(width)
         while at < len(width):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
             w = width[at:to]
@@ -119,23 +125,24 @@ def _search_part(shape: Shape, within: bool):
                 alike &= ((differ >> np.uint32(j)) & np.uint32(0xFFFF) == 0) & ((ext[entry] >> np.uint32(j)) & np.uint32(0xFFFF) != 0)
                 longest += alike
             least = np.minimum(needed, shape.hits).astype(np.int32)
-            out.append(pd.DataFrame({"probe": p_tid[probe], "tid": tid[entry], "shared": np.int32(1), "least": least, "words": longest, "longest": longest}))
+            out.append(pd.DataFrame({"probe": p_tid[probe], "tid": tid[entry], "shared": np.int32(1), "least": least, "words": longest, "longest": longest, "cut": np.int32(0)}))
             at = to
         hits = pd.concat(out) if len(out) > 1 else out[0]
         if len(hits) == 0:
             return hits
-        return hits.groupby(["probe", "tid"], as_index=False).agg({"shared": "sum", "least": "min", "words": "sum", "longest": "max"})
+        return hits.groupby(["probe", "tid"], as_index=False).agg({"shared": "sum", "least": "min", "words": "sum", "longest": "max", "cut": "max"})
 
     return search
 
 
-def search_segment(segment: DataFrame, texts: DataFrame, shape: Shape, order: Order, route: Routing, within: bool = False) -> DataFrame:
-    """(probe, tid, words, longest): records of the segment that match enough suffixes of a probe text, the words matched, and the
-    longest match. within: the probes are texts of the segment, and none finds itself."""
+def search_segment(segment: DataFrame, texts: DataFrame, shape: Shape, order: Order, route: Routing, within: bool = False, most: int | None = None) -> DataFrame:
+    """(probe, tid, words, longest, cut): records of the segment that match enough suffixes of a probe text, the words matched, and the
+    longest match. within: the probes are texts of the segment, and none finds itself. most: of each suffix no more than so many
+    matches are followed; probes for which there are more have a row with cut = 1 and their own tid."""
     probes = _suffixes(texts, shape, order, route, True)
-    hits = segment.groupBy("part").cogroup(probes.groupBy("part")).applyInPandas(_search_part(shape, within), HIT_SCHEMA)
-    sums = hits.groupBy("probe", "tid").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
-    return sums.where("shared >= least").select("probe", "tid", "words", "longest")
+    hits = segment.groupBy("part").cogroup(probes.groupBy("part")).applyInPandas(_search_part(shape, within, most), HIT_SCHEMA)
+    sums = hits.groupBy("probe", "tid").agg(*[f(c).alias(c) for f, c in ((F.sum, "shared"), (F.min, "least"), (F.sum, "words"), (F.max, "longest"), (F.max, "cut"))])
+    return sums.where("shared >= least or cut = 1").select("probe", "tid", "words", "longest", "cut")
 
 
 def seen_before(history: DataFrame, history_text: str, new: DataFrame, new_id: str, batch: str, new_text: str, shape: Shape | None = None) -> DataFrame:
@@ -166,12 +173,24 @@ def seen_before(history: DataFrame, history_text: str, new: DataFrame, new_id: s
     probes = texts.where(f"is_new = 1 and batch <> {BEFORE_ALL}")
     order = rare_first(texts, "words", shape.k)
     route = routing(order, shape)
-    hits = search_segment(build_segment(texts, shape, order, route), probes, shape, order, route, within=True)
-    asked = probes.select(F.col("tid").alias("probe"), F.col("words").alias("words_p"), F.col("batch").alias("batch_p"), F.col("first_id").alias("id_p"))
-    held = texts.select("tid", F.col("words").alias("words_h"), F.col("batch").alias("batch_h"), F.col("first_id").alias("id_h"))
-    pairs = hits.select("probe", "tid").join(asked, "probe").join(held, "tid").where("batch_h < batch_p or (batch_h = batch_p and id_h < id_p)")
-    nearby = pairs.where(near(shape)("words_p", "words_h")).select(F.col("id_p").alias("id"))
-    return same.union(nearby).distinct().select(F.col("id").alias(new_id))
+    segment = build_segment(texts, shape, order, route)
+
+    def earlier_and_near(hits: DataFrame) -> DataFrame:
+        asked = probes.select(F.col("tid").alias("probe"), F.col("words").alias("words_p"), F.col("batch").alias("batch_p"), F.col("first_id").alias("id_p"))
+        held = texts.select("tid", F.col("words").alias("words_h"), F.col("batch").alias("batch_h"), F.col("first_id").alias("id_h"))
+        pairs = hits.select("probe", "tid").join(asked, "probe").join(held, "tid").where("batch_h < batch_p or (batch_h = batch_p and id_h < id_p)")
+        return pairs.where(near(shape)("words_p", "words_h")).select("probe", F.col("id_p").alias("id")).distinct()
+
+    # one earlier text is enough: where a suffix has very many matches, the first of them settle most probes, and only
+    # those that they don't settle are searched to the end
+    first = common.materialise(search_segment(segment, probes, shape, order, route, within=True, most=FIRST_MATCHES), "first-matches")
+    nearby = earlier_and_near(first.where("cut = 0"))
+    cut = first.where("cut = 1").select(F.col("probe").alias("tid")).distinct()
+    if not cut.isEmpty():
+        nearby = common.materialise(nearby, "near-first")
+        rest = common.materialise(probes.join(cut, "tid", "left_semi").join(nearby.select(F.col("probe").alias("tid")), "tid", "left_anti"), "unsettled")
+        nearby = nearby.union(earlier_and_near(search_segment(segment, rest, shape, order, route, within=True)))
+    return same.union(nearby.select("id")).distinct().select(F.col("id").alias(new_id))
 
 
 class SegmentStore:

@@ -72,6 +72,18 @@ def test_hot_suffixes_are_spread(spark, monkeypatch):
     assert got == {i for i, q in new if any(near(q, o, 3, 6, 10) for o in old) or any(j < i and near(q, r, 3, 6, 10) for j, r in new)}
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_first_matches_then_all(spark, monkeypatch, most):
+    """With few matches followed at first, the probes they don't settle are searched to the end."""
+    monkeypatch.setattr(history, "FIRST_MATCHES", most)
+    shape = Shape(3, "0.6")
+    qs = questions(17, 200)
+    old, new = qs[:80], list(enumerate(qs[80:]))
+    df = spark.createDataFrame([(i, i // 50, q) for i, q in new], "i bigint, b int, q string")
+    got = {r[0] for r in history.seen_before(spark.createDataFrame([(q,) for q in old], "q string"), "q", df, "i", "b", "q", shape).collect()}
+    assert got == {i for i, q in new if any(near(q, o, 3, 6, 10) for o in old) or any(j < i and near(q, r, 3, 6, 10) for j, r in new)}
+
+
 def test_segment_store(spark, tmp_path):
     shape = Shape(3, "0.6")
     qs = questions(13, 120)
