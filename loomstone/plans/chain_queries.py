@@ -8,7 +8,7 @@ from loomstone.functions import chain as lang
 from loomstone.functions import text
 from loomstone.operators import corpus as build
 from loomstone.operators import evaluation
-from loomstone.plans.registry import query, table
+from loomstone.plans.registry import query, table, with_share
 
 # The kinds of chains rendered, their verdicts as they are and after repair.
 TEMPLATES = (
@@ -146,7 +146,7 @@ def known_symbols(spark, sf):
 
 
 def _corpus(spark, sf):
-    return table(spark, sf, "corpus").where("neuralese_chain is not null").withColumnRenamed("neuralese_chain", "chain")
+    return table(spark, sf, "corpus", python=True).where("neuralese_chain is not null").withColumnRenamed("neuralese_chain", "chain")
 
 
 @query("select symbol, count(*) as n from (select unnest(regexp_extract_all(neuralese_chain, '[A-Z][A-Z0-9_]+')) as symbol from corpus) group by symbol")
@@ -227,8 +227,7 @@ def _judged(spark, sf):
 @query()
 def corpus_validation(spark, sf):
     kinds = _judged(spark, sf).select(F.coalesce("v.err_kind", F.lit("OK")).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
-    total = kinds.agg(F.sum("n").alias("t"))
-    return kinds.crossJoin(F.broadcast(total)).select("verdict", "n", F.round(100 * F.col("n") / F.col("t"), 1).alias("percent"))
+    return with_share(kinds).select("verdict", "n", F.round(100 * F.col("share"), 1).alias("percent"))
 
 
 @query()
@@ -293,7 +292,7 @@ def candidate_cleanup(spark, sf):
 @query(f"with {CHAINS} select k, count(*) as n, round(100.0 * count(*) / (select count(*) from chains), 2) as percent from chains group by k")
 def category_percent(spark, sf):
     counts = chains(spark, sf).groupBy("k").agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("t")))).select("k", "n", F.round(100 * F.col("n") / F.col("t"), 2).alias("percent"))
+    return with_share(counts).select("k", "n", F.round(100 * F.col("share"), 2).alias("percent"))
 
 
 # --- evaluation: round trips stand for generated rows --------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import answers, text
 from loomstone.operators import corpus as build
 from loomstone.operators import sampling
-from loomstone.plans.registry import query, table
+from loomstone.plans.registry import query, table, with_share
 from loomstone.sources import readers
 
 S = text.SPACE
@@ -32,14 +32,14 @@ def KEY(seed: int, x: str) -> str:  # noqa: N802
 @query(f"select {BUCKET('w')} as difficulty, count(*) as n from (select {WORDS('text')} as w from documents where text is not null) group by 1")
 def difficulty_counts(spark, sf):
     words = text.token_count(F.col("text"))
-    return table(spark, sf, "documents").where("text is not null").select(text.difficulty(words).alias("difficulty")).groupBy("difficulty").agg(F.count("*").alias("n"))
+    return table(spark, sf, "documents", python=True).where("text is not null").select(text.difficulty(words).alias("difficulty")).groupBy("difficulty").agg(F.count("*").alias("n"))
 
 
 RATIOS = f"(select corpus_id, source, split, {WORDS('neuralese_chain')} as cw, {WORDS('original_cot')} as ow, step_count from corpus where neuralese_chain is not null and original_cot is not null)"
 
 
 def _ratios(spark, sf):
-    rows = table(spark, sf, "corpus").where("neuralese_chain is not null and original_cot is not null")
+    rows = table(spark, sf, "corpus", python=True).where("neuralese_chain is not null and original_cot is not null")
     return rows.select("corpus_id", "source", "split", text.token_count(F.col("neuralese_chain")).alias("cw"), text.token_count(F.col("original_cot")).alias("ow"), "step_count")
 
 
@@ -57,8 +57,7 @@ def compression_ratio_stats(spark, sf):
 def quality_filter_reasons(spark, sf):
     reason = F.coalesce(text.error_kind(build.discard_reason(F.col("cw"), F.col("ow"))), F.lit("KEPT"))
     counts = _ratios(spark, sf).select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("t"))
-    return counts.crossJoin(F.broadcast(total)).select("reason", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
+    return with_share(counts).select("reason", "n", F.round("share", 6).alias("share"))
 
 
 @query(f"""select split_part(discard_reason, ':', 1) as kind, count(*) as n, count(distinct discard_id) as ids from discards group by 1""")
