@@ -204,6 +204,11 @@ def test_matrix(spark, tmp_path):
     np.save(tmp_path / "m.npy", m)
     rows = {r.vec_id: list(r.embedding) for r in matrix.read_matrix(spark, str(tmp_path / "m.npy"), 7).collect()}
     assert rows == {i: [float(x) for x in m[i]] for i in range(20)}
+    from loomstone.sources.datasource import register_sources
+
+    register_sources(spark)
+    again = spark.read.format("npy").option("rowsPerPartition", "6").load(str(tmp_path / "m.npy"))
+    assert {r.vec_id: list(r.embedding) for r in again.collect()} == rows and again.rdd.getNumPartitions() == 4
     texts = spark.createDataFrame([(1, "ab"), (2, None)], "i int, t string")
     got = matrix.embed_rows(texts, "i", "t", lambda: lambda ts: [[len(t), 1.0] for t in ts], 2).collect()
     assert [(r.i, list(r.embedding)) for r in got] == [(1, [2.0, 1.0])]
