@@ -183,7 +183,7 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     wanted = np.zeros(0x110000, bool)
     wanted[list(singles)] = True
     total = np.zeros(0x110000, np.int64)
-    pairs: dict[str, int] = {}
+    pairs = {x: 0 for c in accent_classes() for x in c if len(x) == 2}
     marks = np.zeros(0x110000, bool)
     marks[0x300:0x370] = True
     for pdf in batches:
@@ -194,21 +194,20 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i in np.flatnonzero(marks[codes]):
             if i:
                 s = chr(codes[i - 1]) + chr(codes[i])
-                pairs[s] = pairs.get(s, 0) + 1
+                if s in pairs:
+                    pairs[s] += 1
     found = np.flatnonzero(wanted & (total > 0))
+    pairs = {s: n for s, n in pairs.items() if n}
     pieces = [chr(c) for c in found] + list(pairs)
     yield pd.DataFrame({"piece": pd.Series(pieces, dtype=object), "n": pd.Series([int(total[c]) for c in found] + list(pairs.values()), dtype="int64")})
 
 
 def usage(df: DataFrame, text: str) -> dict[str, int]:
-    """How often each member of a class occurs. Its size is bounded by the classes (some thousand strings)."""
-    known = [x for c in (*base_classes(), *accent_classes()) for x in c if x]
+    """How often each member of a class occurs: single characters, and pairs of letter and accent. Nothing else is counted, so
+    what comes to the driver is bounded by the classes (some thousand strings)."""
     parts = df.select(F.col(text).cast("string").alias("text")).where("text is not null").mapInPandas(_count_batches, "piece string, n bigint")
-    counts = parts.groupBy("piece").agg(F.sum("n").alias("n"))
-    bound = len(known)
-    allowed = set(known)
-    rows = counts.where(F.length("piece") <= 2).limit(4 * bound).toPandas()  # pieces are single characters or accent pairs: never more than this
-    return {p: int(n) for p, n in zip(rows["piece"], rows["n"], strict=True) if p in allowed}
+    rows = parts.groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+    return {p: int(n) for p, n in zip(rows["piece"], rows["n"], strict=True)}
 
 
 def canonical_forms(df: DataFrame, doc_id: str, text: str, out: str = "form", used: dict[str, int] | None = None) -> DataFrame:
