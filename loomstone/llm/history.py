@@ -156,21 +156,21 @@ def seen_before(history: DataFrame, history_text: str, new: DataFrame, new_id: s
     shape = shape or Shape()
     old = history.select(common.word_text(F.col(history_text).cast("string")).alias("words")).where("words is not null")
     rows = new.select(F.col(new_id).cast("bigint").alias("id"), F.coalesce(F.col(batch).cast("bigint"), F.lit((1 << 62) - 1)).alias("batch"), common.word_text(F.col(new_text).cast("string")).alias("words")).where("id is not null and words is not null")
-    # old texts are older than any batch: their key is below all
-    oldest = F.struct(F.lit(BEFORE_ALL).cast("bigint").alias("batch"), F.lit(0).cast("bigint").alias("id"))
-    both = old.select("words", oldest.alias("key"), F.lit(0).alias("is_new")).unionByName(rows.select("words", F.struct("batch", "id").alias("key"), F.lit(1).alias("is_new")))
-    flat = both.select("words", F.col("key.batch").alias("batch"), F.col("key.id").alias("id"), "is_new")
-    # one row a text: when it came first. Aggregating a text's batch and, within it, id by plain minima keeps hash aggregation.
-    by_batch = flat.groupBy("words", "batch").agg(F.min("id").alias("id"), F.max("is_new").alias("is_new"))
-    texts = by_batch.groupBy("words").agg(F.min(F.struct("batch", "id")).alias("key"), F.max("is_new").alias("is_new"))
-    texts = common.materialise(texts.select(F.monotonically_increasing_id().alias("tid"), "words", F.col("key.batch").alias("batch"), F.col("key.id").alias("first_id"), "is_new"), "history-texts")
+    # One row a text: when it came first; old texts are older than any batch. The first new row is found in two plain minima, the
+    # batch and within it the id, which hash aggregation combines before it shuffles.
+    by_batch = rows.groupBy("words", "batch").agg(F.min("id").alias("id"))
+    new_texts = by_batch.groupBy("words").agg(F.min(F.struct("batch", "id")).alias("key"))
+    texts = old.distinct().withColumn("is_old", F.lit(True)).join(new_texts, "words", "full_outer")
+    batch_of, id_of = (F.when(F.col("is_old"), F.lit(first).cast("bigint")).otherwise(F.col(f"key.{c}")) for c, first in (("batch", BEFORE_ALL), ("id", 0)))
+    texts = texts.select(F.monotonically_increasing_id().alias("tid"), "words", batch_of.alias("batch"), id_of.alias("first_id"), F.col("key").isNotNull().alias("is_new"))
+    texts = common.materialise(texts, "history-texts")
     k1, k2, n = common.text_key(F.col("words"))
     # the same text, seen before: every row but the first of its text, and all rows of texts in the history
     copies = rows.select("id", "batch", k1.alias("k1"), k2.alias("k2"), n.alias("n"))
-    firsts = texts.where("is_new = 1").select(k1.alias("k1"), k2.alias("k2"), n.alias("n"), F.col("batch").alias("first_batch"), "first_id")
+    firsts = texts.where("is_new").select(k1.alias("k1"), k2.alias("k2"), n.alias("n"), F.col("batch").alias("first_batch"), "first_id")
     same = copies.join(firsts, ["k1", "k2", "n"]).where("batch <> first_batch or id <> first_id").select("id")
     # near: only the first row of a text that the history has not can still be new
-    probes = texts.where(f"is_new = 1 and batch <> {BEFORE_ALL}")
+    probes = texts.where(f"is_new and batch <> {BEFORE_ALL}")
     order = rare_first(texts, "words", shape.k)
     route = routing(order, shape)
     segment = build_segment(texts, shape, order, route)
