@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 def session(name: str = "loomstone", cpus: str | int | None = None, partitions: int = 8) -> SparkSession:
     cpus = cpus or os.environ.get("LOOMSTONE_CPUS", "8")
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -24,15 +24,17 @@ def session(name: str = "loomstone", cpus: str | int | None = None, partitions:
         .config("spark.sql.warehouse.dir", "/tmp/loomstone-warehouse")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors of a cluster, once a context; with local masters there is nothing to send.
+    """Sends this package to the Python workers, once a context: they needn't have it on their path, whatever folder the driver runs in.
 
     The archive is served by the driver, as any file given to addPyFile, from the folder that PySpark removes at its end.
     """
     sc = spark.sparkContext
-    if sc.master.split("[")[0] == "local" or getattr(sc, "_loomstone_sent", False):
+    if getattr(sc, "_loomstone_sent", False):
         return
     root = Path(__file__).resolve().parent
     archive = os.path.join(sc._temp_dir, "loomstone.zip")
