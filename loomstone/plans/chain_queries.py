@@ -283,12 +283,34 @@ def highlight_unknown(spark, sf):
 
 @query("""select corpus_id, regexp_replace(regexp_replace('```lisp' || chr(10) || neuralese_chain || chr(10) || '```', '^```[a-z]*\n?', ''), '\n?```$', '') as chain from corpus where neuralese_chain is not null and not regexp_matches(neuralese_chain, '^[\\s]|[\\s]$|[^ -~λ\n]|#[A-Z]')""")
 def candidate_cleanup(spark, sf):
-    """Chains wrapped in a code fence and taken out again, #NAME made lower case (rows with odd characters at the ends are left to the tests)."""
+    """Chains wrapped in a code fence and taken out again, #NAME made lower case (only rows where SQL gives the same: no white space at the ends, no characters outside ASCII but λ, no #NAME; all rows are in candidate_cleanup_all)."""
     rows = _corpus(spark, sf).where(~F.col("chain").rlike(r"^[\s]|[\s]$|[^ -~λ\n]|#[A-Z]"))
     fenced = F.concat(F.lit("```lisp\n"), F.col("chain"), F.lit("\n```"))
     return rows.select("corpus_id", lang.lower_variables(text.strip_fences(fenced)).alias("chain"))
 
 
+def _upper_variables(chain):
+    """#name becomes #NAME, the inverse of lower_variables: a split at # leaves each name at the start of its piece."""
+
+    def shout(piece, i):
+        name = F.regexp_extract(piece, "^[a-z][a-z0-9_]*", 0)
+        return F.when(i == 0, piece).otherwise(F.concat(F.upper(name), F.substr(piece, F.length(name) + 1)))
+
+    return F.array_join(F.transform(F.split(chain, "#"), shout), "#")
+
+
+def candidates(spark, sf):
+    """Every chain as a model returns it: in a code fence, in rows of even id with the variables in capitals."""
+    raw = F.when(F.col("corpus_id") % 2 == 0, _upper_variables(F.col("chain"))).otherwise(F.col("chain"))
+    return _corpus(spark, sf).select("corpus_id", F.concat(F.lit("```lisp\n"), raw, F.lit("\n```")).alias("raw"))
+
+
+@query()
+def candidate_cleanup_all(spark, sf):
+    """All chains, with white space at the ends, odd characters and #NAME (candidate_cleanup has only rows that its SQL can follow)."""
+    return candidates(spark, sf).select("corpus_id", lang.lower_variables(text.strip_fences(F.col("raw"))).alias("chain"))
+
+
 @query(f"with {CHAINS} select k, count(*) as n, round(100.0 * count(*) / (select count(*) from chains), 2) as percent from chains group by k")
 def category_percent(spark, sf):
     counts = chains(spark, sf).groupBy("k").agg(F.count("*").alias("n"))
