@@ -142,6 +142,26 @@ def band_join_pairs(spark, sf):
     return build.band_join(rows, "item_id", "pos", 5).groupBy("item_id").agg(F.count("*").alias("pairs"))
 
 
+def document_tokens(spark, sf):
+    rows = table(spark, sf, "documents", python=True).where("text is not null").select("doc_id", F.posexplode(text.find_all(F.col("text"), text.WORD_RUN)).alias("pos", "token"))
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query(rf"""with t as (select doc_id, regexp_extract_all(text, '{LETTERS}') as w from documents where text is not null),
+  p as (select doc_id, w, unnest(range(len(w))) as pos from t)
+  select doc_id, pos, w[pos + 1] as token, array_to_string(w[greatest(pos - 4, 1):pos + 6], ' ') as context from p""")
+def context_window_documents(spark, sf):
+    """The window of every token of every document (context_window has the 400 items, at every scale)."""
+    return build.context_windows(document_tokens(spark, sf), "doc_id", "pos", "token", 5)
+
+
+@query(rf"""with t as (select doc_id, len(regexp_extract_all(text, '{LETTERS}')) as n from documents where text is not null),
+  p as (select doc_id, n, unnest(range(n)) as pos from t)
+  select doc_id, sum(least(pos + 5, n - 1) - greatest(pos - 5, 0) + 1)::bigint as pairs from p group by doc_id""")
+def band_join_pairs_documents(spark, sf):
+    return build.band_join(document_tokens(spark, sf), "doc_id", "pos", 5).groupBy("doc_id").agg(F.count("*").alias("pairs"))
+
+
 FUZZY = rf"""with steps as (select distinct discard_id, question from discards where question is not null),
   w as (select distinct discard_id, unnest(regexp_extract_all(lower(question), '{LETTERS}')) as word from steps),
   named as (select distinct symbol, gloss from primitives where symbol is not null and not regexp_matches(symbol, '^({build.ALWAYS_PREFIXES})')),

@@ -34,3 +34,13 @@ def test_candidate_cleanup_takes_all_chains(spark):
     rows = spark.read.parquet(f"{SF}/corpus.parquet").where("neuralese_chain is not null").select("corpus_id", "neuralese_chain").collect()
     got = {r.corpus_id: r.chain for r in run(spark, "candidate_cleanup_all", SF)}
     assert got == {r.corpus_id: cleaned(r.neuralese_chain) for r in rows}
+
+
+def test_windows_and_pairs_of_documents(spark, tmp_path):
+    texts = ["", "?!", None, "one", "a b c d e f g h", "élan vital_2; x-y\n" * 3, " ".join(f"w{i}" for i in range(300))]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = {i: re.findall(r"\w+", t or "") for i, t in enumerate(texts)}
+    windows = {(r.doc_id, r.pos): (r.token, r.context) for r in run(spark, "context_window_documents", tmp_path)}
+    assert windows == {(i, p): (w[p], " ".join(w[max(p - 5, 0) : p + 6])) for i, w in words.items() for p in range(len(w))}
+    pairs = {r.doc_id: r.pairs for r in run(spark, "band_join_pairs_documents", tmp_path)}
+    assert pairs == {i: sum(abs(a - b) <= 5 for a in range(len(w)) for b in range(len(w))) for i, w in words.items() if w}
