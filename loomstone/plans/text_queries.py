@@ -271,6 +271,14 @@ def boxed(spark, sf):
     return rows.select("corpus_id", answers.boxed(whole).alias("gold"))
 
 
+@query(r"""with t as (select corpus_id, case when answer is null then question else '\boxed{0} then \boxed{' || answer || '}' end as said from corpus)
+  select corpus_id, coalesce(regexp_extract_all(said, '\\boxed\{([^}]+)\}', 1)[-1], substr(said, 1, 50)) as gold from t""")
+def boxed_all(spark, sf):
+    """All rows: an empty box isn't one, so the box before it counts, and an answer with a closing brace ends there (boxed leaves both out)."""
+    whole = F.coalesce(F.concat(F.lit("\\boxed{0} then \\boxed{"), F.col("answer"), F.lit("}")), F.col("question"))
+    return table(spark, sf, "corpus").select("corpus_id", answers.boxed(whole).alias("gold"))
+
+
 # --- readers ---------------------------------------------------------------------------------------------------------------
 @query(f"""select question, {STRIP("split_part(a, '####', 1)")} as cot, case when contains(a, '####') then {STRIP("split_part(a, '####', 2)")} else '' end as answer
   from (select question, case when corpus_id % 7 = 0 then coalesce(original_cot, '') else coalesce(original_cot, '') || ' #### ' || coalesce(answer, '') end as a from corpus)""")

@@ -44,3 +44,15 @@ def test_windows_and_pairs_of_documents(spark, tmp_path):
     assert windows == {(i, p): (w[p], " ".join(w[max(p - 5, 0) : p + 6])) for i, w in words.items() for p in range(len(w))}
     pairs = {r.doc_id: r.pairs for r in run(spark, "band_join_pairs_documents", tmp_path)}
     assert pairs == {i: sum(abs(a - b) <= 5 for a in range(len(w)) for b in range(len(w))) for i, w in words.items() if w}
+
+
+def test_boxed_of_all_rows(spark, tmp_path):
+    rows = [(1, "q", "5"), (2, "q", ""), (3, "q", "}"), (4, "q", "a}b"), (5, "q", r"\\frac{1}{2}"), (6, "q" * 60, None), (7, None, None), (8, "q", "two\nlines")]
+    spark.createDataFrame(rows, "corpus_id bigint, question string, answer string").write.parquet(f"{tmp_path}/corpus.parquet")
+
+    def gold(question, answer):
+        said = question if answer is None else r"\boxed{0} then \boxed{" + answer + "}"
+        return said and (re.findall(r"\\boxed\{([^}]+)\}", said) or [said[:50]])[-1]
+
+    assert {r.corpus_id: r.gold for r in run(spark, "boxed_all", tmp_path)} == {i: gold(q, a) for i, q, a in rows}
+    assert gold("q", "") == "0" and gold("q", "a}b") == "a"
