@@ -357,6 +357,20 @@ def sql_surface(spark, sf):
       select f.corpus_id, f.repaired, count(*) as nodes from fixed f, lateral parse_nodes(f.repaired) n group by f.corpus_id, f.repaired""")
 
 
+@query()
+def sql_surface_all(spark, sf):
+    """Every chain of the corpus repaired and read from SQL: the nodes as it is and repaired, 0 where it can't be read."""
+    from loomstone.functions.register import register
+
+    register(spark, table(spark, sf, "signatures"))
+    table(spark, sf, "corpus", python=True).select("corpus_id", "neuralese_chain").createOrReplaceTempView("loomstone_chains")
+    return spark.sql("""with texts as (select corpus_id, 0 as fixed, neuralese_chain as chain from loomstone_chains
+        union all select corpus_id, 1 as fixed, auto_repair(neuralese_chain) as chain from loomstone_chains),
+      marked as (select corpus_id, fixed, chain, 0 as nodes from texts union all select t.corpus_id, t.fixed, null as chain, 1 as nodes from texts t, lateral parse_nodes(t.chain) n)
+      select corpus_id, max(case when fixed = 1 then chain end) as repaired, sum(case when fixed = 0 then nodes end) as nodes, sum(case when fixed = 1 then nodes end) as repaired_nodes
+      from marked group by corpus_id""")
+
+
 @query()
 def model_labels(spark, sf):
     """Clusters named by the stand-in model from the tokens (here ids) nearest to their centres."""

@@ -56,3 +56,30 @@ def test_boxed_of_all_rows(spark, tmp_path):
 
     assert {r.corpus_id: r.gold for r in run(spark, "boxed_all", tmp_path)} == {i: gold(q, a) for i, q, a in rows}
     assert gold("q", "") == "0" and gold("q", "a}b") == "a"
+
+
+def size(chain):
+    from loomstone.functions.chain import ChainError, read_nodes
+
+    try:
+        return len(read_nodes(chain or ""))
+    except ChainError:
+        return 0
+
+
+def test_sql_surface_edges(spark, tmp_path):
+    from loomstone.functions.chain import repair
+
+    chains = ["(ADD 1 2)", "ADD 1 2", "", None, "(ADD 1", "plain words", "(ADD 1 2) (ADD 3 4)", "ADD 1 2", "[(F A) {B | 0.5}] ; end"]
+    spark.createDataFrame(list(enumerate(chains)), "corpus_id bigint, neuralese_chain string").write.parquet(f"{tmp_path}/corpus.parquet")
+    spark.createDataFrame([(1, "ADD", 2, [], "R")], "pos int, symbol string, arity int, domain_types array<string>, range_type string").write.parquet(f"{tmp_path}/signatures.parquet")
+    got = {r.corpus_id: (r.repaired, r.nodes, r.repaired_nodes) for r in run(spark, "sql_surface_all", tmp_path)}
+    fixed = [None if c is None else repair(c) for c in chains]
+    assert got == {i: (f, size(c), size(f)) for i, (c, f) in enumerate(zip(chains, fixed, strict=True))}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_sql_surface_reads_what_corpus_nodes_reads(spark):
+    got = run(spark, "sql_surface_all", SF)
+    assert len(got) == spark.read.parquet(f"{SF}/corpus.parquet").count()
+    assert sum(r.nodes for r in got) == sum(r.n for r in run(spark, "corpus_nodes", SF))
