@@ -10,7 +10,7 @@ what is expected, and each is read as far as it goes.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -223,22 +223,34 @@ OPENERS, CLOSERS = {"(": ")", "[": "]", "{": "}"}, frozenset(")]}")
 
 
 class _Repair:
-    """Rewrites ranges [lo, hi) of one list of pieces; every method appends to out."""
+    """Rewrites ranges [lo, hi) of one list of pieces, appending to out. group, sequence and members are generators that yield
+    the work to be done inside them, and run keeps them on a stack, so depth isn't limited by recursion."""
 
     def __init__(self, pieces: list[str]) -> None:
         self.p, self.out = pieces, []
+        self.closed: dict[int, int] = {}
+        waiting: dict[str, list[int]] = {closer: [] for closer in CLOSERS}
+        for i, piece in enumerate(pieces):
+            if piece in OPENERS:
+                waiting[OPENERS[piece]].append(i)
+            elif piece in CLOSERS and waiting[piece]:
+                self.closed[waiting[piece].pop()] = i
+
+    def run(self, work: Iterator) -> None:
+        stack = [work]
+        while stack:
+            inner = next(stack[-1], None)
+            if inner is None:
+                stack.pop()
+            else:
+                stack.append(inner)
 
     def bare(self, i: int) -> bool:
         return BARE_HEAD.fullmatch(self.p[i]) is not None
 
     def close(self, lo: int, hi: int) -> int:
         """Where the bracket at lo closes, counting its own kind only; an open one ends at the last piece of the range."""
-        opener, closer, level = self.p[lo], OPENERS[self.p[lo]], 0
-        for i in range(lo, hi):
-            level += (self.p[i] == opener) - (self.p[i] == closer)
-            if level == 0:
-                return i
-        return hi - 1
+        return min(self.closed.get(lo, hi - 1), hi - 1)
 
     def groups(self, lo: int, hi: int) -> Iterable[tuple[int, int]]:
         """Top-level groups: a bracketed range, a bare head with what follows up to the next head or closer, or one piece."""
@@ -252,38 +264,38 @@ class _Repair:
             yield lo, end
             lo = end
 
-    def group(self, lo: int, hi: int) -> None:
+    def group(self, lo: int, hi: int) -> Iterator:
         first = self.p[lo]
         if first == "(":
             self.out.append("(")
-            self.members(lo + 1, self.close(lo, hi), False)
+            yield self.members(lo + 1, self.close(lo, hi), False)
             self.out.append(")")
         elif first == "[":
             self.out.append("[")
-            self.sequence(lo + 1, self.close(lo, hi))
+            yield self.sequence(lo + 1, self.close(lo, hi))
             self.out.append("]")
         elif self.bare(lo):
             self.out += ["(", first]
-            self.members(lo + 1, hi, True)
+            yield self.members(lo + 1, hi, True)
             self.out.append(")")
         else:
             self.out += self.p[lo:hi]
 
-    def sequence(self, lo: int, hi: int) -> None:
+    def sequence(self, lo: int, hi: int) -> Iterator:
         for a, b in self.groups(lo, hi):
-            self.group(a, b)
+            yield self.group(a, b)
 
-    def members(self, lo: int, hi: int, wrap_heads: bool) -> None:
+    def members(self, lo: int, hi: int, wrap_heads: bool) -> Iterator:
         """Arguments: bracketed ones are repaired, others kept; after a bare head, bare heads inside are wrapped too."""
         while lo < hi:
             end = lo + 1
             if self.p[lo] in ("(", "["):
                 end = self.close(lo, hi) + 1
-                self.group(lo, end)
+                yield self.group(lo, end)
             elif wrap_heads and self.bare(lo):
                 while end < hi and not self.bare(end) and self.p[end] not in (")", "]"):
                     end += 1
-                self.group(lo, end)
+                yield self.group(lo, end)
             else:
                 self.out.append(self.p[lo])
             lo = end
@@ -307,12 +319,9 @@ def repair(text: str) -> str:
     pieces = PIECES.findall(text)
     if not pieces:
         return text.strip(UNICODE_SPACE)
-    try:
-        work = _Repair(pieces)
-        spans = list(work.groups(0, len(pieces)))
-        work.sequence(0, len(pieces))
-    except RecursionError:
-        return text.strip(UNICODE_SPACE)
+    work = _Repair(pieces)
+    spans = list(work.groups(0, len(pieces)))
+    work.run(work.sequence(0, len(pieces)))
     fixed = _spaced(work.out)
     return fixed if len(spans) == 1 else f"[{fixed}]"
 

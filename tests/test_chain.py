@@ -31,6 +31,12 @@ def test_deep_chain():
     assert len(nodes) == n + 1 and nodes[-1].depth == n
 
 
+def test_repair_of_deep_chain():
+    n = 20_000
+    assert repair("SO (SO " + "(SO " * n + "A" + ")" * n + ")") == "(SO (SO " + "(SO " * n + "A" + ")" * n + "))"
+    assert repair("[" * n + "SO A" + "]" * n + " BE 1") == "[" + "[" * n + "(SO A)" + "]" * n + " (BE 1)]"
+
+
 def trees(depth=3):
     atom = st.one_of(st.sampled_from(["A", "B_2", "ZED"]).map(lambda s: ("symbol", s)), st.integers(-99, 99).map(lambda n: ("number", str(n))), st.sampled_from(["x", "y1"]).map(lambda s: ("variable", s)))
     if depth == 0:
