@@ -89,6 +89,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.reached(mix, plan, "doc_id")
 
 
+def p9_mix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix at a budget midway between the limits at target shares (that of p9_mix) and at the sources' own shares: the scarcest
+    source would repeat more than it may at target shares, so the exponent is bisected."""
+    sizes = mixture.document_tokens(table(spark, sf_dir, "documents", python=True), "doc_id", "source", "text")
+    weights = table(spark, sf_dir, "source_weights")
+    plain = mixture.mixture(sizes, "doc_id", "source", "tokens", weights)[1]
+    used = plain.where("weight > 0").join(weights.groupBy("source").agg(F.max(F.coalesce("max_repeats", F.lit(1))).alias("most")), "source")
+    limits = used.agg(F.sum("goal").alias("target"), (F.min("most") * F.sum("tokens_there")).alias("own")).first()
+    mix, plan = mixture.mixture(sizes, "doc_id", "source", "tokens", weights, budget=((limits.target or 0) + (limits.own or 0)) // 2)
+    return mix.join(F.broadcast(plan.select("source", "exponent")), "source")
+
+
 # --- problem 5 ---------------------------------------------------------------------------------------------------------
 
 
@@ -237,6 +249,7 @@ def queries() -> dict[str, Query]:
         "p8_items": p8_items,
         "p9_mix": p9_mix,
         "p9_shares": p9_shares,
+        "p9_mix_repeats": p9_mix_repeats,
         "p10_found": p10_found,
         "p10_groups": p10_groups,
     }

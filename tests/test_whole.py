@@ -83,3 +83,11 @@ def test_sql_surface_reads_what_corpus_nodes_reads(spark):
     got = run(spark, "sql_surface_all", SF)
     assert len(got) == spark.read.parquet(f"{SF}/corpus.parquet").count()
     assert sum(r.nodes for r in got) == sum(r.n for r in run(spark, "corpus_nodes", SF))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_mix_over_the_scarcest_source_bisects(spark):
+    rows = run(spark, "p9_mix_repeats", SF)
+    most = {r.source: r.max_repeats for r in spark.read.parquet(f"{SF}/source_weights.parquet").collect()}
+    assert rows and all(0 < r.exponent < 1 for r in rows) and all(r["pass"] <= most[r.source] for r in rows)
+    assert sum(r.tokens for r in rows) > sum(r.tokens for r in run(spark, "p9_mix", SF))
