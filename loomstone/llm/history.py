@@ -1,251 +1,442 @@
-"""Problem 2: new batches checked against all history.
-
-Every ingest becomes an immutable segment: a sparse suffix array over the concatenated words of its texts. An entry is a
-suffix that begins at a prefix shingle (the rarest ones, see shingles), keyed by the hash of its first k words and the
-packed hashes of the next two, and routed by that key, so a search reads only the parts its own suffixes point to.
-Within a part entries are sorted, batch suffixes are found by binary search, and the matched words are added up for each
-record. Records with a match are verified exactly. Segments of one level are merged, so their number grows with the
-logarithm of the batches.
+"""Problem 2: new batches checked against all history, without going through the history for each.
+
+Every commit (a batch, or several that wait) becomes an immutable segment: the suffix array of its concatenated words. A
+suffix is one 64-bit number, 48 bits for its first k words and 16 for the next, so a sorted array of numbers is the sorted
+array of suffixes; it is cut into parts by leading bits, as many as its size asks for, and written by part. A search
+sends some suffixes of each batch text (its rarest, as many as a near text can't all miss) to the parts they belong to, reads those
+parts alone, finds every match by binary search, adds up by record how much of the text it covers, and verifies what is covered enough.
+Segments of like size are merged, so their number grows with the logarithm of the history. A manifest in the store's
+folder names what holds; it is written last, and segments it no longer names are removed.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone import scratch
 from loomstone.llm import common
-from loomstone.llm.shingles import Order, Shape, near, prefixes, rare_first
+from loomstone.llm.shingles import Encoded, Order, Shape, near, prefixes, rare_first, read_order, write_order
 
-ENTRIES_A_PART = 250_000
-HEAVY_A_PART = 20_000
+ENTRIES_A_PART = 2_000_000
+RUN_ENTRIES = 1_000_000
+EMIT_ENTRIES = 2_000_000
+MOST_BITS = 20
 PAIRS_AT_ONCE = 2_000_000
-NEXT_WORDS = 2
-SUFFIX_SCHEMA = "part int, gram bigint, ext int, tid bigint, size int, rank int"
-HIT_SCHEMA = "probe bigint, tid bigint, shared int, least int, words int, longest int, cut int"
 FIRST_MATCHES = 1_000
-BEFORE_ALL = -(1 << 62)
-
-
-@dataclass(frozen=True)
-class Routing:
-    """parts: into how many the suffixes are cut. spread: into how many parts a frequent key is cut (by sorted key)."""
+BROADCAST_ENTRIES = 2_000_000
+BROADCAST_PAIRS = 1_000_000
+NAMED_PARTS = 10_000
+COMMIT_SHARE = 16
+SLOT_BITS = 17
+PARTITION_BITS = 33  # monotonically_increasing_id numbers the rows of a partition in so many bits
+WHOLE = 255
+NEXT = np.uint64(16)
+ROWS = "seg int, part int, n int, suffix binary, tid binary, tag binary"
+HITS = "probe bigint, tid bigint, least int"
+NO_RECORD = -1
+
+# Sizes of texts are kept in a byte: steps of a twentieth, of which only the lower and the upper end are used.
+SIZE_STEPS = np.ceil(1.05 ** np.arange(WHOLE)).astype(np.int64)
+
+
+@dataclass
+class Segment:
+    """One immutable segment: its folder, into how many parts (2^bits) its array is cut, how many texts and words it holds."""
+
+    name: str
+    bits: int
+    texts: int
+    words: int
+
+
+@dataclass
+class Manifest:
+    version: int = 0
+    next_tid: int = 0
+    order: str | None = None
+    order_texts: int = 0
+    commits: list[str] = field(default_factory=list)
+    segments: list[Segment] = field(default_factory=list)
+
+
+# --- arrays ------------------------------------------------------------------------------------------------------------
+def _pack(a: np.ndarray) -> bytes:
+    """64-bit numbers as two planes of halves: the higher halves of sorted or small numbers compress well."""
+    halves = np.ascontiguousarray(a).view(np.uint32).reshape(-1, 2)
+    return halves[:, 1].tobytes() + halves[:, 0].tobytes()
+
+
+def _unpack(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint32).reshape(2, -1)
+    out = np.empty((planes.shape[1], 2), np.uint32)
+    out[:, 1], out[:, 0] = planes[0], planes[1]
+    return out.reshape(-1).view(kind)
+
+
+def _cut(suffix: np.ndarray, tid: np.ndarray, tag: np.ndarray, targets: list[tuple[int, int]]) -> pd.DataFrame:
+    """Rows of sorted arrays, one for each part (or for each million entries of it), for every (segment, bits) of targets."""
+    o = np.lexsort((tid, suffix))
+    suffix, tid, tag = suffix[o], tid[o], tag[o]
+    rows = []
+    for seg, bits in targets:
+        part = (suffix >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(suffix), np.int64)
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+        for a, b in zip(starts, np.r_[starts[1:], len(part)], strict=True):
+            for at in range(a, b, RUN_ENTRIES):
+                to = min(at + RUN_ENTRIES, b)
+                rows.append((seg, part[a], to - at, _pack(suffix[at:to]), _pack(tid[at:to]), tag[at:to].tobytes()))
+    return pd.DataFrame(rows, columns=["seg", "part", "n", "suffix", "tid", "tag"]).astype({"seg": "int32", "part": "int32", "n": "int32"})
+
+
+def _suffix_numbers(e: Encoded, gram: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """48 bits of the hash of a suffix's first k words, then 16 of its next word, 0 where the text ends."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    follows = at + k
+    word = np.where(follows < e.end[at], e.word[np.minimum(follows, len(e.word) - 1)] & np.uint64(0xFFFF) | np.uint64(1), np.uint64(0))
+    return (gram >> NEXT) << NEXT | word
+
+
+def _whole(texts: list[str]) -> np.ndarray:
+    """The suffix that is a whole text: how texts of any length meet their copies."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(t, 1) for t in texts), np.uint64, len(texts))
+
+
+def _all_suffixes(texts: list[str], tid: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every suffix of every text, those that begin alike within a text once, and the whole texts; tagged with the text's size."""
+    e = Encoded(texts, shape.k)
+    o = np.lexsort((e.at, e.gram, e.owner))
+    owner, gram, at = e.owner[o], e.gram[o], e.at[o]
+    new = np.ones(len(o), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])
+    owner, gram, at = owner[new], gram[new], at[new]
+    sizes = np.bincount(owner, minlength=len(texts))
+    code = np.searchsorted(SIZE_STEPS, np.maximum(sizes, 1), "right") - 1
+    return (
+        np.r_[_suffix_numbers(e, gram, at, shape.k), _whole(texts)],
+        np.r_[tid[owner], tid],
+        np.r_[code[owner], np.full(len(texts), WHOLE)].astype(np.uint8),
+    )
+
+
+def _some_suffixes(texts: list[str], tid: np.ndarray, shape: Shape, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rarest suffixes of every text, of which a near text holds at least `hits`, and the whole texts (size 0)."""
+    p = prefixes(texts, shape, order)
+    return (
+        np.r_[_suffix_numbers(p.encoded, p.gram, p.at, shape.k), _whole(texts)],
+        np.r_[tid[p.owner], tid],
+        np.r_[p.size, np.zeros(len(texts), np.int64)].astype(np.int32),
+    )
+
+
+def _emit(suffixes: Callable, targets: list[tuple[int, int]]) -> Callable:
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for pdf in batches:
+            held.append(suffixes(pdf["words"].tolist(), pdf["tid"].to_numpy()))
+            n += len(held[-1][0])
+            if n >= EMIT_ENTRIES:
+                yield _cut(*map(np.concatenate, zip(*held, strict=True)), targets)
+                held, n = [], 0
+        if held:
+            yield _cut(*map(np.concatenate, zip(*held, strict=True)), targets)
 
-    parts: int
-    keys: np.ndarray
-    spread: np.ndarray
+    return emit
 
 
-def routing(order: Order, shape: Shape, parts: int | None = None) -> Routing:
-    """As many parts as give each some 250,000 suffixes; prefixes hold 1 - least of all shingles, and a few more of each text."""
-    counts = np.exp2(order.gram_logs)
-    heavy = counts > HEAVY_A_PART
-    parts = parts or max(8, int(order.total * (1.1 - float(shape.ratio)) / ENTRIES_A_PART) + 1)
-    return Routing(parts, order.grams[heavy], np.minimum(np.ceil(counts[heavy] / HEAVY_A_PART), parts).astype(np.int64))
+def _merge(tag: type) -> Callable:
+    """Sorted arrays of one part, as they come in order of parts, become one (or one for each million entries)."""
 
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, n = None, [], 0
 
-def _suffixes(texts: DataFrame, shape: Shape, order: Order, route: Routing, probing: bool) -> DataFrame:
-    """The suffix entries of (tid, words). History entries of a frequent key go to one of its parts, probes to all."""
+        def done() -> pd.DataFrame:
+            suffix, tid, tags = (np.concatenate(x) for x in zip(*held, strict=True))
+            return _cut(suffix, tid, tags, [(key[0], 0)]).assign(part=np.int32(key[1]))
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            p = prefixes(pdf["words"].tolist(), shape, order)
-            e = p.encoded
-            ext = np.zeros(len(p.at), np.uint64)
-            for j in range(NEXT_WORDS):
-                place = p.at + shape.k + j
-                inside = place < e.end[p.at] if len(p.at) else np.zeros(0, bool)
-                word = np.where(inside, e.word[np.minimum(place, len(e.word) - 1)] & np.uint64(0xFFFF) | np.uint64(1), np.uint64(0)) if len(p.at) else ext
-                ext = ext << np.uint64(16) | word
-            tid = pdf["tid"].to_numpy()[p.owner]
-            home = (p.gram % np.uint64(route.parts)).astype(np.int64)
-            out = pd.DataFrame({"part": home, "gram": p.gram.astype(np.int64), "ext": ext.astype(np.uint32).astype(np.int32), "tid": tid, "size": p.size.astype(np.int32), "rank": p.rank.astype(np.int32)})
-            if len(route.keys):
-                at = np.minimum(np.searchsorted(route.keys, p.gram), len(route.keys) - 1)
-                spread = np.where(route.keys[at] == p.gram, route.spread[at], 1)
-                if probing:
-                    which = np.repeat(np.arange(len(out)), spread)
-                    turn = np.arange(len(which)) - np.repeat(np.cumsum(spread) - spread, spread)
-                    out = out.iloc[which].reset_index(drop=True)
-                    out["part"] = (out["part"].to_numpy() + turn) % route.parts
-                else:
-                    out["part"] = (home + tid % spread) % route.parts
-            out["part"] = out["part"].astype(np.int32)
-            yield out
-
-    return texts.select("tid", "words").mapInPandas(emit, SUFFIX_SCHEMA)
-
-
-def build_segment(texts: DataFrame, shape: Shape, order: Order, route: Routing) -> DataFrame:
-    """The suffix array of (tid, words); sorted within its parts when it is written or searched."""
-    return _suffixes(texts, shape, order, route, False)
-
-
-def _search_part(shape: Shape, within: bool, most: int | None):
-    r = shape.ratio
-    top, low = r.numerator, r.denominator
-    k = shape.k
-
-    def search(array: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
-        if not len(array) or not len(probes):
-            return pd.DataFrame({"probe": pd.Series(dtype="int64"), "tid": pd.Series(dtype="int64")} | {c: pd.Series(dtype="int32") for c in ("shared", "least", "words", "longest", "cut")})
-        gram, ext = array["gram"].to_numpy(), array["ext"].to_numpy().astype(np.uint32)
-        order = np.lexsort((ext, gram))
-        if most is not None and len(gram) > most and (np.sort(gram)[most:] == np.sort(gram)[:-most]).any():
-            order = np.lexsort((array["tid"].to_numpy(), gram))  # so that the first matches of a text's suffixes are the same records
-        gram, ext = gram[order], ext[order]
-        tid, size, rank = (array[c].to_numpy()[order] for c in ("tid", "size", "rank"))
-        p_gram, p_ext, p_tid, p_size, p_rank = (probes[c].to_numpy() for c in ("gram", "ext", "tid", "size", "rank"))
-        p_ext = p_ext.astype(np.uint32)
-        left, right = np.searchsorted(gram, p_gram, "left"), np.searchsorted(gram, p_gram, "right")
+            for r in pdf.itertuples(index=False):
+                if held and ((r.seg, r.part) != key or n >= RUN_ENTRIES):
+                    yield done()
+                    held, n = [], 0
+                key = (r.seg, r.part)
+                held.append((_unpack(r.suffix, np.uint64), _unpack(r.tid, np.int64), np.frombuffer(r.tag, tag)))
+                n += r.n
+        if held:
+            yield done()
+
+    return merge
+
+
+def _gathered(rows: DataFrame, tag: type) -> DataFrame:
+    """Arrays brought together by part. Rebalancing splits the arrays of a part that is far larger than others over several tasks,
+    whose arrays then stay side by side, so a suffix that a third of all texts hold is in no single task."""
+    return rows.hint("rebalance", "seg", "part").sortWithinPartitions("seg", "part").mapInPandas(_merge(tag), ROWS)
+
+
+def _search(shape: Shape, most: int | None) -> Callable:
+    top, low = shape.ratio.numerator, shape.ratio.denominator
+
+    def one(r) -> Iterator[pd.DataFrame]:
+        suffix, tid, code = _unpack(r.suffix, np.uint64), _unpack(r.tid, np.int64), np.frombuffer(r.tag, np.uint8)
+        p_suffix, p_tid, p_size = _unpack(r.p_suffix, np.uint64), _unpack(r.p_tid, np.int64), np.frombuffer(r.p_tag, np.int32).astype(np.int64)
+        whole = p_size == 0
+        first = np.where(whole, p_suffix, (p_suffix >> NEXT) << NEXT)
+        last = np.where(whole, p_suffix, first | np.uint64(0xFFFF))
+        left, right = np.searchsorted(suffix, first, "left"), np.searchsorted(suffix, last, "right")
+        if most is not None:
+            wide = np.flatnonzero(right - left > most)
+            if len(wide):  # then the longer matches, which are in order of arrival, the earliest of them
+                left[wide] = np.searchsorted(suffix, p_suffix[wide], "left")
+                right[wide] = np.minimum(np.searchsorted(suffix, p_suffix[wide], "right"), left[wide] + most)
+                cut = np.unique(p_tid[wide])
+                yield pd.DataFrame({"probe": cut, "tid": np.full(len(cut), NO_RECORD), "least": np.zeros(len(cut), np.int32)})
         width = right - left
-        out, at = [], 0
-        if most is not None and (cut := np.unique(p_tid[width > most])).size:
-            width = np.minimum(width, most)
-            out.append(pd.DataFrame({"probe": cut, "tid": cut} | {c: np.full(len(cut), n, np.int32) for c, n in (("shared", 0), ("least", 1), ("words", 0), ("longest", 0), ("cut", 1))}))
-        ends = np.cumsum(width)
+        ends, at = np.cumsum(width), 0
         while at < len(width):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
             w = width[at:to]
             probe = np.repeat(np.arange(at, to), w)
             entry = np.arange(len(probe)) - np.repeat(np.cumsum(w) - w, w) + left[probe]
-            m, n, a, b = p_size[probe].astype(np.int64), size[entry].astype(np.int64), p_rank[probe].astype(np.int64), rank[entry].astype(np.int64)
-            needed = -(-(m + n) * top // (top + low))
-            good = ((p_tid[probe] != tid[entry]) | (not within)) & (np.minimum(m, n) * low >= np.maximum(m, n) * top) & (np.minimum(m - a, n - b) >= needed - shape.hits + 1)
-            probe, entry, needed = probe[good], entry[good], needed[good]
-            differ = p_ext[probe] ^ ext[entry]
-            longest = np.full(len(probe), k, np.int32)
-            alike = np.ones(len(probe), bool)
-            for j in range(16 * (NEXT_WORDS - 1), -1, -16):
-                alike &= ((differ >> np.uint32(j)) & np.uint32(0xFFFF) == 0) & ((ext[entry] >> np.uint32(j)) & np.uint32(0xFFFF) != 0)
-                longest += alike
-            least = np.minimum(needed, shape.hits).astype(np.int32)
-            out.append(pd.DataFrame({"probe": p_tid[probe], "tid": tid[entry], "shared": np.int32(1), "least": least, "words": longest, "longest": longest, "cut": np.int32(0)}))
+            m, c = p_size[probe], code[entry]
+            is_whole = m == 0
+            n_low, n_high = SIZE_STEPS[np.minimum(c, WHOLE - 1)], np.r_[SIZE_STEPS[1:] - 1, 1 << 40, 1 << 40][c]
+            fits = (n_low * top <= m * low) & (n_high * low >= m * top)
+            good = (tid[entry] < p_tid[probe]) & (is_whole == (c == WHOLE)) & (is_whole | fits)
+            probe, entry, m, n_low, is_whole = probe[good], entry[good], m[good], n_low[good], is_whole[good]
+            looked = np.minimum(m, shape.prefix(m))
+            least = np.where(is_whole, 0, np.maximum(1, shape.needed(m, np.maximum(n_low, -(-m * top // low))) - (m - looked)))
+            yield pd.DataFrame({"probe": p_tid[probe], "tid": tid[entry], "least": least.astype(np.int32)})
             at = to
-        hits = pd.concat(out) if len(out) > 1 else out[0]
-        if len(hits) == 0:
-            return hits
-        return hits.groupby(["probe", "tid"], as_index=False).agg({"shared": "sum", "least": "min", "words": "sum", "longest": "max", "cut": "max"})
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                yield from one(r)
 
     return search
 
 
-def search_segment(segment: DataFrame, texts: DataFrame, shape: Shape, order: Order, route: Routing, within: bool = False, most: int | None = None) -> DataFrame:
-    """(probe, tid, words, longest, cut): records of the segment that match enough suffixes of a probe text, the words matched, and the
-    longest match. within: the probes are texts of the segment, and none finds itself. most: of each suffix no more than so many
-    matches are followed; probes for which there are more have a row with cut = 1 and their own tid."""
-    probes = _suffixes(texts, shape, order, route, True)
-    hits = segment.groupBy("part").cogroup(probes.groupBy("part")).applyInPandas(_search_part(shape, within, most), HIT_SCHEMA)
-    sums = hits.groupBy("probe", "tid").agg(*[f(c).alias(c) for f, c in ((F.sum, "shared"), (F.min, "least"), (F.sum, "words"), (F.max, "longest"), (F.max, "cut"))])
-    return sums.where("shared >= least or cut = 1").select("probe", "tid", "words", "longest", "cut")
+# --- the store -----------------------------------------------------------------------------------------------------------
+class SegmentStore:
+    """Suffix arrays and texts of all that was accepted, in a folder that all executors share.
 
+    ingest() checks the rows of new batches against all that came before them and adds them. Rows are in order of (batch, id),
+    a null batch last; texts are kept whole, one for each distinct text of a commit, numbered in order of arrival, so
+    "earlier" is a smaller number. A store opened again on the same folder goes on where the last finished ingest ended;
+    what an interrupted one left is not named in the manifest and counts for nothing.
+    """
 
-def seen_before(history: DataFrame, history_text: str, new: DataFrame, new_id: str, batch: str, new_text: str, shape: Shape | None = None) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str, shape: Shape | None = None, entries_a_part: int = ENTRIES_A_PART) -> None:
+        self.spark, self.path, self.shape, self.entries_a_part = spark, path.rstrip("/"), shape or Shape(), entries_a_part
+        self.manifest = self._read_manifest()
+        self.order = read_order(spark, f"{self.path}/{self.manifest.order}") if self.manifest.order else None
+
+    # manifest
+    def _read_manifest(self) -> Manifest:
+        versions = [int(n.split("-")[1]) for n in scratch.names(self.spark, self.path) if n.startswith("manifest-")]
+        if not versions:
+            return Manifest()
+        held = json.loads(scratch.read_text(self.spark, f"{self.path}/manifest-{max(versions)}"))
+        return Manifest(**held | {"segments": [Segment(**s) for s in held["segments"]]})
+
+    def _commit(self, new: Manifest) -> None:
+        """Names what holds from now on, then removes what held before only."""
+        new.version = self.manifest.version + 1
+        scratch.write_text(self.spark, f"{self.path}/manifest-{new.version}", json.dumps(asdict(new)))
+        gone = {s.name for s in self.manifest.segments} - {s.name for s in new.segments}
+        gone |= {self.manifest.order} - {new.order, None}
+        if self.manifest.version:
+            gone.add(f"manifest-{self.manifest.version}")
+        for name in gone:
+            scratch.remove(self.spark, f"{self.path}/{name}")
+        self.manifest = new
+
+    def _new_name(self, kind: str) -> str:
+        return f"{kind}-{uuid.uuid4().hex}"
+
+    def _bits(self, words: int) -> int:
+        return min(MOST_BITS, max(0, int(np.ceil(np.log2(max(1, words) / self.entries_a_part)))))
+
+    # segments
+    def _texts_of(self, name: str, slots: list[int] | None = None) -> DataFrame:
+        df = self.spark.read.schema("tid bigint, id bigint, words string, slot bigint").parquet(f"{self.path}/{name}/texts")
+        return df if slots is None else df.where(F.col("slot").isin(slots))
+
+    def _arrays_of(self, name: str, parts: list[int] | None = None) -> DataFrame:
+        df = self.spark.read.schema("n int, suffix binary, tid binary, tag binary, part int").parquet(f"{self.path}/{name}/arrays")
+        return df if parts is None else df.where(F.col("part").isin(parts))
+
+    def _write_arrays(self, rows: DataFrame, name: str) -> None:
+        _gathered(rows, np.uint8).drop("seg").write.partitionBy("part").option("compression", "zstd").parquet(f"{self.path}/{name}/arrays")
+
+    def _write_segment(self, texts: DataFrame, name: str) -> Segment:
+        """Texts get their numbers as they are written; then the array is built from what was written."""
+        numbered = texts.withColumn("tid", F.lit(self.manifest.next_tid) + F.monotonically_increasing_id())
+        numbered.withColumn("slot", F.shiftright("tid", SLOT_BITS)).write.partitionBy("slot").parquet(f"{self.path}/{name}/texts")
+        held = self._texts_of(name)
+        size = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 2), F.lit(0)).alias("w"), F.max("tid").alias("last")).first()
+        self._last = self.manifest.next_tid if size.last is None else ((size.last >> PARTITION_BITS) + 1) << PARTITION_BITS
+        segment, shape = Segment(name, self._bits(size.w), size.n, size.w), self.shape
+        self._write_arrays(held.select("tid", "words").mapInPandas(_emit(lambda t, i: _all_suffixes(t, i, shape), [(0, segment.bits)]), ROWS), name)
+        return segment
+
+    def _merged(self, a: Segment, b: Segment) -> Segment:
+        """One segment of two: sorted arrays are cut anew where the parts are smaller now, and merged part by part."""
+        name = self._new_name("segment")
+        new = Segment(name, self._bits(a.words + b.words), a.texts + b.texts, a.words + b.words)
+
+        def recut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    yield _cut(_unpack(r.suffix, np.uint64), _unpack(r.tid, np.int64), np.frombuffer(r.tag, np.uint8), [(0, new.bits)])
+
+        arrays = None
+        for s in (a, b):
+            one = self._arrays_of(s.name).select(F.lit(0).alias("seg"), "part", "n", "suffix", "tid", "tag")
+            one = one if s.bits == new.bits else one.mapInPandas(recut, ROWS)
+            arrays = one if arrays is None else arrays.unionByName(one)
+        self._write_arrays(arrays, name)
+        self._texts_of(a.name).unionByName(self._texts_of(b.name)).write.partitionBy("slot").parquet(f"{self.path}/{name}/texts")
+        return new
+
+    # search
+    def _candidates(self, probes: DataFrame, segments: list[Segment], most: int | None) -> DataFrame:
+        """(probe, tid): earlier texts covered enough, written; tid -1 for a probe of which not every match was followed."""
+        shape, order = self.shape, self.order
+        targets = [(i, s.bits) for i, s in enumerate(segments)]
+        arrays = probes.select("tid", "words").mapInPandas(_emit(lambda t, i: _some_suffixes(t, i, shape, order), targets), ROWS)
+        arrays = common.materialise(_gathered(arrays, np.int32), "probes")
+        sizes = arrays.groupBy("seg", "part").agg(F.sum("n").alias("n")).limit(NAMED_PARTS + 1).collect()
+        few = len(sizes) <= NAMED_PARTS
+        held = None
+        for i, s in enumerate(segments):
+            one = self._arrays_of(s.name, [r.part for r in sizes if r.seg == i] if few else None).select(F.lit(i).alias("seg"), "part", "suffix", "tid", "tag")
+            held = one if held is None else held.unionByName(one)
+        asked = arrays.select("seg", "part", F.col("suffix").alias("p_suffix"), F.col("tid").alias("p_tid"), F.col("tag").alias("p_tag"))
+        # small batches are sent to where the arrays lie; for others arrays and probes are brought together by part
+        small = few and sum(r.n for r in sizes) <= BROADCAST_ENTRIES
+        hits = held.join(F.broadcast(asked) if small else asked, ["seg", "part"]).mapInPandas(_search(shape, most), HITS)
+        covered = hits.groupBy("probe", "tid").agg(F.count("*").alias("shared"), F.min("least").alias("least")).where("shared >= least")
+        return common.materialise(covered.select("probe", "tid"), "covered")
+
+    def _verified(self, candidates: DataFrame, probes: DataFrame, segments: list[Segment]) -> tuple[DataFrame, bool]:
+        """(tid) of the probes that are the same as, or near, one of their candidates, by their words alone; and whether for some
+        probe not every match was followed."""
+        placed = candidates.withColumn("slot", F.when(F.col("tid") != NO_RECORD, F.shiftright("tid", SLOT_BITS)))
+        slots = placed.groupBy("slot").agg(F.count("*").alias("n")).limit(NAMED_PARTS + 2).collect()
+        few = len(slots) <= NAMED_PARTS
+        held = None
+        for s in segments:
+            one = self._texts_of(s.name, [r.slot for r in slots if r.slot is not None] if few else None).select("slot", "tid", F.col("words").alias("words_h"))
+            held = one if held is None else held.unionByName(one)
+        real = placed.where("slot is not null")
+        small = few and sum(r.n for r in slots) <= BROADCAST_PAIRS
+        pairs = held.join(F.broadcast(real) if small else real, ["slot", "tid"])
+        asked = probes.select(F.col("tid").alias("probe"), F.col("words").alias("words_p"))
+        pairs = pairs.join(asked, "probe")
+        same = (F.col("words_p") == F.col("words_h")) | near(self.shape)("words_p", "words_h")
+        return pairs.where(same).select(F.col("probe").alias("tid")).distinct(), not few or any(r.slot is None for r in slots)
+
+    def _near_earlier(self, probes: DataFrame, segments: list[Segment]) -> DataFrame:
+        """(tid) of the probes for which there is an earlier text. One is enough: where a suffix has very many matches, the first of the longer ones settle
+        most probes, and only those that they don't settle are searched to the end."""
+        first = self._candidates(probes, segments, FIRST_MATCHES)
+        found, some_cut = self._verified(first, probes, segments)
+        if not some_cut:
+            return found
+        found = common.materialise(found, "near-first")
+        cut = first.where(F.col("tid") == NO_RECORD).select(F.col("probe").alias("tid"))
+        rest = common.materialise(probes.join(cut, "tid", "left_semi").join(found, "tid", "left_anti"), "unsettled")
+        if rest.isEmpty():
+            return found
+        return found.unionByName(self._verified(self._candidates(rest, segments, None), rest, segments)[0])
+
+    def ingest(self, df: DataFrame, record_id: str, text: str, batch: str | None = None, check: bool = True) -> DataFrame:
+        """(id): the rows of df whose text is the same as, or near, one in the store or of an earlier row of df. Then df is in the store.
+
+        Null ids and texts are left out; a repeated row (same id, same text) is one row; an empty df gives no row and changes nothing.
+        Without check nothing is looked for, as for the first history, and of df only its texts are kept.
+        """
+        came = F.coalesce(F.col(batch).cast("bigint"), F.lit((1 << 62) - 1)) if batch else F.lit(0).cast("bigint")
+        rows = df.select(F.col(record_id).cast("bigint").alias("id"), came.alias("batch"), common.word_text(F.col(text).cast("string")).alias("words")).where("id is not null and words is not null")
+        if check:
+            by_batch = rows.groupBy("words", "batch").agg(F.min("id").alias("id"))
+            firsts = by_batch.groupBy("words").agg(F.min(F.struct("batch", "id")).alias("key"))
+            texts = firsts.orderBy("key").select(F.col("key.id").alias("id"), "words")
+        else:
+            texts = rows.groupBy("words").agg(F.min("id").alias("id")).select("id", "words")
+        name = self._new_name("segment")
+        own = self._write_segment(texts, name)
+        if own.texts == 0:
+            scratch.remove(self.spark, f"{self.path}/{name}")
+            return self.spark.createDataFrame([], "id bigint")
+        new = Manifest(0, self._last, self.manifest.order, self.manifest.order_texts, list(self.manifest.commits), [*self.manifest.segments, own])
+        held = self._texts_of(name)
+        if self.order is None or own.texts > new.order_texts:
+            self.order, new.order, new.order_texts = rare_first(held, "words", self.shape.k), self._new_name("order"), own.texts
+            write_order(self.spark, self.order, f"{self.path}/{new.order}")
+        if check:
+            earlier = self._near_earlier(held.select("tid", "words"), new.segments)
+            named = held.select("tid", "id").join(earlier, "tid").select("id")
+            k1, k2, n = common.text_key(F.col("words"))
+            first_rows = held.select("id", k1.alias("k1"), k2.alias("k2"), n.alias("n"))
+            copies = rows.select("id", k1.alias("k1"), k2.alias("k2"), n.alias("n")).join(first_rows, ["id", "k1", "k2", "n"], "left_anti").select("id")
+            seen = self._new_name("seen")
+            named.unionByName(copies).distinct().write.parquet(f"{self.path}/{seen}")
+            new.commits.append(seen)
+        while len(new.segments) > 1 and 2 * new.segments[-1].texts > new.segments[-2].texts:
+            b, a = new.segments.pop(), new.segments.pop()
+            merged = self._merged(a, b)
+            for s in (a, b):
+                if s not in self.manifest.segments:
+                    scratch.remove(self.spark, f"{self.path}/{s.name}")
+            new.segments.append(merged)
+        self._commit(new)
+        return self.spark.read.schema("id bigint").parquet(f"{self.path}/{seen}") if check else self.spark.createDataFrame([], "id bigint")
+
+    def catch_up(self, df: DataFrame, record_id: str, text: str, batch: str) -> None:
+        """Ingests all batches of df in their order. Batches that wait are committed together while they come to no more than a
+        sixteenth of the texts there, so however small they are, going through a backlog reads the arrays some sixteen times in
+        all for each doubling of the store. A lone batch is a commit of its own. What comes to the driver is one row for each batch."""
+        key = F.col(batch).cast("bigint")
+        sizes = df.where(F.col(record_id).isNotNull() & F.col(text).isNotNull()).groupBy(key.alias("b")).agg(F.count("*").alias("n")).collect()
+        waiting = sorted(sizes, key=lambda r: (r.b is None, r.b))
+        while waiting:
+            room = sum(s.texts for s in self.manifest.segments) // COMMIT_SHARE
+            take = 1
+            while take < len(waiting) and sum(r.n for r in waiting[: take + 1]) <= room:
+                take += 1
+            now, waiting = waiting[:take], waiting[take:]
+            inside = F.lit(False) if now[0].b is None else key.between(now[0].b, max(r.b for r in now if r.b is not None))
+            if now[-1].b is None:
+                inside = inside | key.isNull()
+            self.ingest(df.where(inside), record_id, text, batch)
+
+    def seen(self) -> DataFrame:
+        """(id): all rows of all ingests that were there before."""
+        paths = [f"{self.path}/{c}" for c in self.manifest.commits]
+        return self.spark.read.schema("id bigint").parquet(*paths).distinct() if paths else self.spark.createDataFrame([], "id bigint")
+
+
+def seen_before(history: DataFrame, history_id: str, history_text: str, new: DataFrame, new_id: str, batch: str, new_text: str, shape: Shape | None = None) -> DataFrame:
     """(new_id): rows of `new` whose text is the same as, or near, one of the history or of an earlier new row.
 
     Earlier means smaller batch, then smaller id; a null batch comes last. Same: equal sequences of words. Near: by
-    shape. Null texts match nothing; rows with a null id are left out; a repeated row (same id) is one row. All batches
-    are searched at once, as one segment beside that of the history: which row came first decides between them, so the
-    result is that of one batch after the other (see SegmentStore for those).
+    shape. Null texts match nothing; rows with a null id are left out; a repeated row (same id) is one row. The history is ingested
+    into a store in the shared folder, and the batches after it (see SegmentStore.catch_up).
     """
-    shape = shape or Shape()
-    old = history.select(common.word_text(F.col(history_text).cast("string")).alias("words")).where("words is not null")
-    rows = new.select(F.col(new_id).cast("bigint").alias("id"), F.coalesce(F.col(batch).cast("bigint"), F.lit((1 << 62) - 1)).alias("batch"), common.word_text(F.col(new_text).cast("string")).alias("words")).where("id is not null and words is not null")
-    # One row a text: when it came first; old texts are older than any batch. The first new row is found in two plain minima, the
-    # batch and within it the id, which hash aggregation combines before it shuffles.
-    by_batch = rows.groupBy("words", "batch").agg(F.min("id").alias("id"))
-    new_texts = by_batch.groupBy("words").agg(F.min(F.struct("batch", "id")).alias("key"))
-    texts = old.distinct().withColumn("is_old", F.lit(True)).join(new_texts, "words", "full_outer")
-    batch_of, id_of = (F.when(F.col("is_old"), F.lit(first).cast("bigint")).otherwise(F.col(f"key.{c}")) for c, first in (("batch", BEFORE_ALL), ("id", 0)))
-    texts = texts.select(F.monotonically_increasing_id().alias("tid"), "words", batch_of.alias("batch"), id_of.alias("first_id"), F.col("key").isNotNull().alias("is_new"))
-    texts = common.materialise(texts, "history-texts")
-    k1, k2, n = common.text_key(F.col("words"))
-    # the same text, seen before: every row but the first of its text, and all rows of texts in the history
-    copies = rows.select("id", "batch", k1.alias("k1"), k2.alias("k2"), n.alias("n"))
-    firsts = texts.where("is_new").select(k1.alias("k1"), k2.alias("k2"), n.alias("n"), F.col("batch").alias("first_batch"), "first_id")
-    same = copies.join(firsts, ["k1", "k2", "n"]).where("batch <> first_batch or id <> first_id").select("id")
-    # near: only the first row of a text that the history has not can still be new
-    probes = texts.where(f"is_new and batch <> {BEFORE_ALL}")
-    order = rare_first(texts, "words", shape.k)
-    route = routing(order, shape)
-    segment = build_segment(texts, shape, order, route)
-
-    def earlier_and_near(hits: DataFrame) -> DataFrame:
-        asked = probes.select(F.col("tid").alias("probe"), F.col("words").alias("words_p"), F.col("batch").alias("batch_p"), F.col("first_id").alias("id_p"))
-        held = texts.select("tid", F.col("words").alias("words_h"), F.col("batch").alias("batch_h"), F.col("first_id").alias("id_h"))
-        pairs = hits.select("probe", "tid").join(asked, "probe").join(held, "tid").where("batch_h < batch_p or (batch_h = batch_p and id_h < id_p)")
-        return pairs.where(near(shape)("words_p", "words_h")).select("probe", F.col("id_p").alias("id")).distinct()
-
-    # one earlier text is enough: where a suffix has very many matches, the first of them settle most probes, and only
-    # those that they don't settle are searched to the end
-    first = common.materialise(search_segment(segment, probes, shape, order, route, within=True, most=FIRST_MATCHES), "first-matches")
-    nearby = earlier_and_near(first.where("cut = 0"))
-    cut = first.where("cut = 1").select(F.col("probe").alias("tid")).distinct()
-    if not cut.isEmpty():
-        nearby = common.materialise(nearby, "near-first")
-        rest = common.materialise(probes.join(cut, "tid", "left_semi").join(nearby.select(F.col("probe").alias("tid")), "tid", "left_anti"), "unsettled")
-        nearby = nearby.union(earlier_and_near(search_segment(segment, rest, shape, order, route, within=True)))
-    return same.union(nearby.select("id")).distinct().select(F.col("id").alias(new_id))
-
-
-class SegmentStore:
-    """Segments kept in a folder that all executors share, for batches that arrive one after the other.
-
-    check(batch) searches every live segment with the suffixes of the batch alone; add(batch) writes the batch's own
-    segment and merges segments of one level. The rare-first order is fixed by the first batch; later batches use it
-    as it is, which keeps results exact.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, shape: Shape | None = None, parts: int = 8) -> None:
-        self.spark, self.path, self.shape, self.parts = spark, path.rstrip("/"), shape or Shape(), parts
-        self.order: Order | None = None
-        self.live: list[tuple[int, str]] = []
-
-    def _texts(self, df: DataFrame, record_id: str, text: str) -> DataFrame:
-        return df.select(F.col(record_id).cast("bigint").alias("tid"), common.word_text(F.col(text).cast("string")).alias("words")).where("tid is not null and words is not null").dropDuplicates(["tid"])
-
-    def _route(self) -> Routing:
-        return routing(self.order, self.shape, self.parts)
-
-    def add(self, df: DataFrame, record_id: str, text: str) -> None:
-        texts = self._texts(df, record_id, text)
-        if self.order is None:
-            self.order = rare_first(texts, "words", self.shape.k)
-        name = f"{self.path}/segment-{uuid.uuid4().hex}"
-        texts.write.parquet(f"{name}/texts")
-        again = self.spark.read.parquet(f"{name}/texts")
-        build_segment(again, self.shape, self.order, self._route()).repartition(self.parts, "part").sortWithinPartitions("part", "gram", "ext").write.parquet(f"{name}/suffixes")
-        self.live.append((0, name))
-        self._merge()
-
-    def _merge(self) -> None:
-        while len(self.live) > 1 and self.live[-1][0] == self.live[-2][0]:
-            (level, b), (_, a) = self.live.pop(), self.live.pop()
-            name = f"{self.path}/segment-{uuid.uuid4().hex}"
-            for kind in ("texts", "suffixes"):
-                joined = self.spark.read.parquet(f"{a}/{kind}", f"{b}/{kind}")
-                if kind == "suffixes":
-                    joined = joined.repartition(self.parts, "part").sortWithinPartitions("part", "gram", "ext")
-                joined.write.parquet(f"{name}/{kind}")
-            self.live.append((level + 1, name))
-
-    def check(self, df: DataFrame, record_id: str, text: str) -> DataFrame:
-        """(record_id, tid): records of the batch and the accepted records whose text is the same or near."""
-        texts = self._texts(df, record_id, text)
-        out = None
-        for _, name in self.live:
-            held = self.spark.read.parquet(f"{name}/texts")
-            named = texts.withColumnRenamed("tid", "probe").withColumnRenamed("words", "words_p")
-            same = named.join(held, F.col("words_p") == F.col("words")).select("probe", "tid")
-            hits = search_segment(self.spark.read.parquet(f"{name}/suffixes"), texts, self.shape, self.order, self._route()).select("probe", "tid")
-            close = hits.join(named, "probe").join(held, "tid").where(near(self.shape)("words_p", "words")).select("probe", "tid")
-            found = same.union(close)
-            out = found if out is None else out.union(found)
-        if out is None:
-            return texts.limit(0).select(F.col("tid").alias(record_id), F.col("tid").alias("tid"))
-        return out.distinct().select(F.col("probe").alias(record_id), "tid")
+    spark = new.sparkSession
+    store = SegmentStore(spark, scratch.scratch_path(spark, "store"), shape or Shape())
+    store.ingest(history, history_id, history_text, check=False)
+    store.catch_up(new, new_id, new_text, batch)
+    return store.seen().select(F.col("id").alias(new_id))

@@ -44,7 +44,7 @@ QUESTIONS = Shape(3, "0.6")
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     examples = table(spark, sf_dir, "cot_examples")
-    return history.seen_before(table(spark, sf_dir, "corpus"), "question", examples, "example_id", "batch_no", "question", QUESTIONS)
+    return history.seen_before(table(spark, sf_dir, "corpus"), "corpus_id", "question", examples, "example_id", "batch_no", "question", QUESTIONS)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,7 @@ class Order:
     word_rest: float
     grams: np.ndarray
     gram_logs: np.ndarray
+    total_words: int
     total: int
 
 
@@ -97,32 +98,59 @@ class Encoded:
         self.gram = gram
 
 
+class FrequentItems:
+    """Counts of hashed items of a stream in bounded memory: at most `kept` counters, and no count too low by more than 1/kept of
+    all items seen, so whatever makes up more than that share is there."""
+
+    def __init__(self, kept: int) -> None:
+        self.kept, self.total = kept, 0
+        self.h, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, h: np.ndarray, n: np.ndarray) -> None:
+        self.total += int(n.sum())
+        every, at = np.unique(np.r_[self.h, h], return_inverse=True)
+        sums = np.bincount(at, np.r_[self.n, n], len(every)).astype(np.int64)
+        if len(every) > self.kept:  # all counts fall by that of the first one without a place
+            sums = sums - np.partition(sums, -self.kept - 1)[-self.kept - 1]
+        self.h, self.n = every[sums > 0], sums[sums > 0]
+
+    def kept_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Without what makes up no more than 1/kept of this stream: that takes no count further down than the bound on all."""
+        often = self.n > self.total // self.kept
+        return self.h[often], self.n[often]
+
+
 def _count_batches(k: int):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, grams = FrequentItems(4 * WORDS_KEPT), FrequentItems(4 * SHINGLES_KEPT)
         for pdf in batches:
             e = Encoded(pdf["words"].tolist(), k)
-            n_words = np.bincount(e.index, minlength=len(e.unique))
-            grams, n_grams = np.unique(e.gram, return_counts=True)
-            often = n_grams >= max(4, len(e.gram) // (2 * SHINGLES_KEPT))
-            common = n_words >= max(2, len(e.index) // (2 * WORDS_KEPT))
-            yield pd.DataFrame(
-                {
-                    "kind": np.r_[np.zeros(common.sum(), np.int32), np.ones(often.sum(), np.int32), [2, 3]].astype(np.int32),
-                    "h": np.r_[e.unique[common], grams[often], np.zeros(2, np.uint64)].astype(np.uint64).astype(np.int64),
-                    "n": np.r_[n_words[common], n_grams[often], [len(e.index), len(e.gram)]].astype(np.int64),
-                }
-            )
+            words.add(e.unique, np.bincount(e.index, minlength=len(e.unique)))
+            grams.add(*np.unique(e.gram, return_counts=True))
+        (w, n_w), (g, n_g) = words.kept_counts(), grams.kept_counts()
+        yield pd.DataFrame(
+            {
+                "kind": np.r_[np.zeros(len(w)), np.ones(len(g)), [2, 3]].astype(np.int32),
+                "h": np.r_[w, g, np.zeros(2, np.uint64)].astype(np.uint64).astype(np.int64),
+                "n": np.r_[n_w, n_g, [words.total, grams.total]].astype(np.int64),
+            }
+        )
 
     return count
 
 
 def rare_first(texts: DataFrame, words: str, k: int) -> Order:
-    """The order for a collection of word texts. What comes to the driver is at most 20,000 words and 50,000 shingles:
-    no more can make up that share of all."""
+    """The order for a collection of word texts. Counts are kept by task and added up, each too low by half of the least share
+    looked for at most, so every word of 1/20,000 and every shingle of 1/50,000 of all is found. What comes to the driver is at most
+    40,000 words and 100,000 shingles: no more can make up half of that share."""
     counts = materialise(texts.select(F.col(words).alias("words")).mapInPandas(_count_batches(k), "kind int, h bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("n")), "counts")
     total = counts.where("kind >= 2").groupBy().agg(F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("w"), F.sum(F.when(F.col("kind") == 3, F.col("n"))).alias("g"))
-    least = F.when(F.col("kind") == 0, F.col("w") / WORDS_KEPT).otherwise(F.col("g") / SHINGLES_KEPT)
-    kept = counts.where("kind < 2").crossJoin(F.broadcast(total)).where(F.col("n") >= least).select("kind", "h", "n").unionByName(counts.where("kind >= 2")).toPandas()
+    least = F.when(F.col("kind") == 0, F.col("w") / (2 * WORDS_KEPT)).otherwise(F.col("g") / (2 * SHINGLES_KEPT))
+    kept = counts.where("kind < 2").crossJoin(F.broadcast(total)).where(F.col("n") >= least).select("kind", "h", "n").unionByName(counts.where("kind >= 2"))
+    return _as_order(kept.toPandas())
+
+
+def _as_order(kept: pd.DataFrame) -> Order:
     sides = []
     for kind in (0, 1):
         one = kept[kept["kind"] == kind]
@@ -131,7 +159,23 @@ def rare_first(texts: DataFrame, words: str, k: int) -> Order:
         sides.append((h[o], np.log2(one["n"].to_numpy(np.float64)[o] + 1.0)))
     words, grams = (int(kept.loc[kept["kind"] == kind, "n"].sum()) for kind in (2, 3))
     floor = float(np.log2(max(1.0, words / WORDS_KEPT / 4)))
-    return Order(sides[0][0], sides[0][1], floor, sides[1][0], sides[1][1], grams)
+    return Order(sides[0][0], sides[0][1], floor, sides[1][0], sides[1][1], words, grams)
+
+
+def write_order(spark: SparkSession, order: Order, path: str) -> None:
+    counts = lambda logs: np.round(np.exp2(logs) - 1.0).astype(np.int64)
+    rows = pd.DataFrame(
+        {
+            "kind": np.r_[np.zeros(len(order.words)), np.ones(len(order.grams)), [2, 3]].astype(np.int32),
+            "h": np.r_[order.words, order.grams, np.zeros(2, np.uint64)].astype(np.uint64).astype(np.int64),
+            "n": np.r_[counts(order.word_logs), counts(order.gram_logs), [order.total_words, order.total]].astype(np.int64),
+        }
+    )
+    spark.createDataFrame(rows, "kind int, h bigint, n bigint").write.parquet(path)
+
+
+def read_order(spark: SparkSession, path: str) -> Order:
+    return _as_order(spark.read.parquet(path).toPandas())
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, rest: float) -> np.ndarray:

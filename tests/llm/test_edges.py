@@ -23,7 +23,7 @@ ROWS = [
 CLASHES = "id a b h1 h2 words tid gram part text form term n source first_id key batch k0 t0 q c doc item pool w size trains _k _w".split()
 
 OPERATORS = {
-    "p2": lambda df: history.seen_before(df.where("grp = 'train'"), "body", df.withColumn("bn", F.lit(1)), "rid", "bn", "body", S3),
+    "p2": lambda df: history.seen_before(df.where("grp = 'train'"), "rid", "body", df.withColumn("bn", F.lit(1)), "rid", "bn", "body", S3),
     "p3": lambda df: overlap.cross_split_pairs(df, "rid", "body", "grp", shape=S3),
     "p4": lambda df: tokens.token_counts(df, "rid", {"body_tokens": "body", "other_tokens": "other"}, ["grp"]),
     "p5": lambda df: layout.layout_copies(df, "rid", "body", "other"),

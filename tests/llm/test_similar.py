@@ -50,50 +50,112 @@ def test_cross_split(spark, shape, num, den):
     assert got == want and want
 
 
-def test_seen_before(spark):
-    shape = Shape(3, "0.6")
-    qs = questions(11, 240)
-    old, new = qs[:90], [(1000 - i, i % 7, q) for i, q in enumerate(qs[90:])]
+def seen(spark, old, new, shape):
+    """new: (id, batch, text)."""
     df = spark.createDataFrame(new, "i bigint, b int, q string")
-    got = {r[0] for r in history.seen_before(spark.createDataFrame([(q,) for q in old], "q string"), "q", df, "i", "b", "q", shape).collect()}
-    want = {i for i, b, q in new if any(near(q, o, 3, 6, 10) for o in old) or any((c, j) < (b, i) and near(q, r, 3, 6, 10) for j, c, r in new)}
-    assert got == want and want
+    olds = spark.createDataFrame([(i, q) for i, q in enumerate(old)], "i bigint, q string")
+    return {r[0] for r in history.seen_before(olds, "i", "q", df, "i", "b", "q", shape).collect()}
 
 
-def test_hot_suffixes_are_spread(spark, monkeypatch):
-    """Every text shares a frequent opening; its suffixes go to several parts and no pair is lost."""
-    monkeypatch.setattr(history, "HEAVY_A_PART", 20)
-    shape = Shape(3, "0.6")
-    rng = random.Random(3)
-    qs = [f"it is market day again and {rng.choice(NOUNS)} are {rng.choice(NOUNS)}" for _ in range(150)]
-    old, new = qs[:75], list(enumerate(qs[75:]))
-    df = spark.createDataFrame([(i, 0, q) for i, q in new], "i bigint, b int, q string")
-    got = {r[0] for r in history.seen_before(spark.createDataFrame([(q,) for q in old], "q string"), "q", df, "i", "b", "q", shape).collect()}
-    assert got == {i for i, q in new if any(near(q, o, 3, 6, 10) for o in old) or any(j < i and near(q, r, 3, 6, 10) for j, r in new)}
+def brute(old, new, shape):
+    num, den = shape.ratio.numerator, shape.ratio.denominator
+    return {i for i, b, q in new if any(near(q, o, shape.k, num, den) for o in old) or any((c, j) < (b, i) and near(q, r, shape.k, num, den) for j, c, r in new)}
 
 
-@pytest.mark.parametrize("most", [1, 3])
+@pytest.mark.parametrize("shape", [Shape(3, "0.6"), Shape()])
+def test_seen_before(spark, shape):
+    qs = questions(11, 240)
+    old, new = qs[:120], [(1000 - i, i % 2, q) for i, q in enumerate(qs[120:])]
+    assert seen(spark, old, new, shape) == brute(old, new, shape) != set()
+
+
+@pytest.mark.parametrize("most", [1])
 def test_first_matches_then_all(spark, monkeypatch, most):
     """With few matches followed at first, the probes they don't settle are searched to the end."""
     monkeypatch.setattr(history, "FIRST_MATCHES", most)
-    shape = Shape(3, "0.6")
-    qs = questions(17, 200)
-    old, new = qs[:80], list(enumerate(qs[80:]))
-    df = spark.createDataFrame([(i, i // 50, q) for i, q in new], "i bigint, b int, q string")
-    got = {r[0] for r in history.seen_before(spark.createDataFrame([(q,) for q in old], "q string"), "q", df, "i", "b", "q", shape).collect()}
-    assert got == {i for i, q in new if any(near(q, o, 3, 6, 10) for o in old) or any(j < i and near(q, r, 3, 6, 10) for j, r in new)}
+    qs = questions(17, 160)
+    old, new = qs[:80], [(i, 0, q) for i, q in enumerate(qs[80:])]
+    assert seen(spark, old, new, Shape(3, "0.6")) == brute(old, new, Shape(3, "0.6"))
+
+
+def test_hot_suffixes(spark, monkeypatch):
+    """Every text shares a frequent opening; arrays of a part lie side by side, probes and arrays meet by a shuffle, and no pair is lost."""
+    monkeypatch.setattr(history, "RUN_ENTRIES", 50)
+    monkeypatch.setattr(history, "BROADCAST_ENTRIES", 0)
+    monkeypatch.setattr(history, "BROADCAST_PAIRS", 0)
+    monkeypatch.setattr(history, "NAMED_PARTS", 0)
+    monkeypatch.setattr(history, "PAIRS_AT_ONCE", 100)
+    rng = random.Random(3)
+    qs = [f"it is market day again and {rng.choice(NOUNS)} are {rng.choice(NOUNS)}" for _ in range(150)]
+    old, new = qs[:75], [(i, 0, q) for i, q in enumerate(qs[75:])]
+    assert seen(spark, old, new, Shape(3, "0.6")) == brute(old, new, Shape(3, "0.6"))
 
 
-def test_segment_store(spark, tmp_path):
+def test_store_batch_by_batch(spark, tmp_path):
+    """Batches of one size: their segments are merged by the logarithm, a store opened anew goes on, and what no longer holds is gone."""
     shape = Shape(3, "0.6")
     qs = questions(13, 120)
-    store = history.SegmentStore(spark, str(tmp_path), shape, parts=4)
-    seen = []
+    had = []
     for b in range(4):
+        store = history.SegmentStore(spark, str(tmp_path), shape, entries_a_part=100)
         batch = [(b * 30 + i, q) for i, q in enumerate(qs[b * 30 : b * 30 + 30])]
-        df = spark.createDataFrame(batch, "i bigint, q string")
-        got = {tuple(r) for r in store.check(df, "i", "q").collect()}
-        assert got == {(i, j) for i, q in batch for j, r in seen if near(q, r, 3, 6, 10)}
-        store.add(df, "i", "q")
-        seen += batch
-    assert [level for level, _ in store.live] == [2]  # four batches of one size became one segment
+        got = {r[0] for r in store.ingest(spark.createDataFrame(batch, "i bigint, q string"), "i", "q").collect()}
+        assert got == {i for i, q in batch if any(near(q, r, 3, 6, 10) for j, r in had + batch if j < i)}
+        had += batch
+    assert store.ingest(spark.createDataFrame([], "i bigint, q string"), "i", "q").count() == 0
+    names = {p.name for p in tmp_path.iterdir()}
+    held = store.manifest.segments
+    assert len(held) < 3 and sum(x.texts for x in held) == sum(len({words(q) for q in qs[b : b + 30]}) for b in (0, 30, 60, 90)) and held[0].bits > 3
+    assert {n for n in names if n.startswith(("segment", "manifest", "order"))} == {*(x.name for x in held), "manifest-4", store.manifest.order}
+    for r in store._arrays_of(held[0].name).collect():
+        suffix = history._unpack(r.suffix, history.np.uint64)
+        assert (history.np.diff(suffix.astype(object)) >= 0).all() and {int(x) >> (64 - held[0].bits) for x in suffix} == {r.part}
+
+
+def test_interrupted_ingest_counts_for_nothing(spark, tmp_path, monkeypatch):
+    store = history.SegmentStore(spark, str(tmp_path), Shape(3, "0.6"))
+    df = spark.createDataFrame([(1, "one two three four"), (2, "one two three four")], "i bigint, q string")
+    monkeypatch.setattr(store, "_commit", lambda new: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.ingest(df, "i", "q")
+    again = history.SegmentStore(spark, str(tmp_path), Shape(3, "0.6"))
+    assert [r[0] for r in again.ingest(df, "i", "q").collect()] == [2]
+
+
+def test_small_batch_reads_few_parts(spark, tmp_path, monkeypatch):
+    """A batch of two texts against 3,000: the scan of the arrays names few of the parts, isn't shuffled, and few entries are read."""
+    store = history.SegmentStore(spark, str(tmp_path), Shape(3, "0.6"), entries_a_part=200)
+    rng = random.Random(5)
+    old = [(i, sentences(rng, 3)) for i in range(3000)]
+    store.ingest(spark.createDataFrame(old, "i bigint, q string"), "i", "q", check=False)
+    read = []
+    arrays_of = store._arrays_of
+
+    def watch(name, parts=None):
+        df = arrays_of(name, parts)
+        if parts is not None and name == store.manifest.segments[0].name:
+            read.append((len(parts), df.agg({"n": "sum"}).first()[0], df))
+        return df
+
+    monkeypatch.setattr(store, "_arrays_of", watch)
+    new = [(9001, old[7][1] + " indeed"), (9002, sentences(rng, 3))]
+    assert [r[0] for r in store.ingest(spark.createDataFrame(new, "i bigint, q string"), "i", "q").collect()] == [9001]
+    parts, entries, df = read[0]
+    every = arrays_of(store.manifest.segments[0].name).agg({"n": "sum"}).first()[0]
+    assert parts * 5 < 1 << store.manifest.segments[0].bits and entries * 5 < every
+    assert "part" in df._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_frequent_items_across_batches():
+    """Fifty batches that each hold a shingle three times: it is counted whole."""
+    from loomstone.llm import shingles
+
+    one = history.pd.DataFrame({"words": ["a b c"] * 3 + ["d e f g h"]})
+    (out,) = shingles._count_batches(3)(iter([one] * 50))
+    assert 150 in set(out.loc[out["kind"] == 1, "n"])
+    many = shingles.FrequentItems(50)
+    rng = history.np.random.default_rng(1)
+    for _ in range(40):
+        many.add(*history.np.unique(history.np.r_[history.np.full(40, 7, history.np.uint64), rng.integers(100, 10**9, 360).astype(history.np.uint64)], return_counts=True))
+    got = dict(zip(many.h.tolist(), many.n.tolist(), strict=True))
+    assert len(got) <= 50 and 1600 - many.total // 50 <= got[7] <= 1600
