@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomstone.scratch import materialise
+
 ROWS_A_BUCKET = 50_000
 
 
@@ -21,9 +23,10 @@ def smallest_keys(rows: DataFrame, group: list[str], row_id: str, key: Column, q
     The keys of a group are cut into buckets of some 50,000 rows, counted before the shuffle; whole buckets below the
     quota are taken as they are, and only the bucket in which it ends is sorted. So a group that holds a third of all rows
     is never in one task. quotas has a row for each group. Null groups match null groups; ties in the key go by row_id.
+    Keys are made once and written in the shared folder, as they are read three times.
     """
     amount = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    rows = rows.withColumn("__k", key).withColumn("__w", F.coalesce(amount, F.lit(0)))
+    rows = materialise(rows.withColumn("__k", key).withColumn("__w", F.coalesce(amount, F.lit(0))), "keys")
     sizes = rows.groupBy(*group).agg(F.count("*").alias("__n"))
     same = lambda a, b: [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in group]
     plan = quotas.select(*group, F.col(quota).cast("bigint").alias("__q")).alias("p").join(sizes.alias("s"), same("p", "s")).select("p.*", F.ceil(F.col("__n") / ROWS_A_BUCKET).cast("bigint").alias("__b"))
@@ -61,20 +64,32 @@ def stratified_split(df: DataFrame, row_id: str, difficulty: str, hard_target: i
 
 
 def running_before(df: DataFrame, order: str, amount: str | None = None, out: str = "before", tie: str | None = None) -> DataFrame:
-    """Adds the sum of `amount` (1 each by default) of all rows before a row in the order of a whole-number column.
+    """Adds the sum of `amount` (1 each by default) of all rows before a row in the order of a column. Nulls in the order come first.
 
-    The range of the column is cut into equal stretches by its minimum, maximum and count (one row); sums of stretches are
-    added up first, so each task sorts one stretch. Nulls in the order come first.
+    Rows are cut into stretches of some 50,000 by the column's approximate quantiles, so neither outliers nor crowded values leave one
+    stretch with most rows; only rows of equal order lie in one stretch whatever their number. Sums of stretches are added up first, so each
+    task sorts one stretch.
     """
     size = F.coalesce(F.col(amount), F.lit(0)) if amount else F.lit(1)
-    ends = df.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"), F.ceil(F.count("*") / ROWS_A_BUCKET).alias("__b"))
-    real = lambda c: F.col(c).cast("double")  # noqa: E731  differences of far apart longs overflow
-    place = F.floor((real(order) - real("__lo")) / (real("__hi") - real("__lo") + 1) * F.col("__b"))
-    cut = df.crossJoin(F.broadcast(ends)).withColumn("__at", F.coalesce(place.cast("bigint"), F.lit(-1).cast("bigint"))).drop("__lo", "__hi", "__b")
+    steps = max(1, min(10_000, df.where(F.col(order).isNotNull()).count() // ROWS_A_BUCKET))
+    cuts = df.agg(F.percentile_approx(order, [(i + 1) / (steps + 1) for i in range(steps)], 100 * steps)).first()[0] or []
+    # how many cuts lie below the row: a binary search over a sorted array of constants
+    at = F.when(F.col(order).isNull(), -1).otherwise(_cuts_below(F.col(order), sorted(set(cuts)))) if cuts else F.when(F.col(order).isNull(), -1).otherwise(0)
+    cut = df.withColumn("__at", at.cast("int"))
     sums = cut.groupBy("__at").agg(F.sum(size).alias("__s"))
     offsets = sums.select("__at", F.coalesce(F.sum("__s").over(W.orderBy("__at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
     within = F.coalesce(F.sum(size).over(W.partitionBy("__at").orderBy(*[c for c in (order, tie) if c]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return cut.join(offsets, "__at").withColumn(out, F.col("__o") + within).drop("__at", "__o")
+    return cut.join(F.broadcast(offsets), "__at").withColumn(out, F.col("__o") + within).drop("__at", "__o")  # a row for each stretch
+
+
+def _cuts_below(value: Column, cuts: list) -> Column:
+    """The number of cuts below a value, as nested comparisons of logarithmic depth."""
+    if not cuts:
+        return F.lit(0)
+    if len(cuts) > 64:  # more than that is an interpreted search, which keeps the expression small
+        return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value))
+    mid = len(cuts) // 2
+    return F.when(value > F.lit(cuts[mid]), F.lit(mid + 1) + _cuts_below(value, cuts[mid + 1 :])).otherwise(_cuts_below(value, cuts[:mid]))
 
 
 def cap_at_group_end(df: DataFrame, group: str, amount: str, cap: int) -> DataFrame:
