@@ -25,6 +25,7 @@ PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 SEPARATOR = 1
 POWERS_KEPT = 1 << 16
+HOT_CLASS = 100_000
 
 
 @lru_cache(1)
@@ -97,31 +98,20 @@ def layout_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out.astype(np.int64), has
 
 
+def _kept(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(folded letters, where each stands) of a text without what only separates words."""
+    folded = fold_table()[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x10FFFF)]
+    at = np.flatnonzero(folded)
+    return folded[at], at
+
+
 def same_layout_free(a: str, b: str) -> bool:
-    """Two pointers over a and b that skip separators: whether the sequences of words are equal."""
+    """Two pointers over a and b that skip separators, moved on together as arrays of places: whether the sequences of words are equal,
+    letter by letter, with a gap after the same letters."""
     if a == b:
         return True
-    table = fold_table()
-    x = table[np.minimum(np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32), 0x10FFFF)].tolist()
-    y = table[np.minimum(np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32), 0x10FFFF)].tolist()
-    i = j = 0
-    n, m = len(x), len(y)
-    began = False
-    while True:
-        gap_a = gap_b = False
-        while i < n and not x[i]:
-            i += 1
-            gap_a = True
-        while j < m and not y[j]:
-            j += 1
-            gap_b = True
-        if i == n or j == m:
-            return i == n and j == m
-        if began and gap_a != gap_b or x[i] != y[j]:
-            return False
-        began = True
-        i += 1
-        j += 1
+    (x, i), (y, j) = _kept(a), _kept(b)
+    return len(x) == len(y) and bool((x == y).all()) and bool(((np.diff(i) > 1) == (np.diff(j) > 1)).all())
 
 
 def read_lines(df: DataFrame, line_id: str, raw: str, fields: list[str]) -> DataFrame:
@@ -151,23 +141,38 @@ def _hash_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": pdf["id"], "h1": h1, "h2": h2})[w1 & w2]
 
 
-def layout_copies(records: DataFrame, record_id: str, field_a: str, field_b: str) -> DataFrame:
-    """(first_id, copy_id): records whose two fields hold equal sequences of words; first_id is the smallest id of the group.
+def _plain(records: DataFrame, record_id: str, field_a: str, field_b: str) -> DataFrame:
+    return records.select(F.col(record_id).cast("bigint").alias("id"), F.col(field_a).cast("string").alias("a"), F.col(field_b).cast("string").alias("b")).where("id is not null and a is not null and b is not null")
 
-    Records with a null id, or with no word in one of the fields (null, empty, only signs), are left out. A repeated row
-    (same id) is one record. Texts are read whole; empty tables give no row.
-    """
-    plain = records.select(F.col(record_id).cast("bigint").alias("id"), F.col(field_a).cast("string").alias("a"), F.col(field_b).cast("string").alias("b")).where("id is not null and a is not null and b is not null")
-    hashed = common.materialise(plain.mapInPandas(_hash_batches, "id bigint, h1 bigint, h2 bigint"), "layout").distinct()
+
+def _hashed(plain: DataFrame) -> DataFrame:
+    return common.materialise(plain.mapInPandas(_hash_batches, "id bigint, h1 bigint, h2 bigint").distinct(), "layout")
+
+
+def _members(left: DataFrame) -> DataFrame:
+    """(id, h1, h2, first_id, salts): rows that share their hashes with a smaller id, and into how many pieces their class is cut. Classes of
+    more than 100,000 rows are joined by broadcast: there can't be more than one for each 100,000 rows."""
+    groups = common.materialise(left.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1"), "classes")
+    groups = groups.select("h1", "h2", "first_id", F.ceil(F.col("n") / HOT_CLASS).cast("int").alias("salts"))
+    hot = groups.where("salts > 1")
+    members = left.join(groups.where("salts = 1"), ["h1", "h2"])
+    if not hot.isEmpty():
+        hot = F.broadcast(hot)
+        members = left.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(groups.where("salts = 1"), ["h1", "h2"]).unionByName(left.join(hot, ["h1", "h2"]))
+    return common.materialise(members.where("id <> first_id"), "members")
+
+
+def _copies(plain: DataFrame, hashed: DataFrame) -> DataFrame:
     found, left = None, hashed
     while True:
-        groups = left.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-        members = common.materialise(left.join(groups, ["h1", "h2"]).where("id <> first_id"), "members")
-        wanted = members.select("id").union(members.select("first_id")).distinct()
-        texts = plain.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-        texts = common.materialise(texts, "texts")
-        firsts = texts.select(F.col("id").alias("first_id"), F.col("a").alias("fa"), F.col("b").alias("fb"))
-        pairs = members.join(texts, "id").join(firsts, "first_id")
+        members = _members(left)
+        # a class's first text goes to each of its pieces, so a class of any size is compared by many tasks
+        firsts = members.groupBy("first_id").agg(F.max("salts").alias("salts"))
+        wanted = members.select("id").union(firsts.select("first_id"))
+        texts = common.materialise(plain.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
+        firsts = firsts.join(texts.select(F.col("id").alias("first_id"), F.col("a").alias("fa"), F.col("b").alias("fb")), "first_id")
+        firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        pairs = members.join(texts, "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).join(firsts, ["first_id", "salt"])
         checked = common.materialise(pairs.select("id", "h1", "h2", "first_id", _same_both("a", "fa", "b", "fb").alias("same")), "checked")
         good = checked.where("same").select("first_id", F.col("id").alias("copy_id"))
         found = good if found is None else found.union(good)
@@ -176,16 +181,26 @@ def layout_copies(records: DataFrame, record_id: str, field_a: str, field_b: str
             return found
 
 
+def layout_copies(records: DataFrame, record_id: str, field_a: str, field_b: str) -> DataFrame:
+    """(first_id, copy_id): records whose two fields hold equal sequences of words; first_id is the smallest id of the group.
+
+    Records with a null id, or with no word in one of the fields (null, empty, only signs), are left out. A repeated row
+    (same id) is one record. Texts are read whole; empty tables give no row.
+    """
+    plain = _plain(records, record_id, field_a, field_b)
+    return _copies(plain, _hashed(plain))
+
+
 @F.pandas_udf(T.BooleanType())
 def _same_both(a: pd.Series, fa: pd.Series, b: pd.Series, fb: pd.Series) -> pd.Series:
-    return pd.Series([same_layout_free(w, x) and same_layout_free(y, z) for w, x, y, z in zip(a, fa, b, fb, strict=True)])
+    return pd.Series([same_layout_free(w, x) and same_layout_free(y, z) for w, x, y, z in zip(a, fa, b, fb, strict=True)], dtype=bool)
 
 
 def layout_groups(records: DataFrame, record_id: str, field_a: str, field_b: str) -> DataFrame:
     """(first_id, copies): one row for every record left after collapsing, with the number of its copies, itself included."""
-    plain = records.select(F.col(record_id).cast("bigint").alias("id"), F.col(field_a).cast("string").alias("a"), F.col(field_b).cast("string").alias("b")).where("id is not null and a is not null and b is not null")
-    hashed = plain.mapInPandas(_hash_batches, "id bigint, h1 bigint, h2 bigint").select("id").distinct()
-    copies = common.materialise(layout_copies(records, record_id, field_a, field_b), "copies")
+    plain = _plain(records, record_id, field_a, field_b)
+    hashed = _hashed(plain)
+    copies = common.materialise(_copies(plain, hashed), "copies")
     counted = copies.groupBy("first_id").agg((F.count("*") + 1).alias("copies"))
-    alone = hashed.join(copies.select(F.col("copy_id").alias("id")), "id", "left_anti")
+    alone = hashed.select("id").distinct().join(copies.select(F.col("copy_id").alias("id")), "id", "left_anti")
     return alone.join(counted, F.col("id") == F.col("first_id"), "left").select(F.col("id").alias("first_id"), F.coalesce("copies", F.lit(1)).alias("copies"))

@@ -245,29 +245,33 @@ def form_keys(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return plain.mapInPandas(keys, FORM_SCHEMA)
 
 
+def _shared_forms(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, text_key, form_key, first_id, n_texts, n_docs) of the documents whose form is that of at least two different texts, written."""
+    keys = common.materialise(form_keys(df, doc_id, text).distinct(), "forms")
+    texts = keys.groupBy("form_key", "text_key").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    forms = texts.groupBy("form_key").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_docs"), F.min("id").alias("first_id")).where("n_texts > 1")
+    return common.materialise(keys.join(forms, "form_key"), "shared-forms")
+
+
 def lookalike_groups(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, form_key, n_texts, n_docs) of the documents whose form is shared by at least two different texts.
+    """(doc_id, first_id, n_texts, n_docs) of the documents whose form is shared by at least two different texts: the class of each
+    by its smallest id, and how many texts and documents are in it.
 
     Rows with a null id or text are left out; a repeated row counts once. Empty tables give no row.
     """
-    keys = common.materialise(form_keys(df, doc_id, text).distinct(), "forms")
-    groups = keys.groupBy("form_key", "text_key").agg(F.count("*").alias("n")).groupBy("form_key").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_docs")).where("n_texts > 1")
-    return keys.join(groups, "form_key").select(F.col("id").alias(doc_id), "form_key", "n_texts", "n_docs")
+    return _shared_forms(df, doc_id, text).select(F.col("id").alias(doc_id), "first_id", "n_texts", "n_docs")
 
 
 def lookalike_pairs(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: documents with different texts of one form.
 
-    Different texts of a form are paired first, then expanded to their documents: a text copied a billion times costs a
-    row for each copy, never a pair of copies. Nulls as in lookalike_groups.
+    The classes of lookalike_groups, expanded: different texts of a form are paired first, then their documents, so
+    copies of one text are never paired with each other. Nulls as in lookalike_groups.
     """
-    keys = common.materialise(form_keys(df, doc_id, text).distinct(), "forms")
+    keys = _shared_forms(df, doc_id, text).select("id", "form_key", "text_key")
     texts = keys.select("form_key", "text_key").distinct()
-    shared = texts.groupBy("form_key").agg(F.count("*").alias("n")).where("n > 1").select("form_key")
-    texts = texts.join(shared, "form_key")
     pairs = texts.alias("a").join(texts.alias("b"), "form_key").where("a.text_key < b.text_key").select("form_key", F.col("a.text_key").alias("key_a"), F.col("b.text_key").alias("key_b"))
-    one = keys.select(F.col("form_key"), F.col("text_key").alias("key_a"), F.col("id").alias("id_a"))
-    two = keys.select(F.col("form_key"), F.col("text_key").alias("key_b"), F.col("id").alias("id_b"))
+    one = keys.select("form_key", F.col("text_key").alias("key_a"), F.col("id").alias("id_a"))
+    two = keys.select("form_key", F.col("text_key").alias("key_b"), F.col("id").alias("id_b"))
     both = pairs.join(one, ["form_key", "key_a"]).join(two, ["form_key", "key_b"]).where("id_a <> id_b")
     return both.select(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b")).distinct()
-

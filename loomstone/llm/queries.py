@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstone.llm import defects, history, layout, leaks, lookalike, mixture, overlap, quota, terms, tokens
@@ -22,10 +23,32 @@ def p1_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotas.select("run_id", "difficulty", "pool", "asked", "quota", "shortfall")
 
 
+def p1_proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotas that come to the number of test rows an earlier run took: remainders, least numbers, caps and refill."""
+    quotas = quota.proportional_quotas(table(spark, sf_dir, "split_stats"), table(spark, sf_dir, "corpus"))
+    return quotas.select("run_id", "difficulty", "pool", "asked", "quota", "shortfall")
+
+
 def p1_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.draw_test_rows(table(spark, sf_dir, "split_stats"), table(spark, sf_dir, "corpus"))
 
 
+def _level_sql(source: str, low: str, high: str, out: str) -> str:
+    """SQL beside the operator: the sum at every bend is worked out category by category, in place of running sums."""
+    return f"""
+{out}_b as (select run_id, difficulty, {low}::double as lo0, {high}::double as hi0, w as w0, size, sum({low}) over (partition by run_id) > size as tight from {source}),
+{out}_c as (select run_id, difficulty, size, case when tight then lo0 else w0 end as w, case when tight then 0.0 else lo0 end as lo, case when tight then lo0 else greatest(lo0, hi0) end as hi from {out}_b),
+{out}_g as (select run_id, least(any_value(size), sum(case when w > 0 then hi else lo end)) as goal from {out}_c group by run_id),
+{out}_e as (select run_id, lo / w as at from {out}_c where w > 0 union select run_id, hi / w from {out}_c where w > 0),
+{out}_f as (select e.run_id, e.at, sum(least(greatest(e.at * c.w, c.lo), c.hi)) as f, sum(case when c.w > 0 and c.lo / c.w <= e.at and e.at < c.hi / c.w then c.w else 0 end) as slope
+            from {out}_e e join {out}_c c using (run_id) group by e.run_id, e.at),
+{out}_l as (select f.run_id, arg_max(f.at + case when slope > 1e-12 then (goal - f) / slope else 0 end, f.at) as level from {out}_f f join {out}_g g using (run_id) where f <= goal + 1e-9 group by f.run_id),
+{out}_r as (select c.run_id, c.difficulty, g.goal, least(greatest(coalesce(level, 0) * w, lo), hi) as x from {out}_c c join {out}_g g using (run_id) left join {out}_l l using (run_id)),
+{out}_p as (select *, floor(x + 1e-6) as whole, round(greatest(x - floor(x + 1e-6), 0), 6) as part from {out}_r),
+{out} as (select run_id, difficulty, (whole + case when part > 0 and row_number() over (partition by run_id order by part desc, difficulty) <= goal - sum(whole) over (partition by run_id) then 1 else 0 end)::bigint as n from {out}_p)
+"""
+
+
 P1_REQUESTS = """
 with asked as (
   select distinct run_id, batch_id, coalesce(hard_test_target, 0) as hard_want, coalesce(easy_medium_test_ratio, 0.0) as ratio,
@@ -53,10 +76,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = table(spark, sf_dir, "corpus")
-    pairs = overlap.cross_split_pairs(corpus, "corpus_id", "question", "split", shape=QUESTIONS)
     tests = table(spark, sf_dir, "split_stats").agg(F.sum("test_n").alias("test_n"))
-    return overlap.overlap_report(pairs, corpus, "corpus_id", "split", "source", "test", tests)
+    return overlap.overlap_report(table(spark, sf_dir, "corpus"), "corpus_id", "question", "split", "source", tests, shape=QUESTIONS)
 
 
 # --- problems 4 and 9 -------------------------------------------------------------------------------------------------------
@@ -75,32 +96,62 @@ def p4_slice_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_totals(p4_row_tokens(spark, sf_dir), ["kind", "source", "lang", "subject"], ["chain_tokens", "cot_tokens", "text_tokens"])
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, DataFrame]:
     sizes = mixture.document_tokens(table(spark, sf_dir, "documents", python=True), "doc_id", "source", "text")
-    return mixture.mixture(sizes, "doc_id", "source", "tokens", table(spark, sf_dir, "source_weights"))
+    return mixture.mixture(sizes, "doc_id", "source", "tokens", table(spark, sf_dir, "source_weights"), **how)
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest mix at the target shares."""
     return _mixture(spark, sf_dir)[0]
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix, plan = _mixture(spark, sf_dir)
-    return mixture.reached(mix, plan, "doc_id")
+    return mixture.reached(*_mixture(spark, sf_dir), "doc_id")
+
+
+# A budget midway between the limits at target shares (that of p9_mix) and at the sources' own shares: the scarcest source would
+# repeat more than it may at target shares, so the exponent is bisected to the repetition limit.
+REPEATS = {"repeat_share": 0.5}
+# Between the entropies of the own and of the target shares of the test tables.
+ENTROPY = {"wanted_entropy": 1.7}
 
 
 def p9_mix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix at a budget midway between the limits at target shares (that of p9_mix) and at the sources' own shares: the scarcest
-    source would repeat more than it may at target shares, so the exponent is bisected."""
-    sizes = mixture.document_tokens(table(spark, sf_dir, "documents", python=True), "doc_id", "source", "text")
-    weights = table(spark, sf_dir, "source_weights")
-    plain = mixture.mixture(sizes, "doc_id", "source", "tokens", weights)[1]
-    used = plain.where("weight > 0").join(weights.groupBy("source").agg(F.max(F.coalesce("max_repeats", F.lit(1))).alias("most")), "source")
-    limits = used.agg(F.sum("goal").alias("target"), (F.min("most") * F.sum("tokens_there")).alias("own")).first()
-    mix, plan = mixture.mixture(sizes, "doc_id", "source", "tokens", weights, budget=((limits.target or 0) + (limits.own or 0)) // 2)
+    mix, plan = _mixture(spark, sf_dir, **REPEATS)
     return mix.join(F.broadcast(plan.select("source", "exponent")), "source")
 
 
+def p9_shares_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.reached(*_mixture(spark, sf_dir, **REPEATS), "doc_id")
+
+
+def p9_shares_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.reached(*_mixture(spark, sf_dir, **ENTROPY), "doc_id")
+
+
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the mix bisected to the repetition limit, for every listed source: no document used too often, the budget met
+    to within one document, weights that are the tempered shares at the exponent, and an exponent below 1 that leaves no room."""
+    mix, plan = _mixture(spark, sf_dir, **REPEATS)
+    weights = table(spark, sf_dir, "source_weights").groupBy("source").agg(F.max("max_repeats").alias("most"))
+    uses = mix.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.countDistinct("pass").alias("passes_in"), F.max("tokens").alias("size"))
+    sums = uses.groupBy("source").agg(F.max("uses").alias("uses"), F.bool_and(F.col("uses") == F.col("passes_in")).alias("once"), F.sum(F.col("uses") * F.col("size")).alias("used"), F.max("size").alias("longest"))
+    total = Window.partitionBy()
+    own = F.col("tokens_there") / F.sum("tokens_there").over(total)
+    raw = F.when((F.col("tokens_there") > 0) & (F.col("target_share") > 0), F.pow(F.col("target_share"), F.col("exponent")) * F.pow(own, 1 - F.col("exponent"))).otherwise(0.0)
+    both = plan.join(weights, "source").join(sums, "source", "left").withColumn("raw", raw)
+    fullest = F.max(F.when(F.col("tokens_there") > 0, F.col("goal") / (F.col("most") * F.col("tokens_there")))).over(total)
+    return both.select(
+        "source",
+        (F.coalesce("uses", F.lit(0)) <= F.col("most")).alias("repeats_kept"),
+        F.coalesce("once", F.lit(True)).alias("once_a_pass"),
+        ((F.col("goal") == 0) | (F.coalesce("used", F.lit(0)) - F.col("goal")).between(0, F.col("longest"))).alias("budget_met"),
+        (F.abs(F.col("weight") - F.col("raw") / F.sum("raw").over(total)) < 1e-9).alias("weight_tempered"),
+        ((F.col("exponent") < 1) & (F.abs(fullest - 1) < 1e-3)).alias("limit_binds"),
+    )
+
+
 # --- problem 5 ---------------------------------------------------------------------------------------------------------
 
 
@@ -234,6 +285,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_quotas": p1_quotas,
+        "p1_proportions": p1_proportions,
         "p1_draw": p1_draw,
         "p2_found": p2_found,
         "p3_found": p3_found,
@@ -250,6 +302,9 @@ def queries() -> dict[str, Query]:
         "p9_mix": p9_mix,
         "p9_shares": p9_shares,
         "p9_mix_repeats": p9_mix_repeats,
+        "p9_shares_repeats": p9_shares_repeats,
+        "p9_shares_entropy": p9_shares_entropy,
+        "p9_checks": p9_checks,
         "p10_found": p10_found,
         "p10_groups": p10_groups,
     }
@@ -259,6 +314,15 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_REQUESTS + "select distinct run_id, difficulty from wanted where asked > pool",
         "p1_quotas": P1_REQUESTS + "select run_id, difficulty, pool, asked, least(asked, pool) as quota, greatest(asked - pool, 0) as shortfall from wanted",
+        "p1_proportions": P1_REQUESTS
+        + """, shares as (
+  select w.run_id, w.difficulty, w.pool, case when w.difficulty = 'hard' then a.hard_want else a.ratio * w.pool end as w, case when w.difficulty = 'hard' then 0 else a.least end as least0, s.test_n
+  from wanted w join asked a using (run_id, difficulty) join (select distinct run_id, test_n from split_stats) s using (run_id)),
+sized as (select *, coalesce(test_n::bigint, round(sum(greatest(w, least0)) over (partition by run_id))::bigint) as size from shares),"""
+        + _level_sql("sized", "least0", "greatest(size, least0)", "asked_n")
+        + ","
+        + _level_sql("sized", "least(least0, pool)", "pool", "quota_n")
+        + "select s.run_id, s.difficulty, s.pool, a.n as asked, q.n as quota, greatest(a.n - s.pool, 0) as shortfall from sized s join asked_n a using (run_id, difficulty) join quota_n q using (run_id, difficulty)",
         "p1_draw": P1_REQUESTS
         + """, keyed as (
   select w.run_id, c.corpus_id, c.difficulty, w.asked,
@@ -276,7 +340,13 @@ from links l join corpus c on c.corpus_id = l.id group by c.split, c.source""",
         "p5_groups": P5_MEMBERS + "select distinct first_id, n as copies from members",
         "p8_found": P8_FOUND + "select doc_id, item_id from found",
         "p8_items": P8_FOUND + "select item_id, count(*) as documents, min(doc_id) as first_doc from found group by item_id",
+        "p9_checks": "select distinct source, true as repeats_kept, true as once_a_pass, true as budget_met, true as weight_tempered, true as limit_binds from source_weights where source is not null",
         "p10_found": P10_FOUND,
+        "p10_groups": f"""
+with f as (select distinct doc_id, text, {form_sql("text")} as form from documents where text is not null),
+g as (select *, min(doc_id) over (partition by form) as first_id, count(*) over (partition by form) as n_docs from f),
+n as (select form, count(distinct text) as n_texts from f group by form having count(distinct text) > 1)
+select doc_id, first_id, n_texts, n_docs from g join n using (form)""",
         "p6_found": P6_TERMS + "select term, mark from marked where mark is not null",
         "p6_terms": P6_TERMS + "select term, occurrences, records, mark from marked",
     }

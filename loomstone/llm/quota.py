@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,69 +12,79 @@ from loomstone.operators.sampling import random_key, smallest_keys
 def allocate_quotas(pools: DataFrame, group: list[str], category: str, pool: str, want: str, floor: str | None = None, total: str | None = None, refill: bool = False) -> DataFrame:
     """Integer quotas for the categories of each group.
 
-    pools has a row for each group and category: `pool` rows are there, `want` is the target weight; `total` (a column, the
-    same within a group; by default the sum of the weights) is the size to draw, `floor` a least number for the category.
-    The size is split in proportion to the weights by largest remainder (ties: category order), raised to the floor and
-    capped at the pool. With refill, what capped categories can't give goes to the others by their weights, in the
-    same way, as far as pools allow; without, the size shrinks. Nulls in pool, want or floor count as 0; groups may be null.
+    pools has a row for each group and category: `pool` rows are there, `want` is the target weight, `floor` a least number
+    for the category, `total` (a column, the same within a group; by default the sum over the categories of the larger of
+    weight and floor, rounded) the size to draw. Every category is asked for its floor, or more in proportion to its weight, so that all
+    come to the total; fractions go by largest remainder (ties: category order). Floors that come to more than the total share it
+    in proportion. What is asked is capped at the pool; with refill, what capped categories can't give goes to the others in the
+    same way, as far as pools allow; without, the size shrinks. Nulls in pool, want or floor, and negative numbers, count as 0; groups may be null.
 
     Returns the group, category, pool, asked (quota before the cap), quota, shortfall (asked - what the pool has).
     """
-    zero = F.lit(0)
-    base = pools.select(*group, category, F.coalesce(F.col(pool), zero).cast("bigint").alias("pool"), F.greatest(F.coalesce(F.col(want), zero), zero).cast("double").alias("w"), F.coalesce(F.col(floor), zero).cast("bigint").alias("least") if floor else zero.cast("bigint").alias("least"), (F.col(total) if total else F.lit(None)).cast("bigint").alias("size"))
-    every, ranked = W.partitionBy(*group), W.partitionBy(*group).orderBy(F.desc("part"), category)
-    base = base.withColumn("w_sum", F.sum("w").over(every)).withColumn("size", F.coalesce("size", F.round("w_sum").cast("bigint")))
-    exact = F.when(F.col("w_sum") > 0, F.col("size") * F.col("w") / F.col("w_sum")).otherwise(0.0)
-    # a product like 16 * 0.1 / 0.1 may end just below a whole number
-    base = base.withColumn("exact", exact).withColumn("whole", F.floor(F.col("exact") + 1e-9)).withColumn("part", F.greatest(F.col("exact") - F.col("whole"), F.lit(0.0)))
-    base = base.withColumn("open", F.col("size") - F.sum("whole").over(every)).withColumn("turn", F.row_number().over(ranked))
-    asked = F.greatest(F.col("whole") + F.when((F.col("turn") <= F.col("open")) & (F.col("part") > 0), 1).otherwise(0), F.col("least"))
-    base = base.withColumn("asked", asked.cast("bigint")).withColumn("quota", F.least("asked", "pool"))
+    whole = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)).cast("bigint")
+    base = pools.select(*group, category, whole(pool).alias("pool"), F.greatest(F.coalesce(F.col(want), F.lit(0)), F.lit(0)).cast("double").alias("w"), (whole(floor) if floor else F.lit(0).cast("bigint")).alias("least"), (whole(total) if total else F.lit(None)).cast("bigint").alias("size"))
+    by_default = F.round(F.sum(F.greatest("w", F.col("least").cast("double"))).over(W.partitionBy(*group))).cast("bigint")
+    base = base.withColumn("size", F.coalesce("size", by_default))
+    base = _in_proportion(base, group, category, F.col("least"), F.greatest("size", "least"), "asked")
     if refill:
-        base = _refill(base, group, category)
-    return base.select(*group, category, "pool", "asked", "quota", F.greatest(F.col("asked") - F.col("pool"), zero).alias("shortfall"))
+        base = _in_proportion(base, group, category, F.least("least", "pool"), F.col("pool"), "quota")
+    else:
+        base = base.withColumn("quota", F.least("asked", "pool"))
+    return base.select(*group, category, "pool", "asked", "quota", F.greatest(F.col("asked") - F.col("pool"), F.lit(0)).alias("shortfall"))
 
 
-def _refill(base: DataFrame, group: list[str], category: str) -> DataFrame:
-    """Shares out what is missing by water level: every category grows at its weight until it meets its pool.
+def _in_proportion(base: DataFrame, group: list[str], category: str, low: Column, high: Column, out: str) -> DataFrame:
+    """Adds `out`: whole numbers between low and high that come to `size` (or as near as the bounds allow) in proportion to w.
 
-    The level at which the total is met lies between two neighbouring break points room / weight; running sums over the
-    sorted break points give it without a loop.
+    A level rises; every category stands at level * w, within its bounds. The sum over the categories is a line that bends
+    where one leaves its lower bound or meets its upper one, so running sums over the bends give the level at which it is the
+    size, without a loop.
     """
-    every, along = W.partitionBy(*group), W.partitionBy(*group).orderBy("stop", category)
-    base = base.withColumn("room", F.when(F.col("w") > 0, F.col("pool") - F.col("quota")).otherwise(0)).withColumn("stop", F.when(F.col("w") > 0, F.col("room") / F.col("w")).otherwise(0.0))
-    base = base.withColumn("missing", F.least(F.greatest(F.sum("asked").over(every) - F.sum("quota").over(every), F.lit(0)), F.sum("room").over(every)))
-    done = F.sum("room").over(along.rowsBetween(W.unboundedPreceding, W.currentRow))
-    behind = F.coalesce(F.sum("w").over(along.rowsBetween(1, W.unboundedFollowing)), F.lit(0.0))
-    base = base.withColumn("filled_at", done + behind * F.col("stop")).withColumn("before", F.coalesce(F.sum("room").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("slope", F.col("w") + behind)
-    met = (F.col("filled_at") >= F.col("missing") - 1e-9) & (F.col("slope") > 0)
-    level = F.min(F.when(met, F.struct("filled_at", "before", ((F.col("missing") - F.col("before")) / F.col("slope")).alias("level")))).over(every)["level"]
-    base = base.withColumn("grow", F.least(F.col("room").cast("double"), F.coalesce(level, F.lit(0.0)) * F.col("w")))
-    base = base.withColumn("more", F.floor(F.col("grow") + 1e-9)).withColumn("rest", F.col("grow") - F.col("more"))
-    turn = F.row_number().over(W.partitionBy(*group).orderBy(F.desc("rest"), category))
-    base = base.withColumn("still", F.col("missing") - F.sum("more").over(every)).withColumn("turn2", turn)
-    return base.withColumn("quota", (F.col("quota") + F.col("more") + F.when((F.col("turn2") <= F.col("still")) & (F.col("more") < F.col("room")), 1).otherwise(0)).cast("bigint"))
+    every = W.partitionBy(*group)
+    b = base.withColumn("lo", low.cast("double")).withColumn("hi", high.cast("double"))
+    b = b.withColumn("lows", F.sum("lo").over(every)).withColumn("tight", F.col("lows") > F.col("size"))
+    # lower bounds that don't fit become the upper ones, and the weights
+    b = b.withColumn("v", F.when(F.col("tight"), F.col("lo")).otherwise(F.col("w"))).withColumn("hi", F.when(F.col("tight"), F.col("lo")).otherwise(F.greatest("lo", "hi"))).withColumn("lo", F.when(F.col("tight"), 0.0).otherwise(F.col("lo")))
+    b = b.withColumn("lows", F.sum("lo").over(every)).withColumn("goal", F.least("size", F.sum(F.when(F.col("v") > 0, F.col("hi")).otherwise(F.col("lo"))).over(every)).cast("double"))
+    bend = lambda at, slope, first: F.struct(F.when(F.col("v") > 0, F.col(at) / F.col("v")).otherwise(0.0).alias("at"), slope.alias("slope"), F.lit(first).alias("first"))
+    b = b.withColumn("e", F.explode(F.array(bend("lo", F.col("v"), True), bend("hi", -F.col("v"), False))))
+    along = every.orderBy("e.at")
+    b = b.withColumn("slope", F.sum("e.slope").over(along)).withColumn("sum_there", F.col("lows") + F.col("e.at") * F.col("slope") - F.sum(F.col("e.slope") * F.col("e.at")).over(along))
+    below = F.when(F.col("sum_there") <= F.col("goal") + 1e-9, F.struct(F.col("e.at").alias("at"), "sum_there", "slope"))
+    b = b.withColumn("bend", F.max(below).over(every)).where("e.first")
+    level = F.col("bend.at") + F.when(F.col("bend.slope") > 1e-12, (F.col("goal") - F.col("bend.sum_there")) / F.col("bend.slope")).otherwise(0.0)
+    b = b.withColumn("real", F.least(F.greatest(F.coalesce(level, F.lit(0.0)) * F.col("v"), F.col("lo")), F.col("hi")))
+    # a product like 16 * 0.1 / 0.1 may end just below a whole number
+    b = b.withColumn("whole", F.floor(F.col("real") + 1e-6)).withColumn("part", F.round(F.greatest(F.col("real") - F.col("whole"), F.lit(0.0)), 6))
+    b = b.withColumn("open", F.col("goal") - F.sum("whole").over(every)).withColumn("turn", F.row_number().over(every.orderBy(F.desc("part"), category)))
+    more = F.when((F.col("turn") <= F.col("open")) & (F.col("part") > 0), 1).otherwise(0)
+    return b.withColumn(out, (F.col("whole") + more).cast("bigint")).select(*base.columns, out)
 
 
 def split_requests(runs: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(run_id, batch_id, difficulty, pool, want): what each run of split_stats asks of each difficulty, and the rows of its batch.
+    """(run_id, batch_id, difficulty, pool, want, share, least, size): what each run of split_stats asks of each difficulty, and the rows of its batch.
 
-    hard wants hard_test_target; easy and medium the larger of min_per_difficulty and the ratio times the pool, rounded
-    down. Null targets, ratios and minima count as 0. A difficulty without rows has a pool of 0; a null batch has none.
+    hard wants hard_test_target and has no least number; easy and medium want the ratio times the pool, rounded down (share: not
+    rounded), and at least min_per_difficulty. size is the run's test_n. Null targets, ratios and minima count as 0. A difficulty without rows has a pool of 0; a null batch has none.
     """
     pools = corpus.select(F.col("batch_id").alias("b"), F.col("difficulty").alias("d")).where("b is not null and d in ('easy', 'medium', 'hard')").groupBy("b", "d").agg(F.count("*").alias("n"))
-    asked = runs.select("run_id", "batch_id", F.coalesce("hard_test_target", F.lit(0)).alias("hard_want"), F.coalesce("easy_medium_test_ratio", F.lit(0.0)).alias("ratio"), F.coalesce("min_per_difficulty", F.lit(0)).alias("least")).where("run_id is not null").distinct()
+    asked = runs.select("run_id", "batch_id", F.coalesce("hard_test_target", F.lit(0)).alias("hard_want"), F.coalesce("easy_medium_test_ratio", F.lit(0.0)).alias("ratio"), F.coalesce("min_per_difficulty", F.lit(0)).alias("least"), *([F.col("test_n").alias("size")] if "test_n" in runs.columns else [F.lit(None).cast("int").alias("size")])).where("run_id is not null").distinct()
     asked = asked.withColumn("difficulty", F.explode(F.array(*map(F.lit, ("easy", "medium", "hard")))))
     both = asked.join(pools, (F.col("batch_id") == F.col("b")) & (F.col("difficulty") == F.col("d")), "left")
-    pool = F.coalesce(F.col("n"), F.lit(0))
-    want = F.when(F.col("difficulty") == "hard", F.col("hard_want").cast("bigint")).otherwise(F.greatest(F.col("least").cast("bigint"), F.floor(F.col("ratio") * pool).cast("bigint")))
-    return both.select("run_id", "batch_id", "difficulty", pool.alias("pool"), want.alias("want"))
+    pool, hard = F.coalesce(F.col("n"), F.lit(0)), F.col("difficulty") == "hard"
+    share = F.when(hard, F.col("hard_want").cast("double")).otherwise(F.col("ratio") * pool)
+    return both.select("run_id", "batch_id", "difficulty", pool.alias("pool"), F.floor(share).cast("bigint").alias("want"), share.alias("share"), F.when(hard, 0).otherwise(F.col("least")).alias("least"), "size")
 
 
 def split_quotas(runs: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Quotas and shortfalls of every run and difficulty; the weights are the rows asked for, so largest remainder gives them back whole."""
-    requests = split_requests(runs, corpus)
-    return allocate_quotas(requests, ["run_id", "batch_id"], "difficulty", "pool", "want")
+    """Quotas and shortfalls of every run and difficulty: what is wanted, or the least number where that is more."""
+    return allocate_quotas(split_requests(runs, corpus), ["run_id", "batch_id"], "difficulty", "pool", "want", "least")
+
+
+def proportional_quotas(runs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Quotas of every run for the number of test rows an earlier run took (test_n; where that is null, what is wanted in all): shared out
+    in proportion to what each difficulty wants, with its least number, and refilled from the others where a pool is too small."""
+    return allocate_quotas(split_requests(runs, corpus), ["run_id", "batch_id"], "difficulty", "pool", "share", "least", "size", refill=True)
 
 
 def draw_test_rows(runs: DataFrame, corpus: DataFrame, seed: int = 42) -> DataFrame:

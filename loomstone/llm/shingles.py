@@ -23,6 +23,7 @@ from loomstone.scratch import materialise
 
 WORDS_KEPT = 20_000
 SHINGLES_KEPT = 50_000
+HOT_SHINGLE = 100_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -219,15 +220,31 @@ def prefixes(texts: list[str], shape: Shape, order: Order) -> Prefixes:
     return Prefixes(owner, sizes[owner], place[kept], gram[kept], at[kept], e)
 
 
-def prefix_table(texts: DataFrame, text_id: str, words: str, shape: Shape, order: Order) -> DataFrame:
-    """(tid, size, rank, gram): the prefix of each word text; texts of fewer than k words have none."""
+def prefix_table(texts: DataFrame, text_id: str, words: str, shape: Shape, order: Order, probing: bool) -> DataFrame:
+    """(tid, size, rank, gram, salt): the prefix of each word text; texts of fewer than k words have none.
+
+    A shingle that more than 100,000 texts hold is cut into so many pieces that each has no more: an entry of the probing side goes to one
+    of them, one of the other side to all.
+    """
+    counts = np.exp2(order.gram_logs)
+    hot = counts > HOT_SHINGLE
+    hot_grams, pieces = order.grams[hot], np.ceil(counts[hot] / HOT_SHINGLE)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             p = prefixes(pdf["words"].tolist(), shape, order)
-            yield pd.DataFrame({"tid": pdf["tid"].to_numpy()[p.owner], "size": p.size.astype(np.int32), "rank": p.rank.astype(np.int32), "gram": p.gram.astype(np.int64)})
-
-    return texts.select(F.col(text_id).alias("tid"), F.col(words).alias("words")).mapInPandas(emit, "tid bigint, size int, rank int, gram bigint")
+            tid = pdf["tid"].to_numpy()[p.owner]
+            out = pd.DataFrame({"tid": tid, "size": p.size.astype(np.int32), "rank": p.rank.astype(np.int32), "gram": p.gram.astype(np.int64), "salt": np.int32(0)})
+            spread = _lookup(hot_grams, pieces, p.gram, 1.0).astype(np.int64)
+            if probing:
+                out["salt"] = (tid % spread).astype(np.int32)
+            elif (spread > 1).any():
+                which = np.repeat(np.arange(len(out)), spread)
+                out = out.iloc[which].reset_index(drop=True)
+                out["salt"] = (np.arange(len(which)) - np.repeat(np.cumsum(spread) - spread, spread)).astype(np.int32)
+            yield out
+
+    return texts.select(F.col(text_id).alias("tid"), F.col(words).alias("words")).mapInPandas(emit, "tid bigint, size int, rank int, gram bigint, salt int")
 
 
 def could_match(shape: Shape, size_a: Column, rank_a: Column, size_b: Column, rank_b: Column) -> Column:

@@ -16,12 +16,14 @@ def symbol_terms(text: Column) -> Column:
 def term_frequencies(df: DataFrame, terms: Column) -> DataFrame:
     """(term, occurrences, records): how often each term occurs, and in how many rows.
 
-    terms is an array column with repeats; null arrays and null terms count nothing. Every row emits its terms sorted,
-    the first of each run marked, so one hash aggregation, combined before the shuffle, gives both sums.
+    terms is an array column with repeats; null arrays and null terms count nothing. Every row emits each of its terms once, with its
+    count in the row; sums of both are combined by hash before the shuffle.
     """
-    sorted_terms = df.select(F.array_sort(F.filter(terms, lambda t: t.isNotNull())).alias("t"))
-    marked = sorted_terms.select(F.explode(F.transform("t", lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get("t", i - 1) == t), 0).otherwise(1).alias("first")))).alias("x"))
-    return marked.groupBy(F.col("x.term").alias("term")).agg(F.count("*").alias("occurrences"), F.sum("x.first").alias("records"))
+    # terms in order; where a run of equal ones ends, its count is what was there before it less than what is there with it
+    runs = df.select(F.array_sort(F.filter(terms, lambda t: t.isNotNull())).alias("t"))
+    ends = runs.select("t", F.filter(F.transform("t", lambda t, i: F.when(F.get("t", i + 1).eqNullSafe(t), 0).otherwise(i + 1)), lambda e: e > 0).alias("ends"))
+    counts = ends.select(F.explode(F.transform("ends", lambda e, i: F.struct(F.get("t", e - 1).alias("term"), (e - F.when(i > 0, F.get("ends", i - 1)).otherwise(0)).alias("n")))).alias("x"))
+    return counts.groupBy(F.col("x.term").alias("term")).agg(F.sum("x.n").alias("occurrences"), F.count("*").alias("records"))
 
 
 def mark_terms(frequencies: DataFrame, rows: DataFrame, rare_records: int = 2, common_share: float = 0.2) -> DataFrame:

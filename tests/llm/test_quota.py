@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from loomstone.llm.quota import allocate_quotas
 
 
@@ -43,4 +45,37 @@ def test_against_plain(spark):
 def test_floor(spark):
     df = spark.createDataFrame([("a", 100, 98, 5), ("b", 100, 1, 5), ("c", 2, 1, 5)], "cat string, pool int, want int, least int")
     got = {r.cat: (r.asked, r.quota, r.shortfall) for r in allocate_quotas(df, [], "cat", "pool", "want", "least").collect()}
-    assert got == {"a": (98, 98, 0), "b": (5, 5, 0), "c": (5, 2, 3)}
+    assert got == {"a": (98, 98, 0), "b": (5, 5, 0), "c": (5, 2, 3)}  # no total: floors come on top
+    sized = df.withColumn("size", F.lit(100))
+    got = {r.cat: (r.asked, r.quota) for r in allocate_quotas(sized, [], "cat", "pool", "want", "least", "size", refill=True).collect()}
+    assert got == {"a": (90, 93), "b": (5, 5), "c": (5, 2)}
+    small = spark.createDataFrame([("a", 50, 0.98, 3), ("b", 50, 0.01, 3), ("c", 50, 0.01, 3)], "cat string, pool int, want double, least int")
+    for size, want in ((10, (4, 3, 3)), (9, (3, 3, 3)), (7, (3, 2, 2)), (1000, (50, 50, 50)), (0, (0, 0, 0))):
+        got = allocate_quotas(small.withColumn("size", F.lit(size)), [], "cat", "pool", "want", "least", "size", refill=True).collect()
+        assert tuple(r.quota for r in sorted(got, key=lambda r: r.cat)) == want
+
+
+def test_floors_caps_and_refill_against_bisection(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for g in range(60):
+        n = rng.randint(1, 6)
+        pools, weights, floors = [rng.randint(0, 30) for _ in range(n)], [rng.choice([0, 1, 2.5, 7, 40]) for _ in range(n)], [rng.choice([0, 0, 3, 9]) for _ in range(n)]
+        size = rng.randint(0, 90)
+        rows += [(g, f"c{i}", pools[i], weights[i] * 1.0, floors[i], size) for i in range(n)]
+        lows = [min(f, p) for f, p in zip(floors, pools, strict=True)]
+        highs, v = pools, weights
+        if sum(lows) > size:
+            lows, highs, v = [0] * n, lows, lows
+        goal = min(size, sum(h if w > 0 else lo for lo, h, w in zip(lows, highs, v, strict=True)))
+        a, b = 0.0, 1e9
+        stand = lambda x: [min(max(x * w, lo), h) if w > 0 else lo for w, lo, h in zip(v, lows, highs, strict=True)]  # noqa: B023, E731
+        for _ in range(200):
+            a, b = ((a + b) / 2, b) if sum(stand((a + b) / 2)) < goal else (a, (a + b) / 2)
+        want[g] = (goal, stand(b))
+    df = spark.createDataFrame(rows, "g int, cat string, pool int, want double, least int, size int")
+    for r in allocate_quotas(df, ["g"], "cat", "pool", "want", "least", "size", refill=True).collect():
+        goal, exact = want[r.g]
+        assert abs(r.quota - exact[int(r.cat[1:])]) < 1 and r.quota <= r.pool
+        want[r.g] = (goal - r.quota, exact)
+    assert all(left == 0 for left, _ in want.values())

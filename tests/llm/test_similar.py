@@ -50,6 +50,26 @@ def test_cross_split(spark, shape, num, den):
     assert got == want and want
 
 
+def test_cross_split_with_hot_shingles(spark, monkeypatch):
+    """Shingles and texts held by many are cut and spread; the report counts what the pairs are."""
+    from loomstone.llm import shingles
+
+    monkeypatch.setattr(shingles, "HOT_SHINGLE", 7)
+    monkeypatch.setattr(overlap, "HOT_TEXT", 5)
+    shape = Shape(3, "0.6")
+    rng = random.Random(4)
+    qs = [f"it is market day again and {rng.choice(NOUNS[:3])} are {rng.choice(NOUNS)}" for _ in range(90)]
+    rows = [(i, q, "test" if i % 4 == 0 else "train", f"s{i % 2}") for i, q in enumerate(qs)]
+    df = spark.createDataFrame(rows, "i bigint, q string, s string, o string")
+    want = {(min(a, b), max(a, b)) for a, q, s, _ in rows for b, r, t, _ in rows if s == "test" and t == "train" and near(q, r, 3, 6, 10)}
+    assert {tuple(r) for r in overlap.cross_split_pairs(df, "i", "q", "s", shape=shape).collect()} == want
+    report = {(r.split, r.source): (r.records, r.pairs) for r in overlap.overlap_report(df, "i", "q", "s", "o", spark.createDataFrame([(10,)], "test_n int"), shape=shape).collect()}
+    ends = [e for p in want for e in p]
+    for i, source in ((i, o) for i in ("test", "train") for o in ("s0", "s1")):
+        mine = [e for e in ends if rows[e][2] == i and rows[e][3] == source]
+        assert report.get((i, source), (0, 0)) == (len(set(mine)), len(mine))
+
+
 def seen(spark, old, new, shape):
     """new: (id, batch, text)."""
     df = spark.createDataFrame(new, "i bigint, b int, q string")

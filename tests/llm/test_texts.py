@@ -151,6 +151,24 @@ def test_leaks_in_blocks(spark, monkeypatch):
     assert got == {(100 + i, i) for i in range(9)}
 
 
+def test_documents_are_scanned_once_whatever_the_items(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(leaks, "PATTERNS_AT_ONCE", 3)
+    spark.createDataFrame([(i, " ".join(f"i{i}w{j}" for j in range(20))) for i in range(9)], "i bigint, t string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    found = leaks.leaked_items(docs, "i", "t", docs, "i", "t")
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Scan parquet") == 1
+    assert {tuple(r) for r in found.collect()} == {(i, i) for i in range(9)}
+
+
+def test_hot_layout_class(spark, monkeypatch):
+    """A class larger than a task should hold is cut; every copy is still found."""
+    monkeypatch.setattr(layout, "HOT_CLASS", 4)
+    df = spark.createDataFrame([(i, "A  b" if i % 3 else "a, B!", "(X 1)") for i in range(30)] + [(50 + i, "a b", f"(Y {i // 2})") for i in range(6)], "i bigint, a string, b string")
+    want = {(0, i) for i in range(1, 30)} | {(50, 51), (52, 53), (54, 55)}
+    assert {tuple(r) for r in layout.layout_copies(df, "i", "a", "b").collect()} == want
+    assert {tuple(r) for r in layout.layout_groups(df, "i", "a", "b").collect()} == {(0, 30), (50, 2), (52, 2), (54, 2)}
+
+
 def test_terms(spark):
     df = spark.createDataFrame([("(ADD a_1 add 1x _y) ; add",), ("(ADD é B)",), (None,), ("",)], "c string")
     got = {r.term: (r.occurrences, r.records) for r in terms.term_frequencies(df, terms.symbol_terms(F.col("c"))).collect()}
