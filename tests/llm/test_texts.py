@@ -204,6 +204,34 @@ def test_defects(spark):
     assert got == {i: d for i, (*_, d) in enumerate(CASES) if d}
 
 
+SCHOOL = "How many apples are left for the children of the school?"
+# Phrases and languages in no list of the operator, or content that only sounds like a defect.
+HELD_OUT = [
+    (SCHOOL, "He said: I am sorry.", None),
+    (SCHOOL, "I cannot be divided by two, said seven.", None),
+    (SCHOOL, "The answer is 12. I cannot stress this request enough, it took a while.", None),
+    (SCHOOL, "The Eiffel Tower", None),
+    (SCHOOL, "Gustave Eiffel built it", None),
+    (SCHOOL, "red apples of the north", None),
+    (SCHOOL, "Ann has 12 apples left for the", "truncated"),
+    (SCHOOL, "There are twelve apples left because Bob ate", "truncated"),
+    (SCHOOL, "Dopo la gita rimangono ancora trenta mele per i bambini della scuola.", "language"),
+    (SCHOOL, "Depois da viagem ainda há trinta maçãs para as crianças da escola.", "language"),
+    (SCHOOL, "学校的孩子们还剩下三十个苹果。", "language"),
+    (SCHOOL, "Az iskola gyerekeinek végül harminc alma maradt meg délutánra összesen.", "language"),
+    (SCHOOL, "Koulun lapsille jäi lopulta kolmekymmentä omenaa iltapäivän välipalaa varten tänään.", "language"),
+    (SCHOOL, "Desculpe, não posso responder a esta pergunta.", "refusal"),
+    (SCHOOL, "Mi dispiace, ma non sono in grado di rispondere.", "refusal"),
+    (SCHOOL, "Sorry, we are unable to help with homework.", "refusal"),
+    (SCHOOL, "Thirty apples, Dahuli counted them twice on Tuesday.", None),
+]
+
+
+@pytest.mark.parametrize(("question", "answer", "want"), HELD_OUT)
+def test_defects_held_out(question, answer, want):
+    assert defects.defect_of(question, "(ADD 1 2)", answer) == want
+
+
 def test_suffix_automaton_runs():
     rng = random.Random(8)
     for _ in range(200):
