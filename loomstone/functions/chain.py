@@ -10,7 +10,6 @@ what is expected, and each is read as far as it goes.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -219,93 +218,93 @@ def verdict(text: str | None, signatures: dict[str, Signature], ontology: dict[s
 # --- repair --------------------------------------------------------------------------------------------------------------
 PIECES = re.compile(r"[()\[\]{}]|[^\s()\[\]{}]+")
 BARE_HEAD = re.compile(r"[A-Z][A-Z0-9_]+")
-OPENERS, CLOSERS = {"(": ")", "[": "]", "{": "}"}, frozenset(")]}")
+PARTNER = {"(": ")", "[": "]", "{": "}"}
+CLOSERS = frozenset(PARTNER.values())
 
 
-class _Repair:
-    """Rewrites ranges [lo, hi) of one list of pieces, appending to out. group, sequence and members are generators that yield
-    the work to be done inside them, and run keeps them on a stack, so depth isn't limited by recursion."""
-
-    def __init__(self, pieces: list[str]) -> None:
-        self.p, self.out = pieces, []
-        self.closed: dict[int, int] = {}
-        waiting: dict[str, list[int]] = {closer: [] for closer in CLOSERS}
+@dataclass
+class Pieces:
+    """The pieces of a text, where each opening bracket closes (counting its own kind only), and which pieces are bare heads."""
+
+    all: list[str]
+    closed: dict[int, int]
+    heads: list[bool]
+
+    @classmethod
+    def of(cls, text: str) -> Pieces:
+        pieces = PIECES.findall(text)
+        closed: dict[int, int] = {}
+        waiting: dict[str, list[int]] = {c: [] for c in CLOSERS}
         for i, piece in enumerate(pieces):
-            if piece in OPENERS:
-                waiting[OPENERS[piece]].append(i)
+            if piece in PARTNER:
+                waiting[PARTNER[piece]].append(i)
             elif piece in CLOSERS and waiting[piece]:
-                self.closed[waiting[piece].pop()] = i
-
-    def run(self, work: Iterator) -> None:
-        stack = [work]
-        while stack:
-            inner = next(stack[-1], None)
-            if inner is None:
-                stack.pop()
-            else:
-                stack.append(inner)
-
-    def bare(self, i: int) -> bool:
-        return BARE_HEAD.fullmatch(self.p[i]) is not None
-
-    def close(self, lo: int, hi: int) -> int:
-        """Where the bracket at lo closes, counting its own kind only; an open one ends at the last piece of the range."""
-        return min(self.closed.get(lo, hi - 1), hi - 1)
-
-    def groups(self, lo: int, hi: int) -> Iterable[tuple[int, int]]:
-        """Top-level groups: a bracketed range, a bare head with what follows up to the next head or closer, or one piece."""
-        while lo < hi:
-            end = lo + 1
-            if self.p[lo] in OPENERS:
-                end = self.close(lo, hi) + 1
-            elif self.bare(lo):
-                while end < hi and self.p[end] not in CLOSERS and not self.bare(end):
-                    end = self.close(end, hi) + 1 if self.p[end] in OPENERS else end + 1
-            yield lo, end
-            lo = end
-
-    def group(self, lo: int, hi: int) -> Iterator:
-        first = self.p[lo]
-        if first == "(":
-            self.out.append("(")
-            yield self.members(lo + 1, self.close(lo, hi), False)
-            self.out.append(")")
-        elif first == "[":
-            self.out.append("[")
-            yield self.sequence(lo + 1, self.close(lo, hi))
-            self.out.append("]")
-        elif self.bare(lo):
-            self.out += ["(", first]
-            yield self.members(lo + 1, hi, True)
-            self.out.append(")")
-        else:
-            self.out += self.p[lo:hi]
-
-    def sequence(self, lo: int, hi: int) -> Iterator:
-        for a, b in self.groups(lo, hi):
-            yield self.group(a, b)
-
-    def members(self, lo: int, hi: int, wrap_heads: bool) -> Iterator:
-        """Arguments: bracketed ones are repaired, others kept; after a bare head, bare heads inside are wrapped too."""
-        while lo < hi:
-            end = lo + 1
-            if self.p[lo] in ("(", "["):
-                end = self.close(lo, hi) + 1
-                yield self.group(lo, end)
-            elif wrap_heads and self.bare(lo):
-                while end < hi and not self.bare(end) and self.p[end] not in (")", "]"):
-                    end += 1
-                yield self.group(lo, end)
-            else:
-                self.out.append(self.p[lo])
-            lo = end
+                closed[waiting[piece].pop()] = i
+        return cls(pieces, closed, [BARE_HEAD.fullmatch(piece) is not None for piece in pieces])
+
+    def after(self, lo: int, hi: int) -> int:
+        """Behind the bracket that closes the one at lo; one that never closes ends with the range."""
+        return min(self.closed.get(lo, hi - 1) + 1, hi)
+
+    def group_end(self, lo: int, hi: int) -> int:
+        """Where the top-level group at lo ends: a bracketed range, a bare head with what follows up to the next head or closer, or one piece."""
+        if self.all[lo] in PARTNER:
+            return self.after(lo, hi)
+        end = lo + 1
+        if self.heads[lo]:
+            while end < hi and self.all[end] not in CLOSERS and not self.heads[end]:
+                end = self.after(end, hi) if self.all[end] in PARTNER else end + 1
+        return end
+
+    def spans(self) -> list[tuple[int, int]]:
+        out, at = [], 0
+        while at < len(self.all):
+            end = self.group_end(at, len(self.all))
+            out.append((at, end))
+            at = end
+        return out
+
+    def argument_end(self, lo: int, hi: int) -> int:
+        """Where a bare head among the arguments of a bare head ends: at the next head, or where a bracket closes."""
+        end = lo + 1
+        while end < hi and not self.heads[end] and self.all[end] not in (")", "]"):
+            end += 1
+        return end
+
+    def repaired(self) -> list[str]:
+        """All pieces in one pass. What is still to be written lies on a stack: ranges, and the brackets that come after them. A range is of
+        top-level expressions (wrap "each"), of arguments in brackets, which stand as they are ("none"), or of arguments of a bare head ("heads")."""
+        out: list[str] = []
+        todo: list[tuple[int, int, str]] = [(0, len(self.all), "each")]
+        while todo:
+            lo, hi, wrap = todo.pop()
+            if hi < 0:
+                out.append(wrap)
+                continue
+            while lo < hi:
+                piece = self.all[lo]
+                if piece in ("(", "["):
+                    end, opener, closer, first, last, inside = self.after(lo, hi), piece, PARTNER[piece], lo + 1, -1, "none" if piece == "(" else "each"
+                elif self.heads[lo] and wrap != "none":
+                    end, opener, closer, first, last, inside = self.group_end(lo, hi) if wrap == "each" else self.argument_end(lo, hi), "(", ")", lo, 0, "heads"
+                else:
+                    end = self.group_end(lo, hi) if wrap == "each" else lo + 1
+                    out += self.all[lo:end]
+                    lo = end
+                    continue
+                out.append(opener)
+                if first == lo:
+                    out.append(piece)
+                todo += [(end, hi, wrap), (0, -1, closer), (lo + 1, end + last, inside)]
+                break
+        return out
 
 
 def _spaced(pieces: list[str]) -> str:
     """Pieces with one space between them, none inside brackets."""
     parts: list[str] = []
     for i, piece in enumerate(pieces):
-        if i and pieces[i - 1] not in OPENERS and piece not in CLOSERS:
+        if i and pieces[i - 1] not in PARTNER and piece not in CLOSERS:
             parts.append(" ")
         parts.append(piece)
     return "".join(parts)
@@ -316,14 +315,11 @@ def repair(text: str) -> str:
 
     Brackets that never close end at the last piece, which is lost inside them; braces are left as they are.
     """
-    pieces = PIECES.findall(text)
-    if not pieces:
+    pieces = Pieces.of(text)
+    if not pieces.all:
         return text.strip(UNICODE_SPACE)
-    work = _Repair(pieces)
-    spans = list(work.groups(0, len(pieces)))
-    work.run(work.sequence(0, len(pieces)))
-    fixed = _spaced(work.out)
-    return fixed if len(spans) == 1 else f"[{fixed}]"
+    fixed = _spaced(pieces.repaired())
+    return fixed if len(pieces.spans()) == 1 else f"[{fixed}]"
 
 
 def _each(values: pd.Series, work) -> list:
@@ -385,8 +381,8 @@ def top_level_exprs(chain: pd.Series) -> pd.Series:
     """The top-level groups of a text, each in canonical spacing."""
     out = []
     for c in chain:
-        work = _Repair(PIECES.findall(c or ""))
-        out.append([_spaced(work.p[a:b]) for a, b in work.groups(0, len(work.p))])
+        pieces = Pieces.of(c or "")
+        out.append([_spaced(pieces.all[a:b]) for a, b in pieces.spans()])
     return pd.Series(out, dtype=object)
 
 

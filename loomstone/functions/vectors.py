@@ -40,14 +40,33 @@ MOST_CENTRES = 10_000
 def nearest(df: DataFrame, vector: str, centres: DataFrame, label: str, centre: str) -> DataFrame:
     """df with nearest (the label, a number, of the centre with the highest cosine; ties: the smallest) and similarity.
 
-    The centres go to every executor; more than 10,000 are refused.
+    The centres go to every executor; more than 10,000 are refused. Vectors are compared in blocks, by one matrix product each.
+    Null vectors, and those of another length than the centres, have a null centre.
     """
-    if centres.limit(MOST_CENTRES + 1).count() > MOST_CENTRES:
+    rows = centres.select(F.col(label).cast("bigint").alias("l"), F.col(centre).cast("array<double>").alias("c")).where("l is not null and c is not null").limit(MOST_CENTRES + 1).toPandas()
+    if len(rows) > MOST_CENTRES:
         raise ValueError(f"more than {MOST_CENTRES} centres")
-    every = centres.agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col(centre).alias("c"))).alias("__cs"))
-    scored = F.transform("__cs", lambda c: F.struct(cosine(F.col(vector), c["c"]).alias("s"), (-c["l"]).alias("l")))
-    best = df.crossJoin(F.broadcast(every)).withColumn("__b", F.array_max(scored))
-    return best.withColumn("nearest", -F.col("__b.l")).withColumn("similarity", F.col("__b.s")).drop("__cs", "__b")
+    rows = rows.sort_values("l", kind="stable")
+    labels, every = rows["l"].to_numpy(np.int64), rows["c"].tolist()
+    dims = len(every[0]) if every else 0
+    m = np.array(every, np.float64).reshape(len(every), dims)
+    lengths = np.linalg.norm(m, axis=1)
+
+    @F.pandas_udf("nearest bigint, similarity double")
+    def best(v: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"nearest": pd.array([None] * len(v), dtype="Int64"), "similarity": np.full(len(v), np.nan)})
+        there = np.flatnonzero([x is not None and len(x) == dims and dims > 0 for x in v])
+        for at in range(0, len(there), BLOCK):
+            some = there[at : at + BLOCK]
+            mine = _matrix(v.iloc[some])
+            s = mine @ m.T / (np.outer(np.linalg.norm(mine, axis=1), lengths) + 1e-8)
+            first = np.argmax(np.round(s, 12), axis=1)
+            out.loc[some, "nearest"] = labels[first]
+            out.loc[some, "similarity"] = s[np.arange(len(some)), first]
+        return out
+
+    scored = df.withColumn("__b", best.asNondeterministic()(F.col(vector)))
+    return scored.withColumn("nearest", F.col("__b.nearest")).withColumn("similarity", F.nullif(F.col("__b.similarity"), F.lit(float("nan")))).drop("__b")
 
 
 def top_k_per_group(df: DataFrame, group: list[str], score: str, tie: str, k: int) -> DataFrame:
@@ -72,8 +91,8 @@ def similar_pairs(df: DataFrame, vec_id: str, vector: str, threshold: float, see
     Exact, by cells around pivots: a vector lives with its nearest pivot and visits the later cells in which a vector within the
     threshold's angle can live (by the triangle inequality on angles: no farther from the pivot than the cell's radius
     plus the angle, nor than its own pivot's distance plus twice the angle). Cells are compared in blocks of 2,048
-    vectors, so no task holds more than two blocks. Pivots (one for each 2,000 vectors, 1,024 at most) are drawn from
-    a sample of 4,096; any choice is exact. Null ids and vectors are left out, and vectors of zeros have no pairs.
+    vectors, so no task holds more than two blocks. Pivots (one for each 2,000 vectors, up to 1,024 or the square
+    root of their number, so neither cells nor pivots grow as the vectors do) are drawn from a sample of four times as many; any choice is exact. Null ids and vectors are left out, and vectors of zeros have no pairs.
     The threshold must not be negative. The lower it is, the more cells a vector visits, up to all of them.
     """
     if threshold < 0:
@@ -114,11 +133,12 @@ def _unit(v: pd.Series) -> np.ndarray:
 
 def _pivots(plain: DataFrame, seed: int) -> np.ndarray | None:
     n = plain.count()
-    rows = plain.orderBy(F.xxhash64("id", F.lit(seed))).limit(PIVOT_SAMPLE).select("v").toPandas()
+    most = max(1, min(max(MOST_PIVOTS, int(n**0.5)), -(-n // 2_000)))
+    rows = plain.orderBy(F.xxhash64("id", F.lit(seed))).limit(max(PIVOT_SAMPLE, 4 * most)).select("v").toPandas()
     rows = rows[[bool(np.any(v)) for v in rows["v"]]] if len(rows) else rows
     if not len(rows):
         return None
-    return _unit(rows["v"])[: max(1, min(MOST_PIVOTS, -(-n // 2_000)))]
+    return _unit(rows["v"])[:most]
 
 
 def _angles(v: pd.Series, pivots: np.ndarray) -> np.ndarray:

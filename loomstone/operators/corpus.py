@@ -11,10 +11,32 @@ from loomstone.functions.vectors import top_k_per_group
 
 # Symbols that every prompt holds, by prefix.
 ALWAYS_PREFIXES = (
-    "ARITH_|CAUSAL_|LOGICAL_|TEMPORAL_|IS_INSTANCE_OF|IS_PART_OF|IS_EQUIVALENT_TO|IS_GREATER_THAN|IS_LESS_THAN|THEREFORE|BECAUSE|FORALL|EXISTS|KNOWN_TRUE|BELIEVED_TRUE|UNCERTAIN"
+    "ARITH_",
+    "CAUSAL_",
+    "LOGICAL_",
+    "TEMPORAL_",
+    "IS_INSTANCE_OF",
+    "IS_PART_OF",
+    "IS_EQUIVALENT_TO",
+    "IS_GREATER_THAN",
+    "IS_LESS_THAN",
+    "THEREFORE",
+    "BECAUSE",
+    "FORALL",
+    "EXISTS",
+    "KNOWN_TRUE",
+    "BELIEVED_TRUE",
+    "UNCERTAIN",
 )
 
 
+MOST_SYMBOLS = 1_000_000
+
+
+def _always(symbol: Column) -> Column:
+    return symbol.rlike("^(" + "|".join(ALWAYS_PREFIXES) + ")")
+
+
 def discard_reason(chain_words: Column, cot_words: Column, no_steps: Column | None = None, step_error: Column | None = None, chain_error: Column | None = None) -> Column:
     """Why a translated row is discarded, null where it is kept; the first that holds of NO_STEPS, STEP_PARSE_FAIL,
     CHAIN_PARSE_FAIL, COMPRESSION_HIGH (ratio above 1.5) and COMPRESSION_SHORT (under 25 words and ratio above 1)."""
@@ -39,21 +61,39 @@ def step_candidates(steps: DataFrame, step_id: str, step: str, primitives: DataF
     whose symbol every prompt holds are left out (see always_included).
     """
     words = steps.select(F.col(step_id), F.explode(text.word_set(F.col(step))).alias("w"))
-    named = primitives.where(~F.col("symbol").rlike(f"^({ALWAYS_PREFIXES})"))
+    named = primitives.where(~_always(F.col("symbol")))
     terms = named.select("symbol", F.explode(F.array_union(text.word_set(F.coalesce("gloss", F.lit(""))), text.word_set(F.col("symbol")))).alias("w")).distinct()
+    # registries are small beside the steps; one of up to a million symbols goes to every executor, so frequent words aren't gathered
+    if primitives.limit(MOST_SYMBOLS + 1).count() <= MOST_SYMBOLS:
+        terms = F.broadcast(terms)
     scored = words.join(terms, "w").groupBy(step_id, "symbol").agg(F.count("*").alias("overlap"))
     return top_k_per_group(scored, [step_id], "overlap", "symbol", k)
 
 
 def always_included(primitives: DataFrame) -> DataFrame:
-    return primitives.where(F.col("symbol").rlike(f"^({ALWAYS_PREFIXES})"))
+    return primitives.where(_always(F.col("symbol")))
+
+
+def prompt_symbols(steps: DataFrame, step_id: str, step: str, primitives: DataFrame, most: int = 15) -> DataFrame:
+    """(step_id, symbols): what a prompt names for each step: the symbols that every prompt holds, then its own candidates, `most` at most."""
+    always = always_included(primitives.where("symbol is not null")).agg(F.array_sort(F.collect_set("symbol")).alias("always"))
+    own = step_candidates(steps, step_id, step, primitives.where("symbol is not null")).groupBy(step_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "symbol"))), lambda x: x["symbol"]).alias("own"))
+    both = steps.select(step_id).distinct().join(own, step_id, "left").crossJoin(F.broadcast(always))
+    return both.select(step_id, F.slice(F.array_distinct(F.concat("always", F.coalesce("own", F.array().cast("array<string>")))), 1, most).alias("symbols"))
+
+
+def run_statistics(kept: DataFrame, discarded: DataFrame, discard_id: str) -> DataFrame:
+    """(total, success, discarded, discard_rate) of a build; a row logged twice counts once, and an empty build has a rate of 1."""
+    lost = discarded.agg(F.countDistinct(discard_id).alias("discarded"))
+    sums = kept.agg(F.count("*").alias("success")).crossJoin(F.broadcast(lost)).withColumn("total", F.col("success") + F.col("discarded"))
+    return sums.select("total", "success", "discarded", F.when(F.col("total") > 0, F.round(F.col("discarded") / F.col("total"), 6)).otherwise(1.0).alias("discard_rate"))
 
 
 def not_yet_done(new: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows of `new` whose trimmed key isn't in `done`, one for each key (the one that sorts first by all columns kept)."""
     trimmed = text.strip(F.col(key))
     left = new.withColumn("_k", trimmed).where("_k is not null").join(done.select(trimmed.alias("_k")).where("_k is not null").distinct(), "_k", "left_anti")
-    return left.dropDuplicates(["_k"]).drop("_k")
+    return left.groupBy("_k").agg(F.min(F.struct(*new.columns)).alias("_r")).select("_r.*")
 
 
 def context_windows(tokens: DataFrame, group: str, position: str, token: str, reach: int = 5) -> DataFrame:

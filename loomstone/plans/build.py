@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import chain as lang
 from loomstone.functions import text
 from loomstone.operators import corpus as build
-from loomstone.sources.external import Model
+from loomstone.sources.external import Model, ask_rows
 
 
 FENCE_OPEN, FENCE_CLOSE = re.compile(r"^```[a-z]*\n?"), re.compile(r"\n?```$")
@@ -25,6 +25,18 @@ def tidy(raw: str) -> str:
     return lang.repair(NAMED.sub(lambda m: "#" + m.group(1).lower(), bare))
 
 
+def decompose(rows: DataFrame, row_id: str, cot: str, make_model: Callable[[], Model] | None) -> DataFrame:
+    """(row_id, pos, step): the steps of each reasoning. A model is asked for a JSON array of steps; where it gives none that can be read, or none is
+    handed in, sentences are the steps. An empty array means no steps; blank reasoning isn't asked for."""
+    sentences = text.sentence_steps(F.coalesce(F.col(cot), F.lit("")))
+    if make_model is None:
+        return rows.select(row_id, F.posexplode(sentences).alias("pos", "step"))
+    asked = rows.withColumn("_prompt", F.when(F.trim(F.col(cot)) != "", F.concat(F.lit("Split into single steps, as a JSON array of strings: "), F.col(cot))))
+    said = ask_rows(asked, "_prompt", "_raw", make_model)
+    steps = F.coalesce(F.from_json("_raw", "array<string>"), sentences)
+    return said.select(row_id, F.posexplode(F.filter(steps, lambda s: F.trim(s) != "")).alias("pos", "step"))
+
+
 def translate_steps(steps: DataFrame, step: str, signatures: dict[str, lang.Signature], make_model: Callable[[], Model], tries: int = 3) -> DataFrame:
     """Adds chain, attempts and err_kind: each step is asked for until its chain is valid, `tries` times at most, the error of the last answer
     following the prompt. A model that fails counts as an answer that can't be parsed; a null step isn't asked for."""
@@ -52,17 +64,26 @@ def translate_steps(steps: DataFrame, step: str, signatures: dict[str, lang.Sign
     return steps.mapInPandas(work, f"{fields}, chain string, attempts int, err_kind string")
 
 
-def build_corpus(examples: DataFrame, signatures: DataFrame, make_model: Callable[[], Model], tries: int = 3) -> DataFrame:
+def with_symbols(steps: DataFrame, primitives: DataFrame) -> DataFrame:
+    """steps (example_id, pos, step) with `prompt`: the step, and the symbols a prompt names for it."""
+    keyed = steps.withColumn("_s", F.concat_ws(":", "example_id", "pos"))
+    named = build.prompt_symbols(keyed, "_s", "step", primitives)
+    return keyed.join(named, "_s").withColumn("prompt", F.concat("step", F.lit("\nSymbols: "), F.array_join("symbols", ", "))).drop("_s", "symbols")
+
+
+def build_corpus(examples: DataFrame, signatures: DataFrame, make_model: Callable[[], Model], tries: int = 3, primitives: DataFrame | None = None, make_splitter: Callable[[], Model] | None = None) -> DataFrame:
     """(example_id, question, chain, answer, compression_ratio, step_count, source, reason): reason is null for rows kept.
 
     Steps of a row are asked for separately and come together again by its id, in order. A row without steps (null or
-    blank reasoning) is NO_STEPS; a step that can't be read or breaks a signature makes its row STEP_PARSE_FAIL.
+    blank reasoning, or a model that splits it into none) is NO_STEPS. With primitives, prompts name the symbols that every prompt
+    holds and those closest to the step. A step that can't be read or breaks a signature makes its row STEP_PARSE_FAIL.
     """
     rows = examples.where("example_id is not null").dropDuplicates(["example_id"]).select("example_id", "question", "cot", "answer", "source")
-    steps = rows.select("example_id", F.posexplode(text.sentence_steps(F.coalesce("cot", F.lit("")))).alias("pos", "step"))
+    steps = decompose(rows, "example_id", "cot", make_splitter)
+    steps = steps.withColumn("prompt", F.col("step")) if primitives is None else with_symbols(steps, primitives)
     known = lang.signature_map(signatures)
     check = lang.validator(known)
-    judged = translate_steps(steps, "step", known, make_model, tries).select("example_id", F.struct("pos", "chain", F.col("err_kind").alias("bad")).alias("s"))
+    judged = translate_steps(steps, "prompt", known, make_model, tries).select("example_id", F.struct("pos", "chain", F.col("err_kind").alias("bad")).alias("s"))
     folded = judged.groupBy("example_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
     chains = folded.select("example_id", F.transform("s", lambda x: x["chain"]).alias("steps"), F.get(F.filter(F.transform("s", lambda x: x["bad"]), lambda b: b.isNotNull()), F.lit(0)).alias("step_bad"))
     whole = rows.join(chains, "example_id", "left").withColumn("chain", lang.assemble(F.coalesce("steps", F.array().cast("array<string>"))))

@@ -81,15 +81,16 @@ def chain_validate_clean(spark, sf):
   select sum(case when verdict = 'OK' then 1 else 0 end)::bigint as loose_valid, sum(case when verdict = 'OK' and k <> 1 then 1 else 0 end)::bigint as strict_valid,
   sum(case when k = 1 then 1 else 0 end)::bigint as newly_failing from v""")
 def chain_strict_audit(spark, sf):
-    """Domains are those of the signatures, with symbols typed: numbers are Numeric, so operators on Numeric pass and an
-    equation's #x can't be inferred. Kind 1 multiplies, for which this audit asks for an Entity."""
+    """Signatures of the audit are its own, symbols are typed by the registry: numbers are Numeric, so operators on Numeric pass and an
+    equation's #x can't be inferred. Kind 1 multiplies, for which this audit asks for an Entity. (corpus_strict_audit has the registered ones.)"""
     strict = {
         "ARITH_ADD": lang.Signature(2, ("Numeric", "Numeric"), "Numeric"),
         "ARITH_MULTIPLY": lang.Signature(2, ("Entity|Process", "Entity|Process"), "Numeric"),
         "ARITH_EQUALS": lang.Signature(2, ("Numeric|Entity", "Numeric"), "Relation"),
         "ARITH_LESS_THAN": lang.Signature(2, ("Numeric", "Numeric"), "Relation"),
     }
-    rows = chains(spark, sf).withColumn("loose", lang.validator(strict)("chain")["ok"]).withColumn("strict", lang.validator(strict, {})("chain")["ok"])
+    paths = lang.ontology_map(table(spark, sf, "primitives"))
+    rows = chains(spark, sf).withColumn("loose", lang.validator(strict)("chain")["ok"]).withColumn("strict", lang.validator(strict, paths)("chain")["ok"])
     n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
     return rows.agg(n(F.col("loose")).alias("loose_valid"), n(F.col("strict")).alias("strict_valid"), n(F.col("loose") & ~F.col("strict")).alias("newly_failing"))
 
@@ -274,21 +275,17 @@ def auto_flags(spark, sf):
     return rows.select("corpus_id", flags.alias("flags")).where(F.size("flags") > 0)
 
 
-@query()
+@query(r"""with c as (select corpus_id, neuralese_chain as chain from corpus where neuralese_chain is not null),
+  known as (select symbol from primitives where symbol is not null union select symbol from signatures where symbol is not null),
+  m as (select corpus_id, unnest(range(1, len(a) + 1)) as i, a, g from (select corpus_id, regexp_extract_all(chain, '[A-Z][A-Z_]+[A-Z]') as a, regexp_split_to_array(chain, '[A-Z][A-Z_]+[A-Z]') as g from c) where len(a) > 0),
+  s as (select corpus_id, i, a[i] as w, g[i] as before, g[len(a) + 1] as rest, a[i] in (select symbol from known) as ok from m)
+  select corpus_id, string_agg(before || case when ok then w else '[!' || w || '!]' end, '' order by i) || any_value(rest) as marked from s group by corpus_id having not bool_and(ok)""")
 def highlight_unknown(spark, sf):
     used = _corpus(spark, sf).select("corpus_id", F.explode(F.array_distinct(text.symbols(F.col("chain"), 3))).alias("symbol"))
     unknown = used.join(known_symbols(spark, sf), "symbol", "left_anti").groupBy("corpus_id").agg(F.collect_set("symbol").alias("unknown"))
     return _corpus(spark, sf).join(unknown, "corpus_id").select("corpus_id", lang.highlight("chain", "unknown").alias("marked"))
 
 
-@query("""select corpus_id, regexp_replace(regexp_replace('```lisp' || chr(10) || neuralese_chain || chr(10) || '```', '^```[a-z]*\n?', ''), '\n?```$', '') as chain from corpus where neuralese_chain is not null and not regexp_matches(neuralese_chain, '^[\\s]|[\\s]$|[^ -~λ\n]|#[A-Z]')""")
-def candidate_cleanup(spark, sf):
-    """Chains wrapped in a code fence and taken out again, #NAME made lower case (only rows where SQL gives the same: no white space at the ends, no characters outside ASCII but λ, no #NAME; all rows are in candidate_cleanup_all)."""
-    rows = _corpus(spark, sf).where(~F.col("chain").rlike(r"^[\s]|[\s]$|[^ -~λ\n]|#[A-Z]"))
-    fenced = F.concat(F.lit("```lisp\n"), F.col("chain"), F.lit("\n```"))
-    return rows.select("corpus_id", lang.lower_variables(text.strip_fences(fenced)).alias("chain"))
-
-
 def _upper_variables(chain):
     """#name becomes #NAME, the inverse of lower_variables: a split at # leaves each name at the start of its piece."""
 
@@ -305,9 +302,19 @@ def candidates(spark, sf):
     return _corpus(spark, sf).select("corpus_id", F.concat(F.lit("```lisp\n"), raw, F.lit("\n```")).alias("raw"))
 
 
-@query()
-def candidate_cleanup_all(spark, sf):
-    """All chains, with white space at the ends, odd characters and #NAME (candidate_cleanup has only rows that its SQL can follow)."""
+def _pieces_sql(chain: str, pattern: str, case: str) -> str:
+    """The names after each # in another case: text is split at #, and every piece but the first begins with its name."""
+    return f"array_to_string(list_transform(string_split({chain}, '#'), lambda p, i: case when i = 1 then p else {case}(regexp_extract(p, '{pattern}')) || substr(p, length(regexp_extract(p, '{pattern}')) + 1) end), '#')"
+
+
+_SHOUTED = _pieces_sql("neuralese_chain", "^[a-z][a-z0-9_]*", "upper")
+_TRIMMED = f"regexp_replace(regexp_replace(raw, '^[{text.SPACE}]+', ''), '[{text.SPACE}]+$', '')"
+
+
+@query(f"""with c as (select corpus_id, case when corpus_id % 2 = 0 then {_SHOUTED} else neuralese_chain end as raw from corpus where neuralese_chain is not null)
+  select corpus_id, {_pieces_sql(_TRIMMED, "^[A-Z][A-Z0-9_]*", "lower")} as chain from c""")
+def candidate_cleanup(spark, sf):
+    """Chains out of their code fence, trimmed, #NAME made lower case: all chains, with white space at the ends and odd characters."""
     return candidates(spark, sf).select("corpus_id", lang.lower_variables(text.strip_fences(F.col("raw"))).alias("chain"))
 
 
@@ -414,11 +421,10 @@ def log_from_marker(spark, sf):
 @query(f"""with {CHAINS}, p as (select row_number() over (order by k, a, b, chain) - 1 as pos, k from chains) select k, count(*) as n from p where pos >= 183 group by k""")
 def post_index_slice(spark, sf):
     """Rows from position 183 on; the position is given by an order over all columns."""
-    rows = chains(spark, sf).groupBy("k").agg(F.count("*").alias("c"))
     from loomstone.operators.sampling import running_before
 
-    placed = running_before(rows, "k", "c")
-    return placed.select("k", (F.col("c") - F.greatest(F.least(F.lit(183) - F.col("before"), F.col("c")), F.lit(0))).alias("n")).where("n > 0")
+    rows = chains(spark, sf).select("k", ((F.col("k") * 1_000 + F.col("a")) * 1_000 + F.col("b")).alias("place"))
+    return running_before(rows, "place", tie="k").where("before >= 183").groupBy("k").agg(F.count("*").alias("n"))
 
 
 @query("""select outcome, trip_id from (select outcome, trip_id, row_number() over (partition by outcome order by trip_id) as r from (select distinct trip_id, outcome from round_trip)) where (outcome = 'ANSWER_MISMATCH' and r <= 3) or (outcome = 'PARSE_INVALID' and r <= 2)""")

@@ -141,10 +141,23 @@ def fill_missing_signatures(spark, sf):
     return reg.fill_signatures(have, table(spark, sf, "primitives")).select("symbol", "arity", "range_type")
 
 
-FIRSTS = "case prim_type " + " ".join(f"when '{k}' then '{v[0]}'" for k, v in reg.HIERARCHY.items()) + " else 'Unknown' end"
-
-
-@query(f"""select symbol, array_to_string(case when length(symbol) % 5 = 0 and reclassify in ({', '.join(f"'{k}'" for k in reg.HIERARCHY)}) then [reclassify] else [prim_type, {FIRSTS}] end, '/') as path
+# Fixed values, written out here for SQL, not read from the operator's own tables: tops, first subtypes, subtypes, forced paths, dropped symbols.
+_TOPS = "'Entity', 'Relation', 'Property', 'Process', 'Logical', 'Numeric', 'Modal'"
+_FIRST = "when 'Entity' then 'ConcreteEntity' when 'Relation' then 'CausalRelation' when 'Property' then 'NumericProperty' when 'Process' then 'CognitiveProcess' when 'Logical' then 'Quantifier' when 'Numeric' then 'Cardinal' when 'Modal' then 'Epistemic'"
+_SUBS = """'ConcreteEntity', 'AbstractEntity', 'CausalRelation', 'TemporalRelation', 'SpatialRelation', 'LogicalRelation', 'NumericProperty', 'QualitativeProperty',
+  'CognitiveProcess', 'PhysicalProcess', 'Quantifier', 'Connective', 'Comparator', 'Cardinal', 'Ordinal', 'Operator', 'Epistemic', 'Deontic'"""
+_FORCED = """case when symbol in ('ARITH_ADD', 'ARITH_SUBTRACT', 'ARITH_MULTIPLY', 'ARITH_DIVIDE', 'ARITH_EQUALS', 'ARITH_MODULO') then ['Numeric', 'NumericProperty']
+  when symbol in ('LOGICAL_AND', 'LOGICAL_OR', 'LOGICAL_NOT', 'LOGICAL_IMPLIES', 'LOGICAL_IFF', 'LOGICAL_XOR', 'THEREFORE', 'BECAUSE', 'ASSUMES', 'GIVEN') then ['Logical', 'Connective']
+  when symbol in ('FORALL', 'EXISTS', 'EXISTS_UNIQUE') then ['Logical', 'Quantifier'] when symbol = 'CONTRADICTS' then ['Logical', 'Comparator']
+  when symbol in ('KNOWN_TRUE', 'BELIEVED_TRUE', 'UNCERTAIN', 'KNOWN_FALSE') then ['Modal', 'Epistemic']
+  when symbol in ('CAUSAL_ENABLES', 'CAUSAL_PREVENTS', 'CAUSAL_REQUIRES', 'CAUSAL_CONTRIBUTES') then ['Relation', 'CausalRelation']
+  when symbol in ('TEMPORAL_BEFORE', 'TEMPORAL_AFTER', 'TEMPORAL_DURING', 'TEMPORAL_UNTIL') then ['Relation', 'TemporalRelation']
+  when symbol in ('IS_INSTANCE_OF', 'IS_PART_OF', 'IS_DEFINED_AS', 'IS_EQUIVALENT_TO', 'IS_GREATER_THAN', 'IS_LESS_THAN', 'IS_OPPOSITE_OF') then ['Relation', 'LogicalRelation'] end"""
+_DROPPED = "'SEMANTIC_VAGUE', 'UNCLEAR_REQUEST', 'QUASAR_OR_QUARTIC', 'CONTEXTUAL_INCONSISTENCY', 'CONTEXTUAL_WITH_PHRASE', 'ABSTRACT_SYMBOL', 'COMMON_CONCEPT_EXAMPLE', 'STANDARD_CONCEPT'"
+FIRSTS = f"case prim_type {_FIRST} else 'Unknown' end"
+
+
+@query(f"""select symbol, array_to_string(case when length(symbol) % 5 = 0 and reclassify in ({_TOPS}) then [reclassify] else [prim_type, {FIRSTS}] end, '/') as path
   from (select symbol, prim_type, case when length(symbol) % 5 = 0 then case when length(symbol) % 2 = 0 then 'Modal' else 'Nonsense' end end as reclassify from primitives where prim_type is not null)""")
 def type_path_derive(spark, sf):
     n = F.length("symbol")
@@ -153,15 +166,11 @@ def type_path_derive(spark, sf):
     return rows.select("symbol", F.array_join(reg.derive_type_path(F.col("prim_type"), F.lit(None).cast("string"), reclassify), "/").alias("path"))
 
 
-_FORCED = " ".join(f"when '{s}' then ['{a}', '{b}']" for (a, b), names in reg.FORCED_PATHS.items() for s in names.split())
-_TOPS = ", ".join(f"'{k}'" for k in reg.HIERARCHY)
-_SUBS = ", ".join(f"'{s}'" for v in reg.HIERARCHY.values() for s in v)
-_FIRST_OF = "case type_path[1] " + " ".join(f"when '{k}' then '{v[0]}'" for k, v in reg.HIERARCHY.items()) + " end"
-NORMAL_PATH = f"""coalesce(case symbol {_FORCED} end, case when type_path is null or len(type_path) = 0 then [prim_type] when type_path[1] not in ({_TOPS}) or len(type_path) = 1 or type_path[2] in ({_SUBS}) then type_path
-  else [type_path[1], {_FIRST_OF}] end)"""
+NORMAL_PATH = f"""coalesce({_FORCED}, case when type_path is null or len(type_path) = 0 then [prim_type] when type_path[1] not in ({_TOPS}) or len(type_path) = 1 or type_path[2] in ({_SUBS}) then type_path
+  else [type_path[1], case type_path[1] {_FIRST} end] end)"""
 
 
-@query(f"select symbol, array_to_string({NORMAL_PATH}, '/') as path from primitives where symbol not in ({', '.join(f"'{s}'" for s in reg.DROPPED)})")
+@query(f"select symbol, array_to_string({NORMAL_PATH}, '/') as path from primitives where symbol not in ({_DROPPED})")
 def type_path_normalise(spark, sf):
     rows = table(spark, sf, "primitives").where(~F.col("symbol").isin(*reg.DROPPED))
     return rows.select("symbol", F.array_join(reg.normalise_type_path(F.col("symbol"), F.col("prim_type"), F.col("type_path")), "/").alias("path"))
@@ -308,6 +317,44 @@ def incremental_new_keys(spark, sf):
     return rows.groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+@query("""select start, event_type, n from (select date_trunc('hour', ts) as start, event_type, count(*) as n from events where ts is not null group by all)
+  where start + interval 1 hour <= (select max(ts) from events) - interval 1 day""")
+def stream_windowed_counts(spark, sf):
+    """Windows over a file stream: a window is written when the watermark, a day behind the latest event, has passed its end."""
+    source, target, checkpoint = (scratch_path(spark, f"windows-{n}") for n in ("source", "target", "checkpoint"))
+    events = table(spark, sf, "events").select("ts", "event_type")
+    events.write.parquet(source)
+    return ingest.ingest_once(spark, source, events.schema, target, checkpoint, transform=lambda s: ingest.windowed_counts(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz")))
+
+
+@query("select upper(raw_line) as line, count(*)::bigint as n from (select unnest(string_split(regexp_replace(raw_line, '\\r\\n|\\r', chr(10), 'g'), chr(10))) as raw_line from corpus_lines where raw_line is not null) group by 1")
+def text_scan(spark, sf):
+    """Lines written as text and read again; a line that holds line breaks comes back as several."""
+    path = scratch_path(spark, "lines")
+    table(spark, sf, "corpus_lines").where("raw_line is not null").select("raw_line").write.text(path)
+    return jsonl.read_text(spark, path).groupBy(F.upper("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query("select n_nationkey, n_name, 2::bigint as n from nation")
+def append_twice(spark, sf):
+    """A sink that is only added to: what is appended twice is there twice."""
+    path = scratch_path(spark, "appended")
+    rows = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    for _ in range(2):
+        jsonl.append(rows, path)
+    return jsonl.read_strict(spark, path, rows.schema).groupBy("n_nationkey", "n_name").agg(F.count("*").alias("n"))
+
+
+@query("select count(*) as orders, round(sum(o_totalprice), 2) as total, count(*) > 0 as flagged from orders")
+def document_sink(spark, sf):
+    """Sums written as one indented JSON document; the conditional sink writes since a row is flagged."""
+    path, other = scratch_path(spark, "document"), scratch_path(spark, "conditional")
+    orders = table(spark, sf, "orders")
+    jsonl.write_document(orders.agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total")), path)
+    wrote = jsonl.write_if_any(orders.select("o_orderkey", (F.col("o_totalprice") > 0).alias("bad")), "bad", other)
+    return spark.read.option("multiLine", True).schema("orders bigint, total double").json(path).withColumn("flagged", F.lit(wrote))
+
+
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by all")
 def windowed_counts(spark, sf):
     return ingest.windowed_counts(table(spark, sf, "events"), "ts", "event_type")
@@ -346,17 +393,34 @@ def user_sessions(spark, sf):
 
 
 # --- the SQL surface, models and matrices ----------------------------------------------------------------------------------------
-@query("select corpus_id, case when regexp_matches(answer, '^[0-9]+$') then '(' || 'ARITH_EQUALS #x ' || answer || ')' end as repaired, 3::bigint as nodes from corpus where regexp_matches(answer, '^[0-9]+$')")
+@query(f"""with a as (select corpus_id, coalesce(nullif(regexp_extract(answer, '[0-9]+'), ''), '0') as n from corpus)
+  select corpus_id, '(ARITH_EQUALS #x ' || n || ')' as repaired, 3::bigint as nodes from a""")
 def sql_surface(spark, sf):
-    """Scalar and table functions called from SQL."""
+    """Scalar and table functions called from SQL, on an equation from the first number of each answer (0 where there is none)."""
     from loomstone.functions.register import register
 
     register(spark, table(spark, sf, "signatures"))
-    table(spark, sf, "corpus").where("answer rlike '^[0-9]+$'").select("corpus_id", F.concat(F.lit("ARITH_EQUALS #x "), "answer").alias("bare")).createOrReplaceTempView("loomstone_bare")
+    n = F.coalesce(F.nullif(F.regexp_extract("answer", "[0-9]+", 0), F.lit("")), F.lit("0"))
+    table(spark, sf, "corpus", python=True).select("corpus_id", F.concat(F.lit("ARITH_EQUALS #x "), n).alias("bare")).createOrReplaceTempView("loomstone_bare")
     return spark.sql("""with fixed as (select corpus_id, auto_repair(bare) as repaired from loomstone_bare)
       select f.corpus_id, f.repaired, count(*) as nodes from fixed f, lateral parse_nodes(f.repaired) n group by f.corpus_id, f.repaired""")
 
 
+@query(r"""select count(*) filter (regexp_matches(answer, '^[0-9]{1,9}$')) as whole_numbers, count(*) filter (regexp_matches(answer, '^[0-9]{1,9}$')) as scored, count(*) as rows_read,
+  round((select avg(embedding[1]::double) from embeddings), 4) as mean_first from corpus""")
+def sql_scores(spark, sf):
+    """normalize_answer, score_answer and vector_mean called from SQL."""
+    from loomstone.functions.register import register
+
+    register(spark, table(spark, sf, "signatures"))
+    table(spark, sf, "corpus").select("answer").createOrReplaceTempView("loomstone_answers")
+    table(spark, sf, "embeddings").select("embedding").createOrReplaceTempView("loomstone_vectors")
+    return spark.sql(r"""with n as (select answer, answer rlike '^[0-9]{1,9}$' as whole, normalize_answer(answer) as t from loomstone_answers),
+        c as (select count_if(whole and cast(t as bigint) = cast(answer as bigint)) as whole_numbers, count_if(whole and score_answer(concat('$', answer, '.0'), answer)) as scored, count(*) as rows_read from n),
+        v as (select vector_mean(embedding) as m from loomstone_vectors)
+      select whole_numbers, scored, rows_read, round(m[0], 4) as mean_first from c cross join v""")
+
+
 @query()
 def sql_surface_all(spark, sf):
     """Every chain of the corpus repaired and read from SQL: the nodes as it is and repaired, 0 where it can't be read."""

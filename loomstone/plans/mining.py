@@ -33,13 +33,13 @@ def structure_types(primitives: DataFrame, make_model: Callable[[], Model], size
     """primitives with type_path and reclassified: the model sorts each type's symbols into its subtypes, some hundred at a time.
 
     An answer is an array of objects with symbol, subtype and reclassify_to; unknown symbols are left out, of several
-    answers for one the last by text holds, and symbols without one get the first subtype.
+    answers for one the last given holds (of the last question by text), and symbols without one get the first subtype.
     """
     numbered = primitives.where("prim_type is not null and symbol is not null").withColumn("_b", F.pmod(F.xxhash64("symbol"), F.lit(1 << 20)) % F.lit(max(1, size)))
     asked = numbered.groupBy("prim_type", "_b").agg(F.to_json(F.sort_array(F.collect_set("symbol"))).alias("symbols")).select(F.concat(F.lit("Sort into subtypes, as a JSON array: "), "prim_type", F.lit(" "), "symbols").alias("prompt"))
     said = ask_rows(asked, "prompt", "raw", make_model)
-    answer = said.select(F.explode(F.from_json("raw", "array<struct<symbol:string,subtype:string,reclassify_to:string>>")).alias("a")).select("a.*")
-    held = answer.where("symbol is not null").groupBy("symbol").agg(F.max(F.struct("subtype", "reclassify_to")).alias("a")).select("symbol", "a.*")
+    answer = said.select("prompt", F.posexplode(F.from_json("raw", "array<struct<symbol:string,subtype:string,reclassify_to:string>>")).alias("pos", "a")).select("prompt", "pos", "a.*")
+    held = answer.where("symbol is not null").groupBy("symbol").agg(F.max_by(F.struct("subtype", "reclassify_to"), F.struct("prompt", "pos")).alias("a")).select("symbol", "a.*")
     joined = primitives.drop("type_path", "reclassified").join(held, "symbol", "left")
     path = registry.derive_type_path(F.col("prim_type"), F.col("subtype"), F.col("reclassify_to"))
     return joined.withColumn("type_path", path).withColumn("reclassified", F.col("reclassify_to").isNotNull()).drop("subtype", "reclassify_to")

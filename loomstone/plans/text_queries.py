@@ -60,6 +60,13 @@ def quality_filter_reasons(spark, sf):
     return with_share(counts).select("reason", "n", F.round("share", 6).alias("share"))
 
 
+@query("""with d as (select count(distinct discard_id) as discarded from discards), c as (select count(*) as kept from corpus)
+  select discarded + kept as total, kept as success, discarded, round(discarded / (discarded + kept), 6) as discard_rate from d, c""")
+def run_statistics(spark, sf):
+    """Totals of a build: examples kept and discarded, and the share discarded."""
+    return build.run_statistics(table(spark, sf, "corpus"), table(spark, sf, "discards"), "discard_id")
+
+
 @query(f"""select split_part(discard_reason, ':', 1) as kind, count(*) as n, count(distinct discard_id) as ids from discards group by 1""")
 def discard_kinds(spark, sf):
     return table(spark, sf, "discards").groupBy(text.error_kind(F.col("discard_reason")).alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("discard_id").alias("ids"))
@@ -126,22 +133,6 @@ def assemble_chain(spark, sf):
 LETTERS = r"[\p{L}\p{N}_]+"
 
 
-@query(rf"""with t as (select item_id, list_transform(regexp_extract_all(text, '{LETTERS}'), lambda w: w) as w from eval_items where text is not null),
-  p as (select item_id, w, unnest(range(len(w))) as pos from t)
-  select item_id, pos, w[pos + 1] as token, array_to_string(w[greatest(pos - 4, 1):pos + 6], ' ') as context from p""")
-def context_window(spark, sf):
-    rows = table(spark, sf, "eval_items").where("text is not null").select("item_id", F.posexplode(text.find_all(F.col("text"), text.WORD_RUN)).alias("pos", "token"))
-    return build.context_windows(rows.withColumn("pos", F.col("pos").cast("bigint")), "item_id", "pos", "token", 5)
-
-
-@query(rf"""with t as (select item_id, regexp_extract_all(text, '{LETTERS}') as w from eval_items where text is not null),
-  p as (select item_id, unnest(range(len(w))) as pos from t)
-  select a.item_id, count(*) as pairs from p a join p b on a.item_id = b.item_id and abs(a.pos - b.pos) <= 5 group by a.item_id""")
-def band_join_pairs(spark, sf):
-    rows = table(spark, sf, "eval_items").where("text is not null").select("item_id", F.posexplode(text.find_all(F.col("text"), text.WORD_RUN)).alias("pos", "token"))
-    return build.band_join(rows, "item_id", "pos", 5).groupBy("item_id").agg(F.count("*").alias("pairs"))
-
-
 def document_tokens(spark, sf):
     rows = table(spark, sf, "documents", python=True).where("text is not null").select("doc_id", F.posexplode(text.find_all(F.col("text"), text.WORD_RUN)).alias("pos", "token"))
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
@@ -150,21 +141,23 @@ def document_tokens(spark, sf):
 @query(rf"""with t as (select doc_id, regexp_extract_all(text, '{LETTERS}') as w from documents where text is not null),
   p as (select doc_id, w, unnest(range(len(w))) as pos from t)
   select doc_id, pos, w[pos + 1] as token, array_to_string(w[greatest(pos - 4, 1):pos + 6], ' ') as context from p""")
-def context_window_documents(spark, sf):
-    """The window of every token of every document (context_window has the 400 items, at every scale)."""
+def context_window(spark, sf):
+    """The window of every token of every document."""
     return build.context_windows(document_tokens(spark, sf), "doc_id", "pos", "token", 5)
 
 
 @query(rf"""with t as (select doc_id, len(regexp_extract_all(text, '{LETTERS}')) as n from documents where text is not null),
   p as (select doc_id, n, unnest(range(n)) as pos from t)
   select doc_id, sum(least(pos + 5, n - 1) - greatest(pos - 5, 0) + 1)::bigint as pairs from p group by doc_id""")
-def band_join_pairs_documents(spark, sf):
+def band_join_pairs(spark, sf):
     return build.band_join(document_tokens(spark, sf), "doc_id", "pos", 5).groupBy("doc_id").agg(F.count("*").alias("pairs"))
 
 
+# written out here, not read from the operator's own list
+ALWAYS = "^(ARITH_|CAUSAL_|LOGICAL_|TEMPORAL_|IS_INSTANCE_OF|IS_PART_OF|IS_EQUIVALENT_TO|IS_GREATER_THAN|IS_LESS_THAN|THEREFORE|BECAUSE|FORALL|EXISTS|KNOWN_TRUE|BELIEVED_TRUE|UNCERTAIN)"
 FUZZY = rf"""with steps as (select distinct discard_id, question from discards where question is not null),
   w as (select distinct discard_id, unnest(regexp_extract_all(lower(question), '{LETTERS}')) as word from steps),
-  named as (select distinct symbol, gloss from primitives where symbol is not null and not regexp_matches(symbol, '^({build.ALWAYS_PREFIXES})')),
+  named as (select distinct symbol, gloss from primitives where symbol is not null and not regexp_matches(symbol, '{ALWAYS}')),
   t as (select distinct symbol, unnest(list_concat(regexp_extract_all(lower(coalesce(gloss, '')), '{LETTERS}'), regexp_extract_all(lower(symbol), '{LETTERS}'))) as word from named),
   scored as (select discard_id, symbol, count(*) as overlap from w join t using (word) group by all),
   ranked as (select *, row_number() over (partition by discard_id order by overlap desc, symbol) as rank from scored)
@@ -177,7 +170,7 @@ def fuzzy_primitive_topk(spark, sf):
     return build.step_candidates(steps, "discard_id", "question", table(spark, sf, "primitives").where("symbol is not null"))
 
 
-@query(rf"select symbol, prim_type from primitives where regexp_matches(symbol, '^({build.ALWAYS_PREFIXES})')")
+@query(rf"select symbol, prim_type from primitives where regexp_matches(symbol, '{ALWAYS}')")
 def always_included(spark, sf):
     return build.always_included(table(spark, sf, "primitives")).select("symbol", "prim_type")
 
@@ -264,16 +257,9 @@ def answer_extract_cot(spark, sf):
     return table(spark, sf, "corpus").select("corpus_id", answers.cot_answer(said).alias("found"))
 
 
-@query(r"""select corpus_id, case when answer is null then substr(question, 1, 50) else coalesce(regexp_extract_all('\boxed{0} then \boxed{' || answer || '}', '\\boxed\{([^}]+)\}', 1)[-1], '') end as gold from corpus where answer is null or (answer <> '' and not contains(answer, '}'))""")
-def boxed(spark, sf):
-    rows = table(spark, sf, "corpus").where("answer is null or (answer <> '' and not contains(answer, '}'))")
-    whole = F.coalesce(F.concat(F.lit("\\boxed{0} then \\boxed{"), F.col("answer"), F.lit("}")), F.col("question"))
-    return rows.select("corpus_id", answers.boxed(whole).alias("gold"))
-
-
 @query(r"""with t as (select corpus_id, case when answer is null then question else '\boxed{0} then \boxed{' || answer || '}' end as said from corpus)
   select corpus_id, coalesce(regexp_extract_all(said, '\\boxed\{([^}]+)\}', 1)[-1], substr(said, 1, 50)) as gold from t""")
-def boxed_all(spark, sf):
+def boxed(spark, sf):
     """All rows: an empty box isn't one, so the box before it counts, and an answer with a closing brace ends there (boxed leaves both out)."""
     whole = F.coalesce(F.concat(F.lit("\\boxed{0} then \\boxed{"), F.col("answer"), F.lit("}")), F.col("question"))
     return table(spark, sf, "corpus").select("corpus_id", answers.boxed(whole).alias("gold"))

@@ -23,7 +23,7 @@ def test_candidate_cleanup_edges(spark, tmp_path):
 
     chains = ["\t(F #x)\u3000", "(F #ABC_1 é)", "(F #ab_1 #aB #1)", "\n\n", "", "#", "(ADD #x 1) ; ü #Y", "(F #x)", "\u2003(F #LONG_NAME)\r\n", None, "(G #x #y) #", "#a##b"]
     spark.createDataFrame([(i, c) for i, c in enumerate(chains)], "corpus_id bigint, neuralese_chain string").write.parquet(f"{tmp_path}/corpus.parquet")
-    got = {r.corpus_id: r.chain for r in run(spark, "candidate_cleanup_all", tmp_path)}
+    got = {r.corpus_id: r.chain for r in run(spark, "candidate_cleanup", tmp_path)}
     assert got == {i: cleaned(c if i % 2 else re.sub("#([a-z][a-z0-9_]*)", lambda m: m.group().upper(), c)) for i, c in enumerate(chains) if c is not None}
     raw = {r.corpus_id: r.raw for r in candidates(spark, str(tmp_path)).collect()}
     assert raw[2] == "```lisp\n(F #AB_1 #AB #1)\n```" and raw[7] == "```lisp\n(F #x)\n```"
@@ -32,7 +32,7 @@ def test_candidate_cleanup_edges(spark, tmp_path):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_candidate_cleanup_takes_all_chains(spark):
     rows = spark.read.parquet(f"{SF}/corpus.parquet").where("neuralese_chain is not null").select("corpus_id", "neuralese_chain").collect()
-    got = {r.corpus_id: r.chain for r in run(spark, "candidate_cleanup_all", SF)}
+    got = {r.corpus_id: r.chain for r in run(spark, "candidate_cleanup", SF)}
     assert got == {r.corpus_id: cleaned(r.neuralese_chain) for r in rows}
 
 
@@ -40,9 +40,9 @@ def test_windows_and_pairs_of_documents(spark, tmp_path):
     texts = ["", "?!", None, "one", "a b c d e f g h", "élan vital_2; x-y\n" * 3, " ".join(f"w{i}" for i in range(300))]
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     words = {i: re.findall(r"\w+", t or "") for i, t in enumerate(texts)}
-    windows = {(r.doc_id, r.pos): (r.token, r.context) for r in run(spark, "context_window_documents", tmp_path)}
+    windows = {(r.doc_id, r.pos): (r.token, r.context) for r in run(spark, "context_window", tmp_path)}
     assert windows == {(i, p): (w[p], " ".join(w[max(p - 5, 0) : p + 6])) for i, w in words.items() for p in range(len(w))}
-    pairs = {r.doc_id: r.pairs for r in run(spark, "band_join_pairs_documents", tmp_path)}
+    pairs = {r.doc_id: r.pairs for r in run(spark, "band_join_pairs", tmp_path)}
     assert pairs == {i: sum(abs(a - b) <= 5 for a in range(len(w)) for b in range(len(w))) for i, w in words.items() if w}
 
 
@@ -54,7 +54,7 @@ def test_boxed_of_all_rows(spark, tmp_path):
         said = question if answer is None else r"\boxed{0} then \boxed{" + answer + "}"
         return said and (re.findall(r"\\boxed\{([^}]+)\}", said) or [said[:50]])[-1]
 
-    assert {r.corpus_id: r.gold for r in run(spark, "boxed_all", tmp_path)} == {i: gold(q, a) for i, q, a in rows}
+    assert {r.corpus_id: r.gold for r in run(spark, "boxed", tmp_path)} == {i: gold(q, a) for i, q, a in rows}
     assert gold("q", "") == "0" and gold("q", "a}b") == "a"
 
 
