@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomstone.scratch import materialise
 
 ROWS_A_BUCKET = 50_000
+MOST_GROUPS = 1_000_000
 
 
 def random_key(seed: int, *parts: Column) -> Column:
@@ -17,6 +18,11 @@ def random_key(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
+def _sent(groups: DataFrame) -> DataFrame:
+    """A written table with a row for each group, to be broadcast where that is a million rows at most, so that a large group isn't gathered by a join."""
+    return F.broadcast(groups) if groups.count() <= MOST_GROUPS else groups
+
+
 def smallest_keys(rows: DataFrame, group: list[str], row_id: str, key: Column, quotas: DataFrame, quota: str, weight: str | None = None) -> DataFrame:
     """Of every group the rows with the smallest random keys: as many as its quota, or, with weight, while the weight before them is below it.
 
@@ -30,10 +36,12 @@ def smallest_keys(rows: DataFrame, group: list[str], row_id: str, key: Column, q
     sizes = rows.groupBy(*group).agg(F.count("*").alias("__n"))
     same = lambda a, b: [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in group]
     plan = quotas.select(*group, F.col(quota).cast("bigint").alias("__q")).alias("p").join(sizes.alias("s"), same("p", "s")).select("p.*", F.ceil(F.col("__n") / ROWS_A_BUCKET).cast("bigint").alias("__b"))
+    plan = _sent(materialise(plan, "quotas"))
     placed = rows.alias("r").join(plan.alias("p"), same("r", "p")).select("r.*", "__q", "__b").withColumn("__bucket", F.floor(F.col("__k").cast("double") / float(1 << 60) * F.col("__b")).cast("bigint"))
     counted = placed.groupBy(*group, "__bucket", "__q").agg(F.sum("__w").alias("__sum"))
     before = F.coalesce(F.sum("__sum").over(W.partitionBy(*group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     edges = counted.withColumn("__before", before).where("__before < __q").withColumn("__whole", F.col("__before") + F.col("__sum") <= F.col("__q")).drop("__q", "__sum")
+    edges = _sent(materialise(edges, "edges"))
     open_rows = placed.alias("r").join(edges.alias("e"), [*same("r", "e"), F.col("r.__bucket") == F.col("e.__bucket")]).select("r.*", "__before", "__whole")
     inside = open_rows.where("__whole").drop("__before", "__whole")
     within = F.coalesce(F.sum("__w").over(W.partitionBy(*group, "__bucket").orderBy("__k", row_id).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

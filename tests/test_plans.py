@@ -54,7 +54,10 @@ def test_no_cartesian_product(spark, name):
     [("difficulty_counts", {"text"}), ("symbol_occurrences", {"neuralese_chain"}), ("stratified_split", {"corpus_id", "difficulty"}), ("json_props", {"event_type", "props"}), ("type_path_counts", {"type_path"})],
 )
 def test_only_needed_columns_are_read(spark, name, columns):
-    for schema in re.findall(r"ReadSchema: struct<([^\n]*)>", plan(spark, name)):
+    scans = [line for line in plan(spark, name).splitlines() if "FileScan" in line and os.path.basename(SF) in line]  # of the tables; steps that were written have columns of their own
+    assert scans
+    for line in scans:
+        schema = re.search(r"ReadSchema: struct<(.*)>", line).group(1)
         assert {c.split(":")[0] for c in schema.split(",") if ":" in c} <= columns
 
 
