@@ -223,3 +223,27 @@ def test_sql_functions(spark):
     assert (r.a, r.b, r.c, r.d, r.e) == (True, "TYPE_ERROR", "(FX 1)", "[x y]", "4") and abs(r.f - 1) < 1e-6
     assert [x.expr for x in spark.sql("select expr from top_level_exprs('(A) BB 1') order by pos").collect()] == ["(A)", "BB 1"]
     assert spark.sql("select count(*) as n from parse_nodes('(F [A B])')").first().n == 4
+
+
+def test_prompts(spark):
+    """Prompts name what every prompt holds, then what is closest to the step; a model splits the reasoning, or gives none."""
+    from loomstone.operators.corpus import prompt_symbols, run_statistics
+    from loomstone.plans.build import decompose
+
+    prims = spark.createDataFrame([("ARITH_ADD", "adds"), ("CAT_SAT", "the cat sat"), ("DOG", "a dog ran"), ("THEREFORE", None), (None, "cat")], "symbol string, gloss string")
+    steps = spark.createDataFrame([(1, "The cat sat down"), (2, "nothing known")], "i bigint, s string")
+    got = {r.i: r.symbols for r in prompt_symbols(steps, "i", "s", prims).collect()}
+    assert got == {1: ["ARITH_ADD", "THEREFORE", "CAT_SAT"], 2: ["ARITH_ADD", "THEREFORE"]}
+    assert {r.i: len(r.symbols) for r in prompt_symbols(steps, "i", "s", prims, 1).collect()} == {1: 1, 2: 1}
+
+    def make():
+        return lambda prompt: '["a", " ", "b"]' if "cat" in prompt else "[]" if "dog" in prompt else "no JSON"
+
+    rows = spark.createDataFrame([(1, "the cat."), (2, "a dog."), (3, "One. Two."), (4, None)], "i bigint, cot string")
+    split = {}
+    for r in sorted(decompose(rows, "i", "cot", make).collect(), key=lambda r: (r.i, r.pos)):
+        split.setdefault(r.i, []).append(r.step)
+    assert split[1] == ["a", "b"] and 2 not in split and len(split[3]) == 2 and not any(split.get(4, []))
+    stats = run_statistics(rows, spark.createDataFrame([(7,), (7,), (8,)], "d bigint"), "d").first()
+    assert tuple(stats) == (6, 4, 2, 0.333333)
+    assert run_statistics(rows.limit(0), rows.select("i").limit(0), "i").first().discard_rate == 1.0
