@@ -5,6 +5,8 @@ suffix is one 64-bit number, 48 bits for its first k words and 16 for the next,
 array of suffixes; it is cut into parts by leading bits, as many as its size asks for, and written by part. A search
 sends some suffixes of each batch text (its rarest, as many as a near text can't all miss) to the parts they belong to, reads those
 parts alone, finds every match by binary search, adds up by record how much of the text it covers, and verifies what is covered enough.
+Where more than a few texts are searched, the arrays stay where they are: each task reads the parts that its suffixes hit, which are the
+rarest by their counts in the store; and matches are made in rounds, none of more matches than the store has entries.
 Segments of like size are merged, so their number grows with the logarithm of the history. A manifest in the store's
 folder names what holds; it is written last, and segments it no longer names are removed.
 """
@@ -18,8 +20,10 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
+import pyarrow.parquet
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone import scratch
@@ -33,6 +37,8 @@ MOST_BITS = 20
 PAIRS_AT_ONCE = 2_000_000
 FIRST_MATCHES = 1_000
 BROADCAST_ENTRIES = 2_000_000
+HITS_AT_ONCE = 10_000_000
+SPREAD_ENTRIES = 50_000
 BROADCAST_PAIRS = 1_000_000
 NAMED_PARTS = 10_000
 COMMIT_SHARE = 16
@@ -42,6 +48,7 @@ WHOLE = 255
 NEXT = np.uint64(16)
 ROWS = "seg int, part int, n int, suffix binary, tid binary, tag binary"
 HITS = "probe bigint, tid bigint, least int"
+COUNTS = "probe bigint, place int, suffix bigint, width bigint"
 NO_RECORD = -1
 
 # Sizes of texts are kept in a byte: steps of a twentieth, of which only the lower and the upper end are used.
@@ -111,23 +118,35 @@ def _whole(texts: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(t, 1) for t in texts), np.uint64, len(texts))
 
 
-def _all_suffixes(texts: list[str], tid: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every suffix of every text, those that begin alike within a text once, and the whole texts; tagged with the text's size."""
+def _distinct_suffixes(texts: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every suffix of every text, those that begin alike within a text once: whose it is, its number, and how many each text has."""
     e = Encoded(texts, shape.k)
     o = np.lexsort((e.at, e.gram, e.owner))
     owner, gram, at = e.owner[o], e.gram[o], e.at[o]
     new = np.ones(len(o), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])
     owner, gram, at = owner[new], gram[new], at[new]
-    sizes = np.bincount(owner, minlength=len(texts))
+    return owner, _suffix_numbers(e, gram, at, shape.k), np.bincount(owner, minlength=len(texts))
+
+
+def _all_suffixes(texts: list[str], tid: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every suffix of every text and the whole texts, tagged with the text's size."""
+    owner, suffix, sizes = _distinct_suffixes(texts, shape)
     code = np.searchsorted(SIZE_STEPS, np.maximum(sizes, 1), "right") - 1
     return (
-        np.r_[_suffix_numbers(e, gram, at, shape.k), _whole(texts)],
+        np.r_[suffix, _whole(texts)],
         np.r_[tid[owner], tid],
         np.r_[code[owner], np.full(len(texts), WHOLE)].astype(np.uint8),
     )
 
 
+def _placed_suffixes(texts: list[str], tid: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every suffix of every text, tagged with its place among them, and the whole texts (place -1)."""
+    owner, suffix, sizes = _distinct_suffixes(texts, shape)
+    place = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+    return np.r_[suffix, _whole(texts)], np.r_[tid[owner], tid], np.r_[place, np.full(len(texts), -1)].astype(np.int32)
+
+
 def _some_suffixes(texts: list[str], tid: np.ndarray, shape: Shape, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rarest suffixes of every text, of which a near text holds at least `hits`, and the whole texts (size 0)."""
     p = prefixes(texts, shape, order)
@@ -183,49 +202,143 @@ def _gathered(rows: DataFrame, tag: type) -> DataFrame:
     return rows.hint("rebalance", "seg", "part").sortWithinPartitions("seg", "part").mapInPandas(_merge(tag), ROWS)
 
 
-def _search(shape: Shape, most: int | None) -> Callable:
+def _spread(rows: DataFrame) -> DataFrame:
+    """Arrays of probes brought together by part, but those of many entries apart, so a part that very many probes hit is searched by several tasks."""
+    apart = F.when(F.col("n") > SPREAD_ENTRIES, F.monotonically_increasing_id()).otherwise(0)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "seg", "part", apart).sortWithinPartitions("seg", "part")
+
+
+def _part_arrays(folder: str, part: int, columns: list[str]) -> Iterator[list]:
+    """The arrays of a part, read by a worker from the shared folder one at a time; none where the segment has no such part."""
+    store, inner = scratch.arrow_store(f"{folder}/part={part}")
+    for f in store.get_file_info(pyarrow.fs.FileSelector(inner, allow_not_found=True)):
+        if f.path.endswith(".parquet"):
+            with store.open_input_file(f.path) as raw:
+                for batch in pyarrow.parquet.ParquetFile(raw).iter_batches(1, columns=columns):
+                    yield [batch.column(c)[0].as_buffer() for c in columns]
+
+
+def _range(p_suffix: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest suffix that begins as a probe's does; a whole text matches itself alone."""
+    first = np.where(whole, p_suffix, (p_suffix >> NEXT) << NEXT)
+    return first, np.where(whole, p_suffix, first | np.uint64(0xFFFF))
+
+
+def _count(folders: list[str]) -> Callable:
+    """How many entries every suffix of the probes matches, by segment; the first segment gives a row for those without any, too."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _merge(np.int32)(batches):
+            for r in pdf.itertuples(index=False):
+                p_suffix, p_tid, place = _unpack(r.suffix, np.uint64), _unpack(r.tid, np.int64), np.frombuffer(r.tag, np.int32)
+                first, last = _range(p_suffix, place < 0)
+                width = np.zeros(len(p_suffix), np.int64)
+                for (raw,) in _part_arrays(folders[r.seg], r.part, ["suffix"]):
+                    suffix = _unpack(raw, np.uint64)
+                    width += np.searchsorted(suffix, last, "right") - np.searchsorted(suffix, first, "left")
+                out = pd.DataFrame({"probe": p_tid, "place": place, "suffix": p_suffix.view(np.int64), "width": width})
+                yield out if r.seg == 0 else out[width > 0]
+
+    return count
+
+
+def _rarest(counts: DataFrame, shape: Shape) -> DataFrame:
+    """(probe, suffix, size, width): of every probe's suffixes the rarest, as many as prefixes() gives, and the whole texts (size 0).
+    The probes are in the store, so what is matched once is matched by itself alone and is left out."""
+    top, low = shape.ratio.numerator, shape.ratio.denominator
+    whole = (F.col("place") < 0).alias("whole")
+    every = counts.repartition("probe").groupBy("probe", "place", "suffix", whole).agg(F.sum("width").alias("width"))
+    own = Window.partitionBy("probe", "whole")
+    ranked = every.withColumn("turn", F.row_number().over(own.orderBy("width", "place"))).withColumn("m", F.count("*").over(own))
+    looked = F.col("m") - F.floor((F.col("m") * top + (low - 1)) / low) + shape.hits
+    return ranked.where((F.col("whole") | (F.col("turn") <= looked)) & (F.col("width") > 1)).select("probe", "suffix", F.when(F.col("whole"), 0).otherwise(F.col("m")).cast("int").alias("size"), "width")
+
+
+def _cut_rows(targets: list[tuple[int, int]]) -> Callable:
+    """Arrays by part of suffixes that come as rows."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            n += len(pdf)
+            if n >= EMIT_ENTRIES:
+                yield cut(held)
+                held, n = [], 0
+        if n:
+            yield cut(held)
+
+    def cut(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(held)
+        return _cut(rows["suffix"].to_numpy(np.int64).view(np.uint64), rows["probe"].to_numpy(np.int64), rows["size"].to_numpy(np.int32), targets)
+
+    return emit
+
+
+def _matches(shape: Shape, most: int | None, suffix: np.ndarray, tid: np.ndarray, code: np.ndarray, p_suffix: np.ndarray, p_tid: np.ndarray, p_size: np.ndarray) -> Iterator[pd.DataFrame]:
     top, low = shape.ratio.numerator, shape.ratio.denominator
+    first, last = _range(p_suffix, p_size == 0)
+    left, right = np.searchsorted(suffix, first, "left"), np.searchsorted(suffix, last, "right")
+    if most is not None:
+        wide = np.flatnonzero(right - left > most)
+        if len(wide):  # then the longer matches, which are in order of arrival, the earliest of them
+            left[wide] = np.searchsorted(suffix, p_suffix[wide], "left")
+            right[wide] = np.minimum(np.searchsorted(suffix, p_suffix[wide], "right"), left[wide] + most)
+            cut = np.unique(p_tid[wide])
+            yield pd.DataFrame({"probe": cut, "tid": np.full(len(cut), NO_RECORD), "least": np.zeros(len(cut), np.int32)})
+    width = right - left
+    ends, at = np.cumsum(width), 0
+    while at < len(width):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        w = width[at:to]
+        probe = np.repeat(np.arange(at, to), w)
+        entry = np.arange(len(probe)) - np.repeat(np.cumsum(w) - w, w) + left[probe]
+        m, c = p_size[probe], code[entry]
+        is_whole = m == 0
+        n_low, n_high = SIZE_STEPS[np.minimum(c, WHOLE - 1)], np.r_[SIZE_STEPS[1:] - 1, 1 << 40, 1 << 40][c]
+        fits = (n_low * top <= m * low) & (n_high * low >= m * top)
+        good = (tid[entry] < p_tid[probe]) & (is_whole == (c == WHOLE)) & (is_whole | fits)
+        probe, entry, m, n_low, is_whole = probe[good], entry[good], m[good], n_low[good], is_whole[good]
+        looked = np.minimum(m, shape.prefix(m))
+        least = np.where(is_whole, 0, np.maximum(1, shape.needed(m, np.maximum(n_low, -(-m * top // low))) - (m - looked)))
+        yield pd.DataFrame({"probe": p_tid[probe], "tid": tid[entry], "least": least.astype(np.int32)})
+        at = to
+
+
+def _probe(suffix: bytes, tid: bytes, tag: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _unpack(suffix, np.uint64), _unpack(tid, np.int64), np.frombuffer(tag, np.int32).astype(np.int64)
+
 
-    def one(r) -> Iterator[pd.DataFrame]:
-        suffix, tid, code = _unpack(r.suffix, np.uint64), _unpack(r.tid, np.int64), np.frombuffer(r.tag, np.uint8)
-        p_suffix, p_tid, p_size = _unpack(r.p_suffix, np.uint64), _unpack(r.p_tid, np.int64), np.frombuffer(r.p_tag, np.int32).astype(np.int64)
-        whole = p_size == 0
-        first = np.where(whole, p_suffix, (p_suffix >> NEXT) << NEXT)
-        last = np.where(whole, p_suffix, first | np.uint64(0xFFFF))
-        left, right = np.searchsorted(suffix, first, "left"), np.searchsorted(suffix, last, "right")
-        if most is not None:
-            wide = np.flatnonzero(right - left > most)
-            if len(wide):  # then the longer matches, which are in order of arrival, the earliest of them
-                left[wide] = np.searchsorted(suffix, p_suffix[wide], "left")
-                right[wide] = np.minimum(np.searchsorted(suffix, p_suffix[wide], "right"), left[wide] + most)
-                cut = np.unique(p_tid[wide])
-                yield pd.DataFrame({"probe": cut, "tid": np.full(len(cut), NO_RECORD), "least": np.zeros(len(cut), np.int32)})
-        width = right - left
-        ends, at = np.cumsum(width), 0
-        while at < len(width):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
-            w = width[at:to]
-            probe = np.repeat(np.arange(at, to), w)
-            entry = np.arange(len(probe)) - np.repeat(np.cumsum(w) - w, w) + left[probe]
-            m, c = p_size[probe], code[entry]
-            is_whole = m == 0
-            n_low, n_high = SIZE_STEPS[np.minimum(c, WHOLE - 1)], np.r_[SIZE_STEPS[1:] - 1, 1 << 40, 1 << 40][c]
-            fits = (n_low * top <= m * low) & (n_high * low >= m * top)
-            good = (tid[entry] < p_tid[probe]) & (is_whole == (c == WHOLE)) & (is_whole | fits)
-            probe, entry, m, n_low, is_whole = probe[good], entry[good], m[good], n_low[good], is_whole[good]
-            looked = np.minimum(m, shape.prefix(m))
-            least = np.where(is_whole, 0, np.maximum(1, shape.needed(m, np.maximum(n_low, -(-m * top // low))) - (m - looked)))
-            yield pd.DataFrame({"probe": p_tid[probe], "tid": tid[entry], "least": least.astype(np.int32)})
-            at = to
+def _search(shape: Shape, most: int | None) -> Callable:
+    """Arrays and probes that were joined by part."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                yield from one(r)
+                yield from _matches(shape, most, _unpack(r.suffix, np.uint64), _unpack(r.tid, np.int64), np.frombuffer(r.tag, np.uint8), *_probe(r.p_suffix, r.p_tid, r.p_tag))
 
     return search
 
 
+def _search_parts(shape: Shape, most: int | None, folders: list[str]) -> Callable:
+    """Probes alone: the arrays of their parts are read where they lie."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _merge(np.int32)(batches):
+            for r in pdf.itertuples(index=False):
+                probe = _probe(r.suffix, r.tid, r.tag)
+                for suffix, tid, tag in _part_arrays(folders[r.seg], r.part, ["suffix", "tid", "tag"]):
+                    yield from _matches(shape, most, _unpack(suffix, np.uint64), _unpack(tid, np.int64), np.frombuffer(tag, np.uint8), *probe)
+
+    return search
+
+
+def _word_count(words: str) -> Column:
+    """No less than the entries of a text: its words, and two."""
+    return F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 2
+
+
 # --- the store -----------------------------------------------------------------------------------------------------------
 class SegmentStore:
     """Suffix arrays and texts of all that was accepted, in a folder that all executors share.
@@ -240,6 +353,7 @@ class SegmentStore:
         self.spark, self.path, self.shape, self.entries_a_part = spark, path.rstrip("/"), shape or Shape(), entries_a_part
         self.manifest = self._read_manifest()
         self.order = read_order(spark, f"{self.path}/{self.manifest.order}") if self.manifest.order else None
+        self._passing: list[str] = []
 
     # manifest
     def _read_manifest(self) -> Manifest:
@@ -284,7 +398,7 @@ class SegmentStore:
         numbered = texts.withColumn("tid", F.lit(self.manifest.next_tid) + F.monotonically_increasing_id())
         numbered.withColumn("slot", F.shiftright("tid", SLOT_BITS)).write.partitionBy("slot").parquet(f"{self.path}/{name}/texts")
         held = self._texts_of(name)
-        size = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 2), F.lit(0)).alias("w"), F.max("tid").alias("last")).first()
+        size = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(_word_count("words")), F.lit(0)).alias("w"), F.max("tid").alias("last")).first()
         self._last = self.manifest.next_tid if size.last is None else ((size.last >> PARTITION_BITS) + 1) << PARTITION_BITS
         segment, shape = Segment(name, self._bits(size.w), size.n, size.w), self.shape
         self._write_arrays(held.select("tid", "words").mapInPandas(_emit(lambda t, i: _all_suffixes(t, i, shape), [(0, segment.bits)]), ROWS), name)
@@ -314,20 +428,51 @@ class SegmentStore:
         """(probe, tid): earlier texts covered enough, written; tid -1 for a probe of which not every match was followed."""
         shape, order = self.shape, self.order
         targets = [(i, s.bits) for i, s in enumerate(segments)]
+        # what the probes can match at most; small batches are sent to where the arrays lie
+        words = len(segments) * (probes.agg(F.sum(_word_count("words"))).first()[0] or 0)
+        room = max(HITS_AT_ONCE, sum(s.words for s in segments))
+        if words > BROADCAST_ENTRIES or words * (most or sum(s.texts for s in segments)) > room:
+            return self._in_rounds(probes, segments, targets, most, room)
         arrays = probes.select("tid", "words").mapInPandas(_emit(lambda t, i: _some_suffixes(t, i, shape, order), targets), ROWS)
-        arrays = common.materialise(_gathered(arrays, np.int32), "probes")
+        arrays = self._written(_gathered(arrays, np.int32), "probes")
         sizes = arrays.groupBy("seg", "part").agg(F.sum("n").alias("n")).limit(NAMED_PARTS + 1).collect()
-        few = len(sizes) <= NAMED_PARTS
+        if len(sizes) > NAMED_PARTS:
+            return self._in_rounds(probes, segments, targets, most, room)
         held = None
         for i, s in enumerate(segments):
-            one = self._arrays_of(s.name, [r.part for r in sizes if r.seg == i] if few else None).select(F.lit(i).alias("seg"), "part", "suffix", "tid", "tag")
+            one = self._arrays_of(s.name, [r.part for r in sizes if r.seg == i]).select(F.lit(i).alias("seg"), "part", "suffix", "tid", "tag")
             held = one if held is None else held.unionByName(one)
         asked = arrays.select("seg", "part", F.col("suffix").alias("p_suffix"), F.col("tid").alias("p_tid"), F.col("tag").alias("p_tag"))
-        # small batches are sent to where the arrays lie; for others arrays and probes are brought together by part
-        small = few and sum(r.n for r in sizes) <= BROADCAST_ENTRIES
-        hits = held.join(F.broadcast(asked) if small else asked, ["seg", "part"]).mapInPandas(_search(shape, most), HITS)
+        return self._covered(held.join(F.broadcast(asked), ["seg", "part"]).mapInPandas(_search(shape, most), HITS))
+
+    def _in_rounds(self, probes: DataFrame, segments: list[Segment], targets: list[tuple[int, int]], most: int | None, room: int) -> DataFrame:
+        """The candidates of many probes. All their suffixes are counted first, so the rarest are known and how much they match; then some
+        probes are searched at a time, so the matches that are shuffled are never many more than `room`."""
+        shape, folders = self.shape, [scratch.qualified(self.spark, f"{self.path}/{s.name}/arrays") for s in segments]
+        placed = probes.select("tid", "words").mapInPandas(_emit(lambda t, i: _placed_suffixes(t, i, shape), targets), ROWS)
+        rarest = self._written(_rarest(_spread(placed).mapInPandas(_count(folders), COUNTS), shape), "rarest")
+        # of a suffix with very many matches, `most` are followed in each array
+        followed = F.col("width") if most is None else F.least(F.col("width"), most * (2 * len(segments) + F.floor(F.col("width") / RUN_ENTRIES)))
+        total = rarest.agg(F.sum(followed.cast("double"))).first()[0] or 0
+        rounds = max(1, int(np.ceil(total / room)))
+        paths = []
+        for i in range(rounds):
+            some = rarest.where(F.pmod(F.xxhash64("probe"), F.lit(rounds)) == i)
+            asked = _spread(some.select("probe", "suffix", "size").mapInPandas(_cut_rows(targets), ROWS))
+            self._covered(asked.mapInPandas(_search_parts(shape, most, folders), HITS))
+            paths.append(self._passing[-1])
+        return self.spark.read.schema("probe bigint, tid bigint").parquet(*paths)
+
+    def _covered(self, hits: DataFrame) -> DataFrame:
         covered = hits.groupBy("probe", "tid").agg(F.count("*").alias("shared"), F.min("least").alias("least")).where("shared >= least")
-        return common.materialise(covered.select("probe", "tid"), "covered")
+        return self._written(covered.select("probe", "tid"), "covered")
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        """A table between steps of an ingest, removed when that ends."""
+        path = scratch.scratch_path(self.spark, name)
+        self._passing.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def _verified(self, candidates: DataFrame, probes: DataFrame, segments: list[Segment]) -> tuple[DataFrame, bool]:
         """(tid) of the probes that are the same as, or near, one of their candidates, by their words alone; and whether for some
@@ -354,9 +499,9 @@ class SegmentStore:
         found, some_cut = self._verified(first, probes, segments)
         if not some_cut:
             return found
-        found = common.materialise(found, "near-first")
+        found = self._written(found, "near-first")
         cut = first.where(F.col("tid") == NO_RECORD).select(F.col("probe").alias("tid"))
-        rest = common.materialise(probes.join(cut, "tid", "left_semi").join(found, "tid", "left_anti"), "unsettled")
+        rest = self._written(probes.join(cut, "tid", "left_semi").join(found, "tid", "left_anti"), "unsettled")
         if rest.isEmpty():
             return found
         return found.unionByName(self._verified(self._candidates(rest, segments, None), rest, segments)[0])
@@ -365,8 +510,17 @@ class SegmentStore:
         """(id): the rows of df whose text is the same as, or near, one in the store or of an earlier row of df. Then df is in the store.
 
         Null ids and texts are left out; a repeated row (same id, same text) is one row; an empty df gives no row and changes nothing.
-        Without check nothing is looked for, as for the first history, and of df only its texts are kept.
+        Without check nothing is looked for, as for the first history, and of df only its texts are kept. What is shuffled and written on the
+        way is removed step by step, so the disk holds the store and one step's files.
         """
+        try:
+            with scratch.shuffles_removed(self.spark):
+                return self._ingest(df, record_id, text, batch, check)
+        finally:
+            while self._passing:
+                scratch.remove(self.spark, self._passing.pop())
+
+    def _ingest(self, df: DataFrame, record_id: str, text: str, batch: str | None, check: bool) -> DataFrame:
         came = F.coalesce(F.col(batch).cast("bigint"), F.lit((1 << 62) - 1)) if batch else F.lit(0).cast("bigint")
         rows = df.select(F.col(record_id).cast("bigint").alias("id"), came.alias("batch"), common.word_text(F.col(text).cast("string")).alias("words")).where("id is not null and words is not null")
         if check:

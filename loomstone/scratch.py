@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir. Where none is set and all runs on one machine, as in
@@ -38,6 +43,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside removes its shuffle files when it ends; else they stay until the driver happens to collect its garbage.
+    Only for tables that are executed once: executed again, they would be shuffled again."""
+    had = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if had is None else spark.conf.set(CLEANUP, had)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as workers need it."""
+    fs, p = _fs(spark, path)
+    return fs.makeQualified(p).toString()
+
+
+def arrow_store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """How a worker reads a qualified path, without Spark."""
+    if path.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(path)
+
+
 def _fs(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop

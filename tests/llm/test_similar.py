@@ -1,9 +1,12 @@
 """Near questions across batches and splits, against brute force; the store of segments, batch by batch."""
 
+import pathlib
 import random
+import time
 
 import pytest
 
+from loomstone import scratch
 from loomstone.llm import history, overlap
 from loomstone.llm.shingles import Shape
 
@@ -179,3 +182,59 @@ def test_frequent_items_across_batches():
         many.add(*history.np.unique(history.np.r_[history.np.full(40, 7, history.np.uint64), rng.integers(100, 10**9, 360).astype(history.np.uint64)], return_counts=True))
     got = dict(zip(many.h.tolist(), many.n.tolist(), strict=True))
     assert len(got) <= 50 and 1600 - many.total // 50 <= got[7] <= 1600
+
+
+def _shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {p for d in dirs for p in pathlib.Path(d).rglob("shuffle_*.data")}
+
+
+def test_disk_of_an_ingest_is_given_back(spark, tmp_path, monkeypatch):
+    """Shuffle files and tables between steps of an ingest don't pile up beside the store, and no join shuffles the store's arrays."""
+    monkeypatch.setattr(history, "BROADCAST_ENTRIES", 0)
+    store = history.SegmentStore(spark, str(tmp_path), Shape(3, "0.6"))
+    qs = questions(19, 95)
+    store.ingest(spark.createDataFrame(list(enumerate(qs[:75])), "i bigint, q string"), "i", "q", check=False)
+    scans = []
+    arrays_of = store._arrays_of
+    monkeypatch.setattr(store, "_arrays_of", lambda *a: scans.append(a) or arrays_of(*a))
+    files, tables = _shuffle_files(spark), set(scratch.names(spark, scratch.scratch_dir(spark)))
+    new = [(100 + i, q) for i, q in enumerate(qs[75:])]
+    got = {r[0] for r in store.ingest(spark.createDataFrame(new, "i bigint, q string"), "i", "q").collect()}
+    assert got == {i for i, q in new if any(near(q, r, 3, 6, 10) for r in qs[:75]) or any(near(q, r, 3, 6, 10) for j, r in new if j < i)}
+    until = time.time() + 10
+    while _shuffle_files(spark) - files and time.time() < until:  # executors remove them a little later
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - files
+    left = set(scratch.names(spark, scratch.scratch_dir(spark))) - tables
+    assert not {n for n in left if not n.startswith("counts")}
+    assert not scans
+
+
+@pytest.mark.parametrize("first", [1000, 2])
+def test_rounds_of_bounded_size(spark, monkeypatch, first):
+    """Probes that match much are searched in rounds, none of many more matches than the store has entries, and no pair is lost."""
+    monkeypatch.setattr(history, "BROADCAST_ENTRIES", 0)
+    monkeypatch.setattr(history, "HITS_AT_ONCE", 0)
+    monkeypatch.setattr(history, "SPREAD_ENTRIES", 5)
+    monkeypatch.setattr(history, "FIRST_MATCHES", first)
+    sizes = []
+    covered = history.SegmentStore._covered
+
+    def watch(self, hits):
+        sizes.append((hits.count(), sum(x.words for x in self.manifest.segments)))
+        return covered(self, hits)
+
+    monkeypatch.setattr(history.SegmentStore, "_covered", watch)
+    rng = random.Random(8)
+    qs = [f"it is market day again and {rng.choice(NOUNS)} {rng.choice(NOUNS)} are {rng.choice(NOUNS)} and {rng.choice(NOUNS)}" for _ in range(90)]
+    old, new = qs[:40], [(i, 0, q) for i, q in enumerate(qs[40:])]
+    assert seen(spark, old, new, Shape(3, "0.6")) == brute(old, new, Shape(3, "0.6")) != set()
+    assert all(n <= 4 * words for n, words in sizes) and sum(n for n, _ in sizes) > 0 and len(sizes) > 2
+
+
+def test_rarest_are_the_rarest_of_the_store(spark):
+    """By their counts, not by estimates: a suffix of usual words that is rare together goes before one of rarer words."""
+    counts = [(1, p, 100 + p, w) for p, w in enumerate([9, 1, 5, 3, 7, 1, 8, 2, 6, 4])] + [(1, 0, 100, 4), (1, -1, 7, 2), (2, 0, 5, 1), (2, -1, 8, 1)]
+    got = history._rarest(spark.createDataFrame(counts, history.COUNTS), Shape(3, "0.6", hits=1)).collect()
+    assert {tuple(r) for r in got} == {(1, 103, 10, 3), (1, 107, 10, 2), (1, 109, 10, 4), (1, 7, 0, 2)}
