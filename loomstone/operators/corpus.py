@@ -106,10 +106,23 @@ def context_windows(tokens: DataFrame, group: str, position: str, token: str, re
 
 
 def band_join(tokens: DataFrame, group: str, position: str, reach: int = 5) -> DataFrame:
-    """(group, position, other): positions of a group at most `reach` apart, by an equi join on buckets of positions."""
+    """(group, position, other): positions of a group at most `reach` apart, by an equi join on buckets of positions.
+
+    The sides are sorted and merged: rows that were exploded are far more than their estimate, by which a side could be broadcast.
+    """
     a = tokens.select(F.col(group), F.col(position), F.explode(F.sequence(F.floor((F.col(position) - reach) / (reach + 1)), F.floor((F.col(position) + reach) / (reach + 1)))).alias("_b"))
     b = tokens.select(F.col(group), F.col(position).alias("other"), F.floor(F.col(position) / (reach + 1)).alias("_b"))
-    return a.join(b, [group, "_b"]).where(F.abs(F.col("other") - F.col(position)) <= reach).select(group, position, "other")
+    return a.hint("merge").join(b.hint("merge"), [group, "_b"]).where(F.abs(F.col("other") - F.col(position)) <= reach).select(group, position, "other")
+
+
+def band_within(rows: DataFrame, key: str, count: Column, position: str, reach: int = 5) -> DataFrame:
+    """(key, position, other): positions of a row at most `reach` apart, where its positions are 0 to `count` - 1.
+
+    Made inside each row, so nothing is joined, shuffled or broadcast; rows with the same key stay apart, and a key may be null.
+    """
+    at = rows.select(key, count.cast("bigint").alias("_n")).select(key, "_n", F.posexplode(F.array_repeat(F.lit(True), F.col("_n").cast("int"))).alias("_p", "_")).withColumn(position, F.col("_p").cast("bigint"))
+    near = F.sequence(F.greatest(F.col(position) - reach, F.lit(0)), F.least(F.col(position) + reach, F.col("_n") - 1))
+    return at.select(key, position, F.explode(near).alias("other"))
 
 
 def lines_from_marker(lines: DataFrame, position: str, line: str, marker: str) -> DataFrame:

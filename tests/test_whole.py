@@ -46,6 +46,28 @@ def test_windows_and_pairs_of_documents(spark, tmp_path):
     assert pairs == {i: sum(abs(a - b) <= 5 for a in range(len(w)) for b in range(len(w))) for i, w in words.items() if w}
 
 
+def test_pairs_of_documents_are_made_without_a_join(spark, tmp_path):
+    """Tokens are many times their table, by whose size a join would take them for small and broadcast them."""
+    rows = [(1, "a b c d e f g h"), (1, "a b"), (1, "a b"), (2, " ".join("x" * 3000)), (None, "one two"), (None, "?"), (3, "-"), (4, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = entry.queries()["band_join_pairs"](spark, str(tmp_path))
+    text = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "Broadcast" not in text
+    sums = {}
+    for i, t in rows:
+        if n := len(re.findall(r"\w+", t or "")):
+            sums[i] = sums.get(i, 0) + sum(abs(a - b) <= 5 for a in range(n) for b in range(max(a - 9, 0), min(a + 10, n)))
+    assert {r.doc_id: r.pairs for r in made.collect()} == sums
+
+
+def test_a_band_join_is_not_broadcast(spark):
+    from loomstone.operators import corpus as build
+
+    made = build.band_join(spark.range(40).selectExpr("id % 2 as g", "id as p"), "g", "p", 5)
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {(r.p, r.other) for r in made.collect()} == {(a, b) for a in range(40) for b in range(40) if (a - b) % 2 == 0 and abs(a - b) <= 5}
+
+
 def test_boxed_of_all_rows(spark, tmp_path):
     rows = [(1, "q", "5"), (2, "q", ""), (3, "q", "}"), (4, "q", "a}b"), (5, "q", r"\\frac{1}{2}"), (6, "q" * 60, None), (7, None, None), (8, "q", "two\nlines")]
     spark.createDataFrame(rows, "corpus_id bigint, question string, answer string").write.parquet(f"{tmp_path}/corpus.parquet")
